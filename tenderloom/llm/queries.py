@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import chat_format, secret_ledger, url_filter
+from tenderloom.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, secret_ledger, url_filter
 from tenderloom.llm.shared import shared_folder, table
 
 #: The rules of the URL query.
@@ -22,6 +23,38 @@ URL_RULES = (
 LISTED_HOSTS = ("spam-", "cheap-")
 
 
+#: The vocabulary file of the encoding query and of the pipeline.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary_bytes(name: str = VOCABULARY) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = vocabulary_bytes()
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(coded, data, keep=("doc_id", "n_tokens", "ids"))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+    return prints.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out"))
+    return language_id.predict(rows, model, keep=("doc_id", "held_out"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host = url_filter.host_of(F.col("url"))
@@ -133,7 +166,11 @@ def _op8_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op4_fingerprints": op4_fingerprints,
     "op5_url_filters": op5_url_filters,
+    "op6_language_id": op6_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_secret_scans": op8_secret_scans,
 }
