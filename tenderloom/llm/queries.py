@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, secret_ledger, url_filter
+from tenderloom.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, near_dedup, secret_ledger, url_filter
 from tenderloom.llm.shared import shared_folder, table
 
 #: The rules of the URL query.
@@ -165,6 +165,11 @@ def _op8_sql() -> str:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_decontamination": op3_decontamination,
@@ -173,5 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_secret_scans": op8_secret_scans,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op8_secret_scans": _op8_sql()}

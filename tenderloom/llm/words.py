@@ -46,12 +46,12 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def blocks(texts: list[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, UTF-8 texts) of runs of texts of about ``limit`` bytes; null counts as empty."""
+    """(index of the first, UTF-8 texts) of runs of about ``limit`` bytes, 4,096 texts at most; null counts as empty."""
     start, size, part = 0, 0, []
     for i, t in enumerate(texts):
         part.append(b"" if t is None else t.encode("utf-8", "surrogatepass"))
         size += len(part[-1])
-        if size >= limit:
+        if size >= limit or len(part) == 4096:
             yield start, part
             start, size, part = i + 1, 0, []
     if part:
