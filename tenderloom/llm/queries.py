@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, near_dedup, secret_ledger, url_filter
+from tenderloom.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, lm_trie, near_dedup, secret_ledger, url_filter
 from tenderloom.llm.shared import shared_folder, table
 
 #: The rules of the URL query.
@@ -170,6 +170,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = lm_trie.score(table(spark, sf_dir, "documents"), ~F.coalesce(held_out, F.lit(False)))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_decontamination": op3_decontamination,
@@ -179,5 +185,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_secret_scans": op8_secret_scans,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op8_secret_scans": _op8_sql()}
