@@ -327,3 +327,19 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     grouped = grouped.select("set_a", "set_b", F.coalesce("component", "class_id").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sketches.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one a group stays: the smallest id's, once."""
+    groups = materialise(near_groups(docs, k, percent), "near-kept")
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    twice = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    left = docs.join(small(gone), "doc_id", "left_anti")
+    if not twice.limit(1).count():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, "doc_id", "left_anti").unionByName(again.select(*left.columns))

@@ -146,3 +146,13 @@ def redact(text: Column, spans: Column) -> Column:
 
     done = F.aggregate(spans, state, step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``docs``, with all their columns, scanned through the ledger at ``path`` and every finding replaced."""
+    scan(docs, path, rules)
+    clean = redact(F.col("text"), F.col("spans"))
+    out = findings_of(docs, path, rules).withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
