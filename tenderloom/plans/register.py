@@ -1,6 +1,8 @@
-"""All queries of the reference's own operators, with their SQL."""
+"""All queries of the engine's own operators, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tenderloom.plans import archive, catalogue
+
+QUERIES = catalogue.QUERIES | archive.QUERIES
+SQL = catalogue.SQL | archive.SQL
