@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderloom.plans import archive, catalogue
+from tenderloom.plans import archive, catalogue, search
 
-QUERIES = catalogue.QUERIES | archive.QUERIES
-SQL = catalogue.SQL | archive.SQL
+QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES
+SQL = catalogue.SQL | archive.SQL | search.SQL
