@@ -40,7 +40,7 @@ from tenderloom.llm.words import NOT_BLANK, blocks, in_text, tokenise
 FREQUENT = 50_000
 LEVELS = 4096
 #: Bytes of text whose n-grams are packed together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 END, START = np.uint64(0xE4D), np.uint64(0x57A27)
 
 
@@ -217,39 +217,37 @@ def _dealt(docs: DataFrame, common, parts: int) -> DataFrame:
     return docs.select("key", "train", "text").mapInArrow(run, "part int, words binary, spans binary, contexts binary, texts binary, times binary, keys binary, train binary")
 
 
+def _entries(row: dict, names: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One packed row as (word number, context, text number, repeats, training) arrays and its text keys."""
+    own = unpack(row["texts"], "<u2").astype(np.int32)
+    at = np.repeat(np.searchsorted(names, unpack_rising(row["words"], "<u8")).astype(np.uint32), unpack(row["spans"], "<u4"))
+    train = unpack(row["train"], "<u1").astype(bool)[own]
+    return at, unpack(row["contexts"], "<u4"), own, unpack(row["times"], "<u4").astype(np.int32), train, unpack(row["keys"], "<i8")
+
+
 def _shard(packed: pa.Table, common) -> pa.Table:
-    """Learn the trie of one part from its training n-grams and score all of its n-grams."""
+    """Learn the trie of one part from its training n-grams, then score all of its n-grams block by block."""
     frequent, frequent_n, total, distinct, least = common.value
-    words, at, context, text, times, train, keys = [], [], [], [], [], [], []
-    words_seen = texts_seen = 0
-    for row in packed.to_pylist():
-        w = unpack_rising(row["words"], "<u8")
-        spans = unpack(row["spans"], "<u4")
-        own = unpack(row["texts"], "<u2").astype(np.int64)
-        k = unpack(row["keys"], "<i8")
-        words.append(w)
-        at.append(np.repeat(np.arange(len(w)) + words_seen, spans))
-        context.append(unpack(row["contexts"], "<u4"))
-        text.append(own + texts_seen)
-        times.append(unpack(row["times"], "<u4").astype(np.int64))
-        train.append(unpack(row["train"], "<u1").astype(bool)[own])
-        keys.append(k)
-        words_seen += len(w)
-        texts_seen += len(k)
-    names, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    at, context, text, times, train, keys = inverse[np.concatenate(at)], np.concatenate(context), np.concatenate(text), np.concatenate(times), np.concatenate(train), np.concatenate(keys)
-    count = np.bincount(at, weights=times * train, minlength=len(names))
-    place = np.minimum(np.searchsorted(frequent, names), max(len(frequent) - 1, 0))
+    rows = packed.to_pylist()
+    names = np.unique(np.concatenate([unpack_rising(r["words"], "<u8") for r in rows]))
+    count, rising, repeats = np.zeros(len(names)), [], []
+    for r in rows:
+        at, context, _, times, train, _ = _entries(r, names)
+        count += np.bincount(at[train], weights=times[train], minlength=len(names))
+        rising.append((at[train].astype(np.uint64) << np.uint64(32)) | context[train])
+        repeats.append(times[train])
     if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, names), len(frequent) - 1)
         known = frequent[place] == names
         count[known] = frequent_n[place[known]]
-    rising, size = (at.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64), times * train
-    order = np.argsort(rising[train], kind="stable")
-    pairs, begin, _ = slices(rising[train][order])
-    pair_n = np.add.reduceat(size[train][order], begin) if len(begin) else np.zeros(0)
-    context_n = dict(zip((frequent >> np.uint64(32)).tolist(), frequent_n.tolist(), strict=True))
-    seen_hot = np.array(sorted(context_n), np.uint64)
-    seen_n = np.array([context_n[x] for x in seen_hot.tolist()], float)
+    pairs, repeats = np.concatenate(rising), np.concatenate(repeats)
+    del rising
+    order = np.argsort(pairs, kind="stable")
+    pairs, begin, _ = slices(pairs[order])
+    pair_n = np.add.reduceat(repeats[order], begin).astype(float) if len(begin) else np.zeros(0)
+    del order, repeats
+    hot = np.argsort(frequent >> np.uint64(32), kind="stable")
+    seen_hot, seen_n = (frequent >> np.uint64(32))[hot], frequent_n[hot]
 
     def prior(c32: np.ndarray) -> np.ndarray:
         out = np.full(len(c32), least)
@@ -262,22 +260,18 @@ def _shard(packed: pa.Table, common) -> pa.Table:
     p = (count + 1) / (total + distinct + 1)
     node, below = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
     trie = Trie(names, np.log10(p), np.log10(count + np.maximum(least, count)), node, below, np.log10(pair_n + prior(below) * p[node])).mapped()
-    found, logs = trie.find(at, context)
-    unseen = ~found
-    logs[unseen] = trie.word_logs(at[unseen]) + np.log10(prior(context[unseen].astype(np.uint64)))
-    ends = names == END
-    logs = logs - np.where(ends[at], 0.0, trie.context_logs(at))
-    base = np.log10((count + 1) / (total + distinct + 1))[at]
-    n = len(keys)
-    return pa.table(
-        {
-            "key": keys,
-            "n_tokens": np.bincount(text, weights=times, minlength=n).astype(np.int64),
-            "n_known": np.bincount(text, weights=times * (count[at] > 0), minlength=n).astype(np.int64),
-            "base_score": np.bincount(text, weights=times * base, minlength=n),
-            "score": np.bincount(text, weights=times * logs, minlength=n),
-        }
-    )
+    del pairs, node, below, pair_n
+    base, is_end, out = np.log10(p), names == END, []
+    for r in rows:
+        at, context, text, times, _, keys = _entries(r, names)
+        context = context.astype(np.uint64)
+        found, logs = trie.find(at, context)
+        unseen = ~found
+        logs[unseen] = trie.word_logs(at[unseen]) + np.log10(prior(context[unseen]))
+        logs -= np.where(is_end[at], 0.0, trie.context_logs(at))
+        total_of = lambda v: np.bincount(text, weights=times * v, minlength=len(keys))  # noqa: B023, E731
+        out.append((keys, total_of(1.0).astype(np.int64), total_of(count[at] > 0).astype(np.int64), total_of(base[at]), total_of(logs)))
+    return pa.table({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("key", "n_tokens", "n_known", "base_score", "score"))})
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -296,7 +290,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     names = frequent["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
     common = spark.sparkContext.broadcast((names[order], frequent["n"].to_numpy(float)[order], total, distinct, least))
-    parts = shuffle_parts(spark)
+    parts = 2 * shuffle_parts(spark)
     sums = (
         _dealt(rows, common, parts)
         .groupBy("part")
