@@ -37,7 +37,7 @@ from tenderloom.llm.words import blocks, mix, powers, prefix_hash
 LENGTH, GRAM = 50, 20
 #: Grams in a string: one of any WINDOW neighbouring grams is the least.
 WINDOW = LENGTH - GRAM + 1
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Up to this many rows are named by broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 MOST = np.uint64(2**64 - 1)
@@ -315,7 +315,7 @@ def _named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text (doc_id, text) without its repeated bytes."""
-    parts = shuffle_parts(docs.sparkSession)
+    parts = 4 * shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digest = F.sha2("text", 256)
