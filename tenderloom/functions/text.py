@@ -56,7 +56,8 @@ QUANTITY = (
     + r")\.?(?![\w/²³])"
 )
 OKPD2 = r"(?iuU)(?:(?<=\s)|^)(?:окпд\s*2?\s*[:№]?\s*)?(\d{2}\.\d{2}(?:\.\d{1,3}){0,3})(?![\d.])"
-EDGES = " \t,.;:-–—*()[]{}\"'«»"
+# Punctuation that names do not begin or end with.
+EDGES = r"[ \t,.;:\-–—*()\[\]{}\"'«»]+"
 
 
 def collapse(c: Column) -> Column:
@@ -188,7 +189,7 @@ def positions(c: Column) -> Column:
     dashed = F.flatten(F.transform(parts, lambda p: F.split(p, r"(?U)(?:^|\s)[-–—*]\s+(?=\w)")))
     parts = F.when(c.rlike(r"(?U)^\s*[-–—*]\s"), dashed).otherwise(parts)
     marked = F.transform(parts, lambda p: F.regexp_replace(p, f"({QUANTITY}){joint}", "$1\u0001"))
-    return F.filter(F.transform(F.flatten(F.transform(marked, lambda p: F.split(p, "\u0001"))), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.flatten(F.transform(marked, lambda p: F.split(p, "\u0001"))), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def interpret(c: Column, most: int = 20) -> Column:
@@ -196,7 +197,7 @@ def interpret(c: Column, most: int = 20) -> Column:
 
     def item(p: Column) -> Column:
         rest = F.regexp_replace(without_okpd2(p), QUANTITY, " ")
-        name = F.trim(collapse(rest), F.lit(EDGES))
+        name = F.regexp_replace(collapse(rest), f"^{EDGES}|{EDGES}$", "")
         return F.struct(F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 4000)).alias("name"), okpd2(p).alias("okpd2"), quantity(p).alias("quantity"))
 
     goods = F.filter(positions(c), lambda p: ~F.lower(F.trim(p)).rlike("^(?:" + "|".join(SERVICE_PREFIXES) + ")"))
@@ -263,7 +264,7 @@ def title(html: Column) -> Column:
 def json_ld(html: Column) -> Column:
     """The bodies of all ``application/ld+json`` blocks that parse."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(F.transform(blocks, F.trim), lambda b: F.try_parse_json(b).isNotNull())
+    return F.filter(F.transform(blocks, lambda b: F.trim(b)), lambda b: F.try_parse_json(b).isNotNull())
 
 
 def csv_cell(c: Column) -> Column:

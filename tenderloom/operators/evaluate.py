@@ -92,13 +92,14 @@ def check_splits(splits: Sequence[dict], gap_days: int = 30) -> None:
         end = stop
 
 
-def cases(lots: DataFrame, participations: DataFrame, after: str, exclude: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """Evaluation cases: lots after a date with exactly one winner, not excluded, in seeded order, the first ``most``."""
+def cases(lots: DataFrame, participations: DataFrame, after: str, exclude: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
+    """Evaluation cases: lots after a date with exactly one winner, not excluded; with ``most``, so many in seeded order."""
     won = participations.groupBy("lot_id").agg(
         F.max(F.when(F.col("is_winner"), F.col("supplier_inn"))).alias("winner"), F.count_if("is_winner").alias("winners"), F.sort_array(F.collect_set("supplier_inn")).alias("participants")
     ).filter("winners = 1")
     late = lots.filter(F.col("publish_date") > F.lit(after).cast("date")).select("lot_id", "query_text").join(exclude.select("lot_id"), "lot_id", "left_anti")
-    return late.join(won.drop("winners"), "lot_id").orderBy(F.xxhash64("lot_id", F.lit(seed)), "lot_id").limit(most)
+    out = late.join(won.drop("winners"), "lot_id")
+    return out if most is None else out.orderBy(F.xxhash64("lot_id", F.lit(seed)), "lot_id").limit(most)
 
 
 def mention(text: Column, product: Column, limit: int) -> Column:

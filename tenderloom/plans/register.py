@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderloom.plans import archive, catalogue, search
+from tenderloom.plans import archive, catalogue, decide, search
 
-QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES
-SQL = catalogue.SQL | archive.SQL | search.SQL
+QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES | decide.QUERIES
+SQL = catalogue.SQL | archive.SQL | search.SQL | decide.SQL
