@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.llm.shared import text_batches
+
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 128, 256, 512)
 NONE = np.int32(2**31 - 1)
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 BLOCK_CHARS = 1_000_000
 
 
@@ -44,9 +46,7 @@ class Vocabulary:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        keys = np.array([a << 32 | b for a, b, _ in pairs], np.uint64)
-        self._hash(keys, np.array([r for _, _, r in pairs], np.int32))
+        self.probes = 0
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -54,13 +54,19 @@ class Vocabulary:
         """From a file of lines ``base64(token) rank``."""
         return cls({base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)})
 
+    def _pairs(self) -> None:
+        """The pair table, built when first needed: decoding does without."""
+        known = self.ranks
+        pairs = [(known[t[:i]], known[t[i:]], r) for t, r in known.items() for i in range(1, len(t)) if t[:i] in known and t[i:] in known]
+        self._hash(np.array([a << 32 | b for a, b, _ in pairs], np.uint64), np.array([r for _, _, r in pairs], np.int32))
+
     def _hash(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
         self.shift = np.uint64(64 - bits)
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.full(1 << bits, 2**64 - 1, np.uint64)
         self.values = np.full(1 << bits, NONE, np.int32)
-        at, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
+        at, left, self.probes = self._slot(keys), np.arange(len(keys)), 1
         while len(left):
             self.probes += 1
             free = self.keys[at[left]] == np.uint64(2**64 - 1)
@@ -78,6 +84,8 @@ class Vocabulary:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, or NONE; ids below 0 pair with nothing."""
+        if not self.probes:
+            self._pairs()
         shape, key = left.shape, ((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint32).astype(np.uint64)).ravel()
         key[((left < 0) | (right < 0)).ravel()] = np.uint64(2**64 - 2)
         at, out, open_ = self._slot(key), np.full(key.shape, NONE, np.int32), np.arange(len(key))
@@ -248,8 +256,9 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, keep: Sequence[str]
                 yield pa.RecordBatch.from_arrays(
                     [*same, pa.array(coded, pa.binary()), pa.array([len(x) // 4 for x in coded], pa.int64())], names=[*keep, "ids", "n_tokens"]
                 )
+        vocab.cache.clear()  # the worker process outlives the task
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return text_batches(docs).select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, vocabulary: bytes, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -266,4 +275,4 @@ def decode(coded: DataFrame, vocabulary: bytes, keep: Sequence[str] = ("doc_id",
                 out = [vocab.decode(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in ids.slice(a, 256)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return coded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, schema)
+    return text_batches(coded).select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, schema)

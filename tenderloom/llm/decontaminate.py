@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.llm.shared import text_batches
 from tenderloom.llm.words import WORD_BYTE, blocks, in_text, mix, tokenise
 
 #: Token positions that a seed looks at.
@@ -130,7 +131,7 @@ def _judged(shared, texts: list[str | None]) -> Iterator[tuple[int, tuple[int, i
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A row for each document and item that overlap: ``keep`` columns, item_id, overlap_tokens, matched_tokens, doc_token, item_token."""
     schema = T.StructType([*[docs.schema[c] for c in keep], *HIT.fields])
-    rows, out = docs.select(*keep, F.col("text").alias("__text")), None
+    rows, out = text_batches(docs).select(*keep, F.col("text").alias("__text")), None
     for index in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -156,5 +157,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 bad = {i for i, _ in _judged(shared, batch.column("text").to_pylist())}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.shared import shuffle_parts
+from tenderloom.llm.shared import shuffle_parts, text_batches
 from tenderloom.llm.words import mix
 
 #: Cells of the published sketch; a multiple of three.
@@ -203,6 +203,6 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         if rows:
             yield block(rows)
 
-    return in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, OUT)
+    return in_order(text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, OUT)
 
 

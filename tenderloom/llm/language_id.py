@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.llm.shared import text_batches
+
 #: Hashed features of 1-, 2- and 3-grams.
 SIZES = (1 << 10, 1 << 12, 1 << 14)
 FEATURES = sum(SIZES)
@@ -119,7 +121,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["feature", "df"])
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
+    rows = text_batches(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(FEATURES, np.int64)
     total = 0
     for feature, df in rows:
@@ -186,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id
                 scores.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return text_batches(docs).select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -29,11 +29,12 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
-from tenderloom.llm.shared import materialise, shuffle_parts
+from tenderloom.llm.shared import materialise, shuffle_parts, text_batches
 from tenderloom.llm.words import NOT_BLANK, blocks, in_text, tokenise
 
 #: At most so many words are known to all tasks.
@@ -179,17 +180,24 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+DEALT = "part int, block long, words binary, spans binary, contexts binary, texts binary, times binary, train binary, keys binary, sizes binary"
+
+
 def _dealt(docs: DataFrame, common, parts: int) -> DataFrame:
-    """The n-grams of every block of texts, packed for each part: words, entries a word, contexts, texts, repeats."""
+    """The n-grams of every block of texts, packed for each part: words, entries a word, contexts, texts, repeats.
+
+    A block's first row also carries its texts' keys and token counts, for the sums that come back.
+    """
 
     def run(batches):
-        frequent = common.value[0]
+        frequent, number = common.value[0], TaskContext.get().partitionId() << 32
         for batch in batches:
             keys, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "train"))
             for first, texts in blocks(batch.column("text").to_pylist(), BLOCK):
                 word, context, who = _sequence(texts)
+                sizes = np.bincount(who, minlength=len(texts)).astype("<u4")
                 names, at = np.unique(word, return_inverse=True)
-                context32 = (context >> np.uint64(32)).astype(np.uint64)
+                context32 = context >> np.uint64(32)
                 order = np.lexsort((who, context32, at))
                 same = np.concatenate([[True], (np.diff(at[order]) != 0) | (np.diff(context32[order]) != 0) | (np.diff(who[order]) != 0)])
                 times = np.diff(np.append(np.flatnonzero(same), len(order)))
@@ -202,27 +210,29 @@ def _dealt(docs: DataFrame, common, parts: int) -> DataFrame:
                     part[hot] = _part_of((word[hot] ^ (context32[hot] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F), parts)
                     order = np.argsort(part, kind="stable")
                     part, word, context32, who, times = part[order], word[order], context32[order], who[order], times[order]
-                rows: list[list] = [[] for _ in range(8)]
+                flags = np.packbits(train[first : first + len(texts)].astype(np.uint8)).tobytes()
+                once = (pack(keys[first : first + len(texts)]), pack(sizes))
+                out: list[tuple] = []
                 for p, a, b in zip(*slices(part), strict=True):
                     w, wa, wb = slices(word[a:b])
-                    mine, local = np.unique(who[a:b], return_inverse=True)
-                    for column, value in zip(
-                        rows,
-                        (int(p), pack_rising(w), pack((wb - wa).astype("<u4")), pack(context32[a:b].astype("<u4")), pack(local.astype("<u2")), pack(times.astype("<u4")[a:b]), pack(keys[first + mine]), pack(train[first + mine].astype(np.uint8))),
-                        strict=True,
-                    ):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["part", "words", "spans", "contexts", "texts", "times", "keys", "train"])
+                    out.append((int(p), number, pack_rising(w), pack((wb - wa).astype("<u4")), pack(context32[a:b].astype("<u4")), pack(who[a:b].astype("<u2")), pack(times[a:b].astype("<u4")), flags, *once))
+                    once = (b"", b"")
+                number += 1
+                kinds = (pa.int32(), pa.int64(), *(pa.binary(),) * 8)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in DEALT.split(", ")])
 
-    return docs.select("key", "train", "text").mapInArrow(run, "part int, words binary, spans binary, contexts binary, texts binary, times binary, keys binary, train binary")
+    return docs.select("key", "train", "text").mapInArrow(run, DEALT)
 
 
 def _entries(row: dict, names: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One packed row as (word number, context, text number, repeats, training) arrays and its text keys."""
-    own = unpack(row["texts"], "<u2").astype(np.int32)
+    """One packed row as (word number, context, text number, repeats, training) arrays."""
+    who = unpack(row["texts"], "<u2").astype(np.int32)
     at = np.repeat(np.searchsorted(names, unpack_rising(row["words"], "<u8")).astype(np.uint32), unpack(row["spans"], "<u4"))
-    train = unpack(row["train"], "<u1").astype(bool)[own]
-    return at, unpack(row["contexts"], "<u4"), own, unpack(row["times"], "<u4").astype(np.int32), train, unpack(row["keys"], "<i8")
+    train = np.unpackbits(np.frombuffer(row["train"], np.uint8)).astype(bool)[who]
+    return at, unpack(row["contexts"], "<u4"), who, unpack(row["times"], "<u4").astype(np.int32), train
+
+
+SUMS = "block long, texts binary, known binary, base binary, score binary, keys binary, sizes binary"
 
 
 def _shard(packed: pa.Table, common) -> pa.Table:
@@ -232,7 +242,7 @@ def _shard(packed: pa.Table, common) -> pa.Table:
     names = np.unique(np.concatenate([unpack_rising(r["words"], "<u8") for r in rows]))
     count, rising, repeats = np.zeros(len(names)), [], []
     for r in rows:
-        at, context, _, times, train, _ = _entries(r, names)
+        at, context, _, times, train = _entries(r, names)
         count += np.bincount(at[train], weights=times[train], minlength=len(names))
         rising.append((at[train].astype(np.uint64) << np.uint64(32)) | context[train])
         repeats.append(times[train])
@@ -263,15 +273,31 @@ def _shard(packed: pa.Table, common) -> pa.Table:
     del pairs, node, below, pair_n
     base, is_end, out = np.log10(p), names == END, []
     for r in rows:
-        at, context, text, times, _, keys = _entries(r, names)
+        at, context, who, times, _ = _entries(r, names)
         context = context.astype(np.uint64)
         found, logs = trie.find(at, context)
         unseen = ~found
         logs[unseen] = trie.word_logs(at[unseen]) + np.log10(prior(context[unseen]))
         logs -= np.where(is_end[at], 0.0, trie.context_logs(at))
-        total_of = lambda v: np.bincount(text, weights=times * v, minlength=len(keys))  # noqa: B023, E731
-        out.append((keys, total_of(1.0).astype(np.int64), total_of(count[at] > 0).astype(np.int64), total_of(base[at]), total_of(logs)))
-    return pa.table({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("key", "n_tokens", "n_known", "base_score", "score"))})
+        mine = np.flatnonzero(np.bincount(who))
+        total_of = lambda v: np.bincount(who, weights=times * v)[mine]  # noqa: B023, E731
+        out.append((r["block"], pack_rising(mine.astype("<u2")), pack(total_of(count[at] > 0).astype("<u4")), pack(total_of(base[at])), pack(total_of(logs).astype("<f4")), r["keys"], r["sizes"]))
+    kinds = (pa.int64(), *(pa.binary(),) * 6)
+    return pa.table({c.split()[0]: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate(zip(SUMS.split(", "), kinds, strict=True))})
+
+
+def _merged(sums: pa.Table) -> pa.Table:
+    """The sums of one block's texts over all parts."""
+    rows = sums.to_pylist()
+    head = next(r for r in rows if r["keys"])
+    keys, sizes = unpack(head["keys"], "<i8"), unpack(head["sizes"], "<u4").astype(np.int64)
+    known, base, score = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+    for r in rows:
+        mine = unpack_rising(r["texts"], "<u2").astype(np.int64)
+        known[mine] += unpack(r["known"], "<u4")
+        base[mine] += unpack(r["base"], "<f8")
+        score[mine] += unpack(r["score"], "<f4")
+    return pa.table({"key": keys, "n_tokens": sizes, "n_known": known, "base_score": base, "score": score})
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -280,7 +306,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     The model learns from the rows where ``train`` holds and scores all.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     unigrams = materialise(word_counts(rows.filter("train")), "lm-words")
     total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -294,7 +320,9 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     sums = (
         _dealt(rows, common, parts)
         .groupBy("part")
-        .applyInArrow(lambda t: _shard(t, common), "key long, n_tokens long, n_known long, base_score double, score double")
+        .applyInArrow(lambda t: _shard(t, common), SUMS)
+        .groupBy("block")
+        .applyInArrow(_merged, "key long, n_tokens long, n_known long, base_score double, score double")
         .groupBy("key")
         .agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     )

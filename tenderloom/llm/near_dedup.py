@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.shared import materialise, shuffle_parts
+from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
+from tenderloom.llm.shared import materialise, shuffle_parts, text_batches
 from tenderloom.llm.words import NOT_BLANK, blocks, in_text, mix, tokenise
 
 CHUNKS, PER_CHUNK, BITS = 16, 4, 16
@@ -104,7 +105,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 columns = [ids.slice(first, len(part)), pa.array(np.diff(bounds)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def _values(column: pa.Array) -> np.ndarray:
@@ -195,7 +196,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id"), "near-texts")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
             left, right, hit = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
             for first, part in blocks(left):
                 x, bx = shingle_sets(part, k)
@@ -231,25 +232,84 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("doc_id").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def across(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of different components that meet under a key and whose sizes and signatures are near enough."""
-    most = limit_of(percent)
-    active = classes.select("doc_id", "n_shingles", "sig").join(labels, "doc_id")
+def shared_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shared): how many shingles of each named document another named document holds too.
+
+    Shingles are dealt by hash, once for each block of texts; only numbers come back.
+    """
+    parts = shuffle_parts(docs.sparkSession)
+
+    def deal(batches):
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, part in blocks(batch.column(1).to_pylist()):
+                hashes, bounds = shingle_sets(part, k)
+                owner = np.repeat(np.arange(len(part)), np.diff(bounds))
+                order = np.argsort(hashes, kind="stable")
+                hashes, owner = hashes[order], owner[order]
+                where = (mix(hashes) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                hashes, owner, where = hashes[order], owner[order], where[order]
+                out = []
+                for p, s, e in zip(*slices(where), strict=True):
+                    mine, local = np.unique(owner[s:e], return_inverse=True)
+                    out.append((int(p), pack_rising(hashes[s:e]), pack(local.astype("<u2")), pack(names[first + mine])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3)]], names=["part", "hashes", "owner", "rows"])
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        hashes = np.concatenate([unpack_rising(r["hashes"], "<u8") for r in rows])
+        owner = np.concatenate([unpack(r["rows"], "<i8")[unpack(r["owner"], "<u2").astype(np.int64)] for r in rows])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        same = np.zeros(len(hashes), bool)
+        same[1:] = hashes[1:] == hashes[:-1]
+        same[:-1] |= same[1:]
+        names, n = np.unique(owner[same], return_counts=True)
+        return pa.table({"doc_id": names, "shared": n})
+
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
+    dealt = texts.mapInArrow(deal, "part int, hashes binary, owner binary, rows binary")
+    return dealt.groupBy("part").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
-    def keyed(batches):
+
+def _keyed(active: DataFrame) -> DataFrame:
+    """(key, number, doc_id, component): every key of every class."""
+
+    def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
                 keys = _keys(_values(part.column(1)))
-                at = np.repeat(np.arange(len(keys)), KEYS)
+                at = pa.array(np.repeat(np.arange(len(keys)), KEYS))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(KEYS), len(keys))), *[part.column(i).take(pa.array(at)) for i in (0, 2)]],
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(KEYS), len(keys))), *[part.column(i).take(at) for i in (0, 2)]],
                     names=["key", "number", "doc_id", "component"],
                 )
 
-    rows = active.select("doc_id", "sig", "component").mapInArrow(keyed, "key long, number long, doc_id long, component long")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
-    met = materialise(rows.join(mixed, "key"), "near-met")
+    return active.select("doc_id", "sig", "component").mapInArrow(run, "key long, number long, doc_id long, component long")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, n): keys under which several components meet."""
+    return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
+
+
+def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components that meet under a key and whose sizes and signatures are near enough.
+
+    A class can be linked only if ``percent`` of its shingles are held by another class that is looked at; those
+    that are too much their own are left out before any comparison, whatever their number.
+    """
+    most = limit_of(percent)
+    active = classes.select("doc_id", "n_shingles", "sig").join(labels, "doc_id")
+    rows = _keyed(active)
+    open_ = materialise(rows.join(_mixed(rows), "key", "left_semi").select("doc_id").distinct(), "near-open")
+    able = shared_shingles(docs, open_, k)
+    active = materialise(active.join(able, "doc_id").filter(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("shared"), "near-able")
+    rows = _keyed(active)
+    met = materialise(rows.join(_mixed(rows), "key"), "near-met")
     full = met.join(active.select("doc_id", "n_shingles", "sig"), "doc_id")
     cells = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), cells).cast("int")
@@ -319,7 +379,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = materialise(confirm(materialise(best, "near-best"), docs, k, percent), "near-found")
     met = beside.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     labels = materialise(components(met, links), "near-components")
-    more = materialise(across(classes, labels, percent), "near-across")
+    more = materialise(across(classes, labels, docs, k, percent), "near-across")
     if more.limit(1).count():
         links = links.unionByName(confirm(more, docs, k, percent))
         labels = materialise(components(met, links), "near-components")

@@ -33,6 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after lowering the session's rows a batch for Python tasks: batches of texts stay a few megabytes."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Partitions for keyed repartitioning: the session's own shuffle width."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

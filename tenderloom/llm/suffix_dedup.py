@@ -31,16 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
-from tenderloom.llm.shared import materialise, shuffle_parts
+from tenderloom.llm.shared import materialise, shuffle_parts, text_batches
 from tenderloom.llm.words import blocks, mix, powers, prefix_hash
 
 LENGTH, GRAM = 50, 20
 #: Grams in a string: one of any WINDOW neighbouring grams is the least.
 WINDOW = LENGTH - GRAM + 1
 BLOCK = 1_000_000
+#: Suffixes that make one batch of a shard's family.
+BATCH = 200_000
 #: Up to this many rows are named by broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-MOST = np.uint64(2**64 - 1)
+#: Lower bits of an order key that hold a gram's place.
+PLACE_BITS = 24
+#: Bytes of text whose grams are worked out at once, and of texts that are dealt out together.
+STEP = 262_144
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -53,38 +58,52 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 class Grams:
-    """The texts of a block, their gram hashes, and the least gram of every string of LENGTH bytes."""
+    """Some texts, and for every string of LENGTH bytes in them its least gram.
+
+    Grams are ordered by the upper bits of their hash, then from left to right. The place stands in the lower bits,
+    so that a sliding minimum finds both; it only ever moves on with the string, so equal neighbours mark its runs.
+    """
 
     def __init__(self, texts: list[bytes]):
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         n = len(self.data)
-        self.h = prefix_hash(self.data)
+        none = np.zeros(0, np.int64)
+        self.key, self.at, self.who, self.begin, self.count = np.zeros(0, np.uint64), none, none, none, none
         if n < LENGTH:
-            self.gram, self.starts, self.owner, self.least = np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
             return
+        self.h = prefix_hash(self.data)
         _, self.down = powers(n + 1)
-        self.gram = np.maximum(mix((self.h[GRAM:] - self.h[:-GRAM]) * self.down[: n - GRAM + 1]), np.uint64(1))
-        m = _sliding(self.gram, WINDOW, np.minimum)
+        gram = mix((self.h[GRAM:] - self.h[:-GRAM]) * self.down[: n - GRAM + 1])
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        m = _sliding((gram & ~low) | (np.arange(len(gram), dtype=np.uint64) & low), WINDOW, np.minimum)
         count = np.maximum(np.diff(self.bounds) - LENGTH + 1, 0)
-        self.owner = np.repeat(np.arange(len(texts)), count)
-        self.starts = np.repeat(self.bounds[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        self.least = self._leftmost(m[self.starts])
-
-    def _leftmost(self, value: np.ndarray) -> np.ndarray:
-        """For every string the first place of its least gram."""
-        out = np.full(len(value), -1, np.int64)
-        left = np.arange(len(value))
-        offset = 0
-        while len(left):
-            hit = self.gram[self.starts[left] + offset] == value[left]
-            out[left[hit]] = self.starts[left[hit]] + offset
-            left = left[~hit]
-            offset += 1
-        return out
-
-    def fingerprints(self, at: np.ndarray) -> np.ndarray:
-        return mix((self.h[at + LENGTH] - self.h[at]) * self.down[at] ^ np.uint64(0x5EED))
+        first = self.bounds[:-1]
+        inside = np.zeros(len(m) + 1, np.int8)
+        np.add.at(inside, first[count > 0], 1)
+        np.add.at(inside, (first + count)[count > 0], -1)
+        start = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        if not len(start):
+            return
+        m = m[start]
+        fresh = np.ones(len(m), bool)
+        fresh[1:] = (m[1:] != m[:-1]) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(fresh)
+        self.begin = start[head]
+        self.who = np.searchsorted(self.bounds, self.begin, side="right") - 1
+        self.count = np.diff(np.append(head, len(m)))
+        self.at = self.begin + ((m[head] - self.begin.astype(np.uint64)) & low).astype(np.int64)
+        self.key = np.maximum(gram[self.at], np.uint64(1))
+
+
+def _steps(texts: list[bytes]):
+    """(number of the first, texts) of runs of about STEP bytes."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= STEP or i == len(texts) - 1:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -110,10 +129,12 @@ def _grams_dealt(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("row").to_numpy(zero_copy_only=False)
             for first, texts in blocks(batch.column("text").to_pylist(), BLOCK):
-                g = Grams(texts)
-                at = np.unique(g.least)
-                keys, owner = g.gram[at], np.searchsorted(g.bounds, at, side="right") - 1
-                order = np.lexsort((owner, keys))
+                found = []
+                for s, some in _steps(texts):
+                    g = Grams(some)
+                    found.append((g.key, g.who + s))
+                keys, owner = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                order = np.argsort(keys, kind="stable")
                 keys, owner = keys[order], owner[order]
                 fresh = np.ones(len(keys), bool)
                 fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
@@ -172,35 +193,33 @@ def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
     texts = texts.take(pa.array(pick, pa.int64()))
     ids, docs = texts.column("row").to_numpy(), texts.column("doc_id").to_numpy()
     for first, part in blocks(texts.column("text").to_pylist(), BLOCK):
-        g = Grams(part)
-        at = np.unique(g.least)
-        owner = np.searchsorted(g.bounds, at, side="right") - 1
-        shared = np.zeros(len(at), bool)
-        for i, a, b in zip(*slices(owner), strict=True):
-            shared[a:b] = np.isin(g.gram[at[a:b]], np.concatenate(flagged[int(ids[first + i])]))
-        good = shared[np.searchsorted(at, g.least)]
-        start, least, who = g.starts[good], g.least[good], g.owner[good]
-        cut = np.ones(len(start), bool)
-        cut[1:] = (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])
-        begin = np.flatnonzero(cut)
-        count = np.diff(np.append(begin, len(start)))
-        at, key, who = start[begin], g.gram[least[begin]], who[begin]
-        size = count + LENGTH - 1
-        same = mix((g.h[at + size] - g.h[at]) * g.down[at] + size.astype(np.uint64)) if len(at) else key
+        found, seen = [], 0
+        for s, some in _steps(part):
+            g = Grams(some)
+            shared = np.zeros(len(g.key), bool)
+            for i, a, b in zip(*slices(g.who), strict=True):
+                shared[a:b] = np.isin(g.key[a:b], np.concatenate(flagged[int(ids[first + s + i])]))
+            start, count, who = g.begin[shared], g.count[shared], g.who[shared]
+            size = count + LENGTH - 1
+            same = mix((g.h[start + size] - g.h[start]) * g.down[start] + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+            index = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())
+            found.append((start - g.bounds[who], g.key[shared], who + s, count, size, same, np.cumsum(size) - size + seen, g.data[index]))
+            seen += int(size.sum())
+        at, key, who, count, size, same, place, data = (np.concatenate([f[i] for f in found]) for i in range(8))
         order = np.lexsort((docs[first + who], same, key))
-        at, key, who, count, size, same = (v[order] for v in (at, key, who, count, size, same))
+        at, key, who, count, size, same, place = (v[order] for v in (at, key, who, count, size, same, place))
         repeat = np.zeros(len(at), bool)
         repeat[1:] = (key[1:] == key[:-1]) & (same[1:] == same[:-1])
         head = np.maximum.accumulate(np.where(repeat, 0, np.arange(len(at))))
         later = repeat & (docs[first + who] > docs[first + who[head]])
         full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
-        for r, names, spans, (p, m) in _by_range(ids[first + who[later]], parts, (at - g.bounds[who])[later], full[later]):
+        for r, names, spans, (p, m) in _by_range(ids[first + who[later]], parts, at[later], full[later]):
             out.append((r, "mark", pack(names), b"", pack(spans), pack(p.astype("<u4")), b"", pack(m.astype("<u4"))))
-        at, key, who, count, size = (v[~later] for v in (at, key, who, count, size))
+        at, key, who, count, size, place = (v[~later] for v in (at, key, who, count, size, place))
         for p, a, b in zip(*slices(_part_of(key, parts)), strict=True):
             mine, local = np.unique(who[a:b], return_inverse=True)
-            index = np.repeat(at[a:b] - np.concatenate([[0], np.cumsum(size[a:b])[:-1]]), size[a:b]) + np.arange(size[a:b].sum())
-            out.append((int(p), "run", pack(ids[first + mine]), pack(docs[first + mine]), pack(local.astype("<u2")), pack((at - g.bounds[who])[a:b].astype("<u4")), pack(count[a:b].astype(np.uint8)), g.data[index].tobytes()))
+            index = np.repeat(place[a:b] - np.concatenate([[0], np.cumsum(size[a:b])[:-1]]), size[a:b]) + np.arange(size[a:b].sum())
+            out.append((int(p), "run", pack(ids[first + mine]), pack(docs[first + mine]), pack(local.astype("<u2")), pack(at[a:b].astype("<u4")), pack(count[a:b].astype(np.uint8)), data[index].tobytes()))
     return pa.table(
         {"part": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.string())}
         | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("rows", "docs", "owner", "at", "count", "bytes"), 2)}
@@ -261,14 +280,17 @@ def _scan(table: pa.Table, parts: int) -> pa.Table:
         owner = unpack(x["owner"], "<u2").astype(np.int64)
         batches.append((unpack(x["rows"], "<i8")[owner], unpack(x["docs"], "<i8")[owner], unpack(x["at"], "<u4"), unpack(x["count"], "<u1").astype(np.int64), np.frombuffer(x["bytes"], np.uint8)))
         total += int(batches[-1][3].sum())
-    family, seen = SuffixFamily(total), 0
+    family, seen, held = SuffixFamily(total), 0, []
     for _, docs, _, count, data in batches:
         size = count + LENGTH - 1
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         h, (_, down) = prefix_hash(data), powers(len(data) + 1)
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        family.add(mix((h[at + LENGTH] - h[at]) * down[at]), np.repeat(docs, count), np.arange(seen, seen + len(at)))
+        held.append((mix((h[at + LENGTH] - h[at]) * down[at]), np.repeat(docs, count), np.arange(seen, seen + len(at))))
         seen += len(at)
+        if sum(len(x[0]) for x in held) >= BATCH or seen == total:
+            family.add(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            held = []
     marked, seen = family.marked() if batches else np.zeros(0, bool), 0
     for rows, _, at, count, _ in batches:
         own = marked[seen : seen + count.sum()]
@@ -316,7 +338,7 @@ def _named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text (doc_id, text) without its repeated bytes."""
     parts = 4 * shuffle_parts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digest = F.sha2("text", 256)
     equal = long.select("row", "doc_id", digest.alias("digest"))
