@@ -3,8 +3,8 @@
 Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A seed hashes six of eight
 neighbouring tokens; the two masks together hit every stretch of 13 tokens with any two of them replaced. Seeds of
 the benchmark and of every document meet in a hash join; around each hit the item is laid over the document and
-the best stretch is taken, a match counting 1 and a replaced token -4, so that more than four fifths agree. A
-stretch of ``LEAST`` tokens or more, or of all an item's tokens if it has fewer, is contamination.
+the longest stretch is taken that begins and ends with a match and of which more than four fifths agree (a match
+counts 1, a replaced token -4, the sum is positive). A stretch of ``LEAST`` tokens or more, or of all an item's tokens if it has fewer, is contamination.
 
 The benchmark side is broadcast in blocks of at most ``BLOCK_TOKENS`` tokens; a benchmark of more tokens takes
 more passes over the documents, not more memory. Documents are never shuffled.
@@ -92,10 +92,15 @@ class Index:
         left, right = max(low - shift, 0), min(high - shift, b - a)
         same = tokens[shift + left : shift + right] == self.tokens[a + left : a + right]
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-        gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        start = int(total[: end + 1].argmin()) if end else 0
-        start = end - int((total[: end + 1][::-1] == total[start]).argmax()) if end else 0
+        ends = np.flatnonzero(same) + 1
+        if not len(ends):
+            return None
+        # The running minimum over places where a match begins never rises: the first one under an end's total is the
+        # furthest start from which that end is still reached with a positive sum.
+        lowest = np.minimum.accumulate(total[ends - 1])
+        starts = ends[np.searchsorted(-lowest, 1 - total[ends])] - 1
+        best = int((ends - starts).argmax())
+        start, end = int(starts[best]), int(ends[best])
         if end - start < min(LEAST, b - a):
             return None
         return end - start, int(same[start:end].sum()), int(shift + left + start - low), int(left + start)
