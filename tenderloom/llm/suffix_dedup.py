@@ -93,7 +93,7 @@ class Grams:
         self.who = np.searchsorted(self.bounds, self.begin, side="right") - 1
         self.count = np.diff(np.append(head, len(m)))
         self.at = self.begin + ((m[head] - self.begin.astype(np.uint64)) & low).astype(np.int64)
-        self.key = np.maximum(gram[self.at], np.uint64(1))
+        self.key = np.maximum(mix(gram[self.at]), np.uint64(1))  # mixed anew: least hashes are small, shards take equal ranges
 
 
 def _steps(texts: list[bytes]):
