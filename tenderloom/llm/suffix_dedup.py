@@ -337,7 +337,7 @@ def _named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text (doc_id, text) without its repeated bytes."""
-    parts = 4 * shuffle_parts(docs.sparkSession)
+    parts = 2 * shuffle_parts(docs.sparkSession)
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digest = F.sha2("text", 256)
