@@ -98,7 +98,7 @@ def archive_evidence(spark, d):
 def position_evidence(spark, d):
     positions = spark.createDataFrame([("p1", ["blue", "widget"]), ("p2", ["red"]), ("p3", ["nowhere"]), ("p4", [])], "item_id string, required array<string>")
     lines = m.product_rows(spark, d).join(m.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("lot_id"), F.col("l_suppkey").alias("supplier_id")).distinct(), "lot_id")
-    purchases = lines.filter("lot_id % 20 = 0").select("supplier_id", "lot_id", (F.col("lot_id") % 7).alias("priority"), t.tokens(F.col("product_name")).alias("words"))
+    purchases = lines.select("supplier_id", "lot_id", (F.col("lot_id") % 7).alias("priority"), t.tokens(F.col("product_name")).alias("words"))
     return ranking.position_evidence(positions, purchases).select("item_id", "supplier_id", "lot_id")
 
 

@@ -21,3 +21,16 @@ def whole(duck, name, *cuts):  # noqa: F811
 @pytest.mark.parametrize("name", ["match_resolution", "component_scores", "weighted_score", "policy_status", "final_candidates", "candidate_highlights"])
 def test_every_current_offer(spark, duck, name):  # noqa: F811
     assert rows(register.QUERIES[name](spark, DATA).toPandas()) == rows(whole(duck, name, (OFFERS, "")))
+
+
+def test_every_lot(spark, duck):  # noqa: F811
+    assert rows(register.QUERIES["position_evidence"](spark, DATA).toPandas()) == rows(whole(duck, "position_evidence", (" WHERE lot_id % 20 = 0", "")))
+
+
+def test_first_purchase_of_equal_words(spark):
+    from tenderloom.operators import ranking
+
+    positions = spark.createDataFrame([("p", ["red"])], "item_id string, required array<string>")
+    purchases = spark.createDataFrame([(1, 5, 2, ["red"]), (1, 9, None, ["red"]), (1, 7, 2, ["red"]), (1, 8, 1, ["red", "rod"]), (2, 3, None, ["red"])], "supplier_id long, lot_id long, priority long, words array<string>")
+    got = ranking.position_evidence(positions, purchases).select("item_id", "supplier_id", "lot_id").collect()
+    assert sorted(map(tuple, got)) == [("p", 1, 7), ("p", 2, 3)]
