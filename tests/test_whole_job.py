@@ -34,3 +34,9 @@ def test_first_purchase_of_equal_words(spark):
     purchases = spark.createDataFrame([(1, 5, 2, ["red"]), (1, 9, None, ["red"]), (1, 7, 2, ["red"]), (1, 8, 1, ["red", "rod"]), (2, 3, None, ["red"])], "supplier_id long, lot_id long, priority long, words array<string>")
     got = ranking.position_evidence(positions, purchases).select("item_id", "supplier_id", "lot_id").collect()
     assert sorted(map(tuple, got)) == [("p", 1, 7), ("p", 2, 3)]
+
+
+def test_every_document(spark, tmp_path):
+    spark.range(3, 1203).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["doc_id"] for r in register.QUERIES["pending_vectors"](spark, str(tmp_path)).collect()]
+    assert got == [i for i in range(3, 1203) if i % 3 == 0 or i % 5 == 0]
