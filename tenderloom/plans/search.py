@@ -127,7 +127,7 @@ def best_cards(spark, d):
     wanted = sorted({c[:5] for c in REQUESTED if "." in c})
     scored = _cards(spark, d).withColumns({"dense": (F.col("position") * 7 % 11).cast("double"), "bm25": (F.col("position") % 5).cast("double")})
     scored = scored.withColumn("position", F.concat_ws("-", "category", F.col("position").cast("string")))
-    return r.best_cards(scored, wanted, "supplier_id", 30).select("supplier_id", "category", "dense", F.col("rank").cast("long").alias("rank"))
+    return r.best_cards(scored, wanted, "supplier_id").select("supplier_id", "category", "dense", F.col("rank").cast("long").alias("rank"))
 
 
 def graded_search(spark, d):
@@ -136,11 +136,11 @@ def graded_search(spark, d):
 
 
 def cosine_topk(spark, d):
-    v = m.read(spark, d, "embeddings")
-    q = v.filter("vec_id = 0").select(F.col("embedding").alias("q")).first()["q"]
-    near = v.withColumn("similarity", F.round(r.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in q])), 6))
-    top = first_of_each(near, ["label"], [F.desc("similarity"), F.asc(F.col("vec_id").cast("string"))], 3)
-    return top.select("label", "vec_id", "similarity")
+    """The three nearest vectors of each label to every query vector."""
+    v = r.valid_vectors(m.read(spark, d, "embeddings"), "embedding", 64)
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = r.nearest(v, q, "vec_id", "embedding", 3, by="label", digits=6)
+    return near.select("query_id", "label", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def knn_batch(spark, d):
@@ -150,9 +150,9 @@ def knn_batch(spark, d):
 
 
 def vector_channel(spark, d):
-    """The best positive similarity of each label to three query vectors."""
-    v = m.read(spark, d, "embeddings")
-    q = v.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The best positive similarity of each label to every query vector."""
+    v = r.valid_vectors(m.read(spark, d, "embeddings"), "embedding", 64)
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     near = r.nearest(v, q, "vec_id", "embedding", 50).filter("similarity > 0").join(v.select("vec_id", "label"), "vec_id")
     return near.groupBy("query_id", "label").agg(F.round(F.max("similarity"), 5).alias("similarity"))
 
