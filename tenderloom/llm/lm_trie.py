@@ -3,14 +3,14 @@
 Tokens are words (A-Z lower-cased, parted by blanks) and one end mark a text; a text's first token follows a start
 mark. The model is an interpolated bigram model,
 
-    p(w | h) = (c(h w) + m(h) p(w)) / (c(h) + m(h)),    p(w) = (c(w) + 1) / (N + V + 1),
+    p(w | h) = (c(h w) + PRIOR p(w)) / (c(h) + PRIOR),    p(w) = (c(w) + 1) / (N + V + 1).
 
-with the prior weight m(h) = max(M, c(h)) and M = max(1000, N / FREQUENT). Its logarithm parts into a term of the
-word, log(c(h w) + m(h) p(w)), and a term of the context, log(c(h) + m(h)). Every token is thus scored where its
-word lives, and again, as a context, in the same place; so the counts and the texts' n-grams are dealt out once, by
-word, and a word's shard both learns and scores. Only words with more than M occurrences, at most ``FREQUENT`` of
-them whatever the corpus, are known to all tasks, with their counts; their n-grams are dealt by word and context,
-so that no shard holds all of a very common word.
+Its logarithm parts into a term of the word, log(c(h w) + PRIOR p(w)), and a term of the context, log(c(h) + PRIOR).
+Every token is thus scored where its word lives, and again, as a context, in the same place; so the counts and the
+texts' n-grams are dealt out once, by word, and a word's shard both learns and scores. Only words with more than
+max(1000, N / FREQUENT) occurrences, at most ``FREQUENT`` of them whatever the corpus, are known to all tasks, with
+their counts; their n-grams are dealt by word and context, so that no shard holds all of a very common word. That
+bound decides where n-grams are dealt, not what they score.
 
 A shard is a trie over words and, below each, its contexts. Contexts are made one rising sequence by adding what
 came before; words, pointers and contexts are Elias-Fano coded, the smoothed logarithms quantised to 4,096 levels;
@@ -39,6 +39,8 @@ from tenderloom.llm.words import NOT_BLANK, blocks, in_text, tokenise
 
 #: At most so many words are known to all tasks.
 FREQUENT = 50_000
+#: Weight of the unigram model in every context, whatever the size of the corpus.
+PRIOR = 1000.0
 LEVELS = 4096
 #: Bytes of text whose n-grams are packed together.
 BLOCK = 2_000_000
@@ -237,7 +239,7 @@ SUMS = "block long, texts binary, known binary, base binary, score binary, keys
 
 def _shard(packed: pa.Table, common) -> pa.Table:
     """Learn the trie of one part from its training n-grams, then score all of its n-grams block by block."""
-    frequent, frequent_n, total, distinct, least = common.value
+    frequent, frequent_n, total, distinct = common.value
     rows = packed.to_pylist()
     names = np.unique(np.concatenate([unpack_rising(r["words"], "<u8") for r in rows]))
     count, rising, repeats = np.zeros(len(names)), [], []
@@ -256,28 +258,16 @@ def _shard(packed: pa.Table, common) -> pa.Table:
     pairs, begin, _ = slices(pairs[order])
     pair_n = np.add.reduceat(repeats[order], begin).astype(float) if len(begin) else np.zeros(0)
     del order, repeats
-    hot = np.argsort(frequent >> np.uint64(32), kind="stable")
-    seen_hot, seen_n = (frequent >> np.uint64(32))[hot], frequent_n[hot]
-
-    def prior(c32: np.ndarray) -> np.ndarray:
-        out = np.full(len(c32), least)
-        if len(seen_hot):
-            i = np.minimum(np.searchsorted(seen_hot, c32), len(seen_hot) - 1)
-            hit = seen_hot[i] == c32
-            out[hit] = np.maximum(least, seen_n[i[hit]])
-        return out
-
     p = (count + 1) / (total + distinct + 1)
     node, below = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
-    trie = Trie(names, np.log10(p), np.log10(count + np.maximum(least, count)), node, below, np.log10(pair_n + prior(below) * p[node])).mapped()
+    trie = Trie(names, np.log10(p), np.log10(count + PRIOR), node, below, np.log10(pair_n + PRIOR * p[node])).mapped()
     del pairs, node, below, pair_n
     base, is_end, out = np.log10(p), names == END, []
     for r in rows:
         at, context, who, times, _ = _entries(r, names)
-        context = context.astype(np.uint64)
         found, logs = trie.find(at, context)
         unseen = ~found
-        logs[unseen] = trie.word_logs(at[unseen]) + np.log10(prior(context[unseen]))
+        logs[unseen] = trie.word_logs(at[unseen]) + np.log10(PRIOR)
         logs -= np.where(is_end[at], 0.0, trie.context_logs(at))
         mine = np.flatnonzero(np.bincount(who))
         total_of = lambda v: np.bincount(who, weights=times * v)[mine]  # noqa: B023, E731
@@ -315,7 +305,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     frequent = unigrams.filter(F.col("n") > least).toPandas()
     names = frequent["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(names)
-    common = spark.sparkContext.broadcast((names[order], frequent["n"].to_numpy(float)[order], total, distinct, least))
+    common = spark.sparkContext.broadcast((names[order], frequent["n"].to_numpy(float)[order], total, distinct))
     parts = 2 * shuffle_parts(spark)
     sums = (
         _dealt(rows, common, parts)
@@ -327,7 +317,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     )
     copies = rows.select("doc_id", "key", F.col("train").alias("trained")).groupBy("doc_id", "key", "trained").agg(F.count("*").alias("copies"))
-    first = float(np.log10(starts + max(least, starts)))
+    first = float(np.log10(starts + PRIOR))
     share = lambda c: (F.col(c) / F.col("copies")).alias(c)
     out = copies.join(sums, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(

@@ -62,3 +62,22 @@ def test_elias_fano_and_trie():
     found, logs = t.find(np.array([0, 3, 19, 19], np.uint32), np.array([5, 2, 2**32 - 1, 7], np.uint64))
     assert found.tolist() == [True, False, True, False]
     assert logs[0] == pytest.approx(np.linspace(-9, 0, 60)[1], abs=2e-3) and logs[2] == pytest.approx(0, abs=2e-3)
+
+
+def fixed(rows):
+    """Scores with the prior weight of every context at lm_trie.PRIOR; all rows are learnt."""
+    seqs = [[*WORD.findall(t.translate(LOWER)), None] for _, t in rows]
+    c, pairs = Counter(w for s in seqs for w in s), Counter(x for s in seqs for x in zip(["<s>", *s[:-1]], s, strict=True))
+    n, v, m = sum(c.values()), len(c), lm_trie.PRIOR
+    c["<s>"] = len(rows)
+    return [sum(math.log10((pairs[h, w] + m * (c[w] + 1) / (n + v + 1)) / (c[h] + m)) for h, w in zip(["<s>", *s[:-1]], s, strict=True)) for s in seqs]
+
+
+@pytest.mark.parametrize("frequent", [1, lm_trie.FREQUENT])
+def test_weight_does_not_grow_with_counts(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm_trie, "FREQUENT", frequent)
+    rows = [(i, "the cat the dog the cat " * 100 + f"w{i % 7}") for i in range(40)] + [(99, "cat w1 w2 the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_trie.score(df, F.lit(True)).collect()}
+    for (i, _), want in zip(rows, fixed(rows), strict=True):
+        assert got[i] == pytest.approx(want, rel=2e-3)
