@@ -5,12 +5,13 @@ neighbouring tokens; the two masks together hit every stretch of 13 tokens with
 the benchmark and of every document meet in a hash join; around each hit the item is laid over the document and
 the longest stretch is taken that begins and ends with a match and of which more than four fifths agree (a match
 counts 1, a replaced token -4, the sum is positive). A stretch of ``LEAST`` tokens or more, or of all an item's tokens if it has fewer, is contamination.
+An item of fewer than eight tokens is one seed of all its tokens, and only an exact copy of it is contamination.
 
 The benchmark side is broadcast in blocks of at most ``BLOCK_TOKENS`` tokens; a benchmark of more tokens takes
 more passes over the documents, not more memory. Documents are never shuffled.
 
-Defined results: null and empty texts are clean and match nothing; items of fewer than eight tokens hold no seed
-and are no evidence; repeated rows are judged one by one; of equally long stretches the one furthest left in the
+Defined results: null and empty texts are clean and match nothing; items without a
+token are no evidence; repeated rows are judged one by one; of equally long stretches the one furthest left in the
 document is reported; an empty benchmark leaves all documents clean; columns not named in ``keep`` are dropped.
 """
 
@@ -57,6 +58,17 @@ def seeds(tokens: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield mix(h), at
 
 
+def whole_seeds(tokens: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first token) of every place where ``size`` tokens of one owner stand; all of them are looked at."""
+    if len(tokens) < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(owner[: len(tokens) - size + 1] == owner[size - 1 :])
+    h = np.full(len(at), len(MASKS) + size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[at + k]
+    return mix(h), at
+
+
 class Index:
     """Seeds of some benchmark items, sorted, behind a bit table that most document seeds do not pass."""
 
@@ -67,6 +79,13 @@ class Index:
         found = list(seeds(self.tokens, owner))
         h = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
         at = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+        sizes = np.diff(self.bounds)
+        self.short = {}
+        for size in np.unique(sizes[(sizes > 0) & (sizes < SPAN)]).tolist():
+            whole, begin = whole_seeds(self.tokens, owner, size)
+            mine = sizes[owner[begin]] == size
+            by_hash = np.argsort(whole[mine], kind="stable")
+            self.short[size] = whole[mine][by_hash], owner[begin[mine]][by_hash]
         order = np.argsort(h, kind="stable")
         self.h, self.at, self.owner = h[order], at[order], owner
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(h)) * 64))))
@@ -86,6 +105,22 @@ class Index:
             out.append(np.stack([item, owner[doc_at], doc_at - (item_at - self.bounds[item])], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
+    def copies(self, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """(item number, document number, shift) of the first exact copy of every item of fewer than SPAN tokens."""
+        out = []
+        for size, (known, items) in self.short.items():
+            h, at = whole_seeds(tokens, owner, size)
+            a, b = np.searchsorted(known, h), np.searchsorted(known, h, side="right")
+            likely = np.flatnonzero(b > a)
+            # Of a document's places with one seed the first is enough.
+            _, first = np.unique(np.stack([owner[at[likely]], a[likely]], axis=1), axis=0, return_index=True)
+            likely = likely[first]
+            n = (b - a)[likely]
+            doc_at = np.repeat(at[likely], n)
+            item = items[np.repeat(a[likely] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            out.append(np.stack([item, owner[doc_at], doc_at], axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
     def overlap(self, item: int, tokens: np.ndarray, low: int, high: int, shift: int) -> tuple[int, int, int, int] | None:
         """(length, matches, document token, item token) of the best stretch, if it is long enough."""
         a, b = self.bounds[item], self.bounds[item + 1]
@@ -125,7 +160,7 @@ def _judged(shared, texts: list[str | None]) -> Iterator[tuple[int, tuple[int, i
         tokens, _, owner, _ = tokenise(part, WORD_BYTE)
         bounds = in_text(owner, len(part))
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for item, doc, shift in index.hits(tokens, owner).tolist():
+        for item, doc, shift in [*index.hits(tokens, owner).tolist(), *index.copies(tokens, owner).tolist()]:
             got = index.overlap(item, tokens, bounds[doc], bounds[doc + 1], shift)
             if got and ((doc, item) not in best or (got[0], -got[2]) > (best[doc, item][0], -best[doc, item][2])):
                 best[doc, item] = got

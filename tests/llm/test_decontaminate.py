@@ -40,3 +40,13 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = found(spark, texts, items)
     monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 40)
     assert found(spark, texts, items) == whole and len(whole) == 12
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Who wrote it?"), (2, "one two three four five six seven"), (3, "who wrote it"), (4, "zebra"), (5, "?!"), (6, ITEM)]
+    texts = ["so: who WROTE, it then. Who wrote it", "one two three four five six", "x one two three four five six seven y", "who wrote", "one two three four xx six seven", "zebra", "?!", "it who wrote", None]
+    assert found(spark, texts, items) == {(0, 1): (3, 3), (0, 3): (3, 3), (2, 2): (7, 7), (5, 4): (1, 1)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 6, 7, 8]
+    assert {r["doc_token"] for r in decontaminate.contaminated(docs, bench).filter("doc_id = 0").collect()} == {1}
