@@ -180,20 +180,24 @@ def ranker_rows(targets: DataFrame, participations: DataFrame, suppliers: DataFr
 
 
 def query_positives(targets: DataFrame, participations: DataFrame) -> DataFrame:
-    return targets.select("lot_id", "query_text").join(participations.select("lot_id", "supplier_inn"), "lot_id").groupBy("query_text").agg(F.sort_array(F.collect_set("supplier_inn")).alias("known_positive_inns"))
+    """Distinct (query_text, supplier_inn): who took part in a lot of that text. One text may have met any number of suppliers."""
+    return targets.select("lot_id", "query_text").join(participations.select("lot_id", "supplier_inn"), "lot_id").select("query_text", "supplier_inn").distinct()
 
 
-def encoder_pairs(targets: DataFrame, participations: DataFrame, categories: DataFrame, cards: DataFrame, positives: DataFrame, cap: int | None = None, seed: int = 42) -> DataFrame:
-    """The best card of each participant of single-product lots; with ``cap``, a seeded draw of that many a supplier."""
+def encoder_pairs(targets: DataFrame, participations: DataFrame, categories: DataFrame, cards: DataFrame, cap: int | None = None, seed: int = 42) -> DataFrame:
+    """The best card of each participant of single-product lots; with ``cap``, a seeded draw of that many a supplier.
+
+    Positives of a text are looked up in ``query_positives``, not carried along with every pair.
+    """
     lots = targets.filter((F.col("product_count") == 1) & (F.length("query_text") > 0)).select("lot_id", "query_text", (F.lit(1.0) / F.col("participant_count")).alias("sample_weight"))
     rows = (
         lots.join(participations.select("lot_id", "supplier_inn"), "lot_id")
         .join(categories, "lot_id")
         .join(cards.select("supplier_inn", "category", "card_id", "profile_text", "participations"), ["supplier_inn", "category"])
-        .join(positives, "query_text")
     )
     best = first_of_each(rows, ["lot_id", "supplier_inn"], [F.desc("participations"), F.asc("card_id")])
-    return best if cap is None else first_of_each(best, ["supplier_inn"], [F.xxhash64("lot_id", F.lit(seed)), F.asc("lot_id")], cap)
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("lot_id").cast("string")).cast("binary"))
+    return best if cap is None else first_of_each(best, ["supplier_inn"], [drawn, F.asc("lot_id")], cap)
 
 
 def evidence(h: DataFrame, categories: DataFrame, cards: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:

@@ -70,8 +70,8 @@ def final_candidates(spark, d):
 
 
 def company_role(spark, d):
-    role = F.element_at(F.array(*[F.lit(r) for r in ("manufacturer", "distributor", "reseller", "service", "unknown")]), (F.hash("name", "source_id") % 1).cast("int") + F.when(F.col("l_quantity") > 49, 1).when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") > 30, 3).when(F.col("l_quantity") > 20, 4).otherwise(5))
-    cards = m.offers(spark, d).filter("supplier_id is not null").select("supplier_id", "offer_id", "last_seen_at", role.alias("role"), "l_orderkey").filter("offer_id % 50 = supplier_id % 50")
+    role = F.element_at(F.array(*[F.lit(r) for r in ("manufacturer", "distributor", "reseller", "service", "unknown")]), F.when(F.col("l_quantity") > 49, 1).when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") > 30, 3).when(F.col("l_quantity") > 20, 4).otherwise(5))
+    cards = m.offers(spark, d).filter("supplier_id is not null").select("supplier_id", "offer_id", "last_seen_at", role.alias("role"))
     return ranking.company_role(cards).withColumn("evidence", F.coalesce("evidence", F.lit(-1)))
 
 
@@ -205,7 +205,7 @@ def grouped_metrics(spark, d):
 def paired_bootstrap(spark, d):
     """Intervals of a resampled difference; the draws have no SQL equal, their mean has and is tested apart."""
     rows = m.read(spark, d, "events").select((F.col("user_id") % 50).alias("cluster"), (F.col("value") - 20).alias("delta"))
-    return evaluate.paired_bootstrap(rows, "cluster", "delta", 500)
+    return evaluate.paired_bootstrap(rows, "cluster", "delta", 2000)
 
 
 def evaluation_cases(spark, d):
@@ -304,7 +304,7 @@ def validation_counts(spark, d):
 def pass_digests(spark, d):
     """Digests of two passes in different orders; their equality is what SQL can tell."""
     o = m.read(spark, d, "orders")
-    both = quality.table_manifest({"up": (o.orderBy("o_orderkey"), "o_orderkey"), "down": (o.orderBy(F.desc("o_orderkey")), "o_orderkey")})
+    both = quality.table_manifest({"one": (o, "o_orderkey"), "two": (o.repartition("o_custkey"), "o_orderkey")})
     return both.agg(F.sum("n").alias("n"), F.count_distinct("digest").alias("digests"))
 
 
@@ -317,12 +317,12 @@ QUERIES = {f.__name__: f for f in (
 
 _CARD = "WITH" + m.SQL + """,
 cd AS (SELECT supplier_id, offer_id, last_seen_at, 'i' || (offer_id % 3) AS item_id, last_seen_at >= TIMESTAMP '2000-01-01' AS cur, availability = 'available' AS stock, seller_status = 'verified' AS backed,
-  classification_method = 'reference' AS conf, price IS NOT NULL AS ev, l_quantity < 10 AS inf FROM offers WHERE supplier_id IS NOT NULL AND (offer_id % 7 < 2 OR offer_id % 11 = supplier_id % 11)),
+  classification_method = 'reference' AS conf, price IS NOT NULL AS ev, l_quantity < 10 AS inf FROM offers WHERE supplier_id IS NOT NULL),
 gr AS (SELECT *, CASE WHEN cur AND backed AND stock AND ev AND NOT inf THEN 3 WHEN conf AND backed AND ev AND NOT inf THEN 2 WHEN ev THEN 1 ELSE 0 END AS grade FROM cd),
 mt AS (SELECT supplier_id, item_id, max(grade) AS grade, arg_max(offer_id, (grade, cur, last_seen_at, CAST(offer_id AS VARCHAR))) AS offer_id FROM gr GROUP BY 1, 2),
 ms AS (SELECT supplier_id, item_id, CASE grade WHEN 3 THEN 'stock' WHEN 2 THEN 'catalog' ELSE 'inferred' END AS basis, CASE WHEN grade > 0 THEN offer_id ELSE -1 END AS offer_id FROM mt),
 cs AS (SELECT supplier_id, least(1.0, count(DISTINCT item_id) FILTER (basis <> 'inferred') / 3) AS coverage, avg(CASE basis WHEN 'stock' THEN 1.0::DOUBLE WHEN 'catalog' THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END) AS evidence, bool_and(basis = 'inferred') AS only_inferred FROM ms GROUP BY 1)"""
-_RAW = m.ARCHIVE_SQL.split("versions AS (")[0].rstrip().rstrip(",")
+_RAW = m.RAW_SQL
 _CAND = _CARD + ", " + _RAW + """,
 pw AS (SELECT supplier_inn AS supplier_id, count(*) % 9 AS alike, count(*) FILTER (is_winner) % 5 AS wins FROM participation_rows GROUP BY 1),
 cn AS (SELECT *, (supplier_id % 17) / 17.0::DOUBLE AS fusion, (alike / (alike + 5.0::DOUBLE) + wins / (wins + 2.0::DOUBLE)) / 2 AS history FROM cs JOIN pw USING (supplier_id) JOIN suppliers USING (supplier_id)),
@@ -348,12 +348,12 @@ SQL = {
     "weighted_score": _CAND + " SELECT supplier_id, round(history, 6) AS history, round(total, 6) AS total FROM c1",
     "policy_status": _CAND + " SELECT supplier_id, reasons, status FROM ps",
     "final_candidates": _CAND + " SELECT supplier_id, status, round(total, 6) AS total FROM ps ORDER BY status <> 'recommended', round(total, 6) DESC, lpad(CAST(supplier_id AS VARCHAR), 10, '0'), supplier_name LIMIT 20",
-    "company_role": "WITH" + m.SQL + ", rc AS (SELECT supplier_id, offer_id, last_seen_at, CASE WHEN l_quantity > 49 THEN 'manufacturer' WHEN l_quantity > 40 THEN 'distributor' WHEN l_quantity > 30 THEN 'reseller' WHEN l_quantity > 20 THEN 'service' ELSE 'unknown' END AS role FROM offers WHERE supplier_id IS NOT NULL AND offer_id % 50 = supplier_id % 50) SELECT supplier_id, CASE WHEN bool_or(role = 'manufacturer') THEN 'manufacturer' WHEN bool_or(role = 'distributor') AND bool_or(role = 'reseller') THEN 'distributor_reseller' WHEN bool_or(role = 'distributor') THEN 'distributor' WHEN bool_or(role = 'reseller') THEN 'reseller' WHEN bool_or(role = 'service') THEN 'service' ELSE 'unknown' END AS role, coalesce(arg_max(offer_id, (last_seen_at, CAST(offer_id AS VARCHAR))) FILTER (role <> 'unknown'), -1) AS evidence FROM rc GROUP BY 1",
+    "company_role": "WITH" + m.SQL + ", rc AS (SELECT supplier_id, offer_id, last_seen_at, CASE WHEN l_quantity > 49 THEN 'manufacturer' WHEN l_quantity > 40 THEN 'distributor' WHEN l_quantity > 30 THEN 'reseller' WHEN l_quantity > 20 THEN 'service' ELSE 'unknown' END AS role FROM offers WHERE supplier_id IS NOT NULL) SELECT supplier_id, CASE WHEN bool_or(role = 'manufacturer') THEN 'manufacturer' WHEN bool_or(role = 'distributor') AND bool_or(role = 'reseller') THEN 'distributor_reseller' WHEN bool_or(role = 'distributor') THEN 'distributor' WHEN bool_or(role = 'reseller') THEN 'reseller' WHEN bool_or(role = 'service') THEN 'service' ELSE 'unknown' END AS role, coalesce(arg_max(offer_id, (last_seen_at, CAST(offer_id AS VARCHAR))) FILTER (role <> 'unknown'), -1) AS evidence FROM rc GROUP BY 1",
     "candidate_highlights": _CAND + " SELECT supplier_id, array_to_string(list_filter([CASE WHEN coverage > 0 THEN 'covers' END, CASE WHEN supplier_id % 2 > 0 THEN 'in_stock' END, CASE WHEN supplier_id % 3 > 0 THEN 'priced' END, CASE WHEN wins > 0 THEN 'wins' END, CASE WHEN alike > 0 THEN 'similar' END, CASE WHEN supplier_id % 4 = 0 THEN 'verified' END], lambda x: x IS NOT NULL), ',') AS highlights FROM c1",
     "purchase_summary": "WITH " + _RAW + ", pr AS (SELECT supplier_inn AS supplier_id, lot_id, coalesce(bool_or(is_winner), false) AS won, count(*) AS items FROM participation_rows GROUP BY 1, 2) SELECT supplier_id, count(*) AS \"similar\", count(*) FILTER (won) AS wins, array_to_string(list_slice(list(lot_id ORDER BY won DESC, items DESC, lot_id), 1, 5), ',') AS records FROM pr GROUP BY 1",
-    "archive_evidence": _A + ", el AS (SELECT p.supplier_inn, p.lot_id, p.is_winner AND NOT p.label_conflict AS winner, l.query_text AS title, l.publish_date FROM participations p JOIN lots l USING (lot_id) WHERE l.publish_date < DATE '1999-01-01'), fi AS (SELECT lot_id, count(DISTINCT okpd2_code) FILTER (okpd2_code IN ('22.40.11', '23.55.11')) AS exact_codes, count(DISTINCT left(okpd2_code, 5)) FILTER (left(okpd2_code, 5) IN ('22.40', '24.60')) AS categories, CAST(sum(len(list_intersect(string_split_regex(lower(product_name), '[^0-9a-zа-я]+'), ['blue', 'urgent']))) AS BIGINT) AS text_matches FROM product_rows GROUP BY 1), al AS (SELECT supplier_inn, lot_id, winner, publish_date, coalesce(exact_codes, 0) AS exact_codes, coalesce(categories, 0) AS categories, coalesce(text_matches, 0) AS text_matches, len(list_intersect(string_split_regex(lower(title), '[^0-9a-zа-я]+'), ['blue', 'urgent'])) AS title_matches FROM el LEFT JOIN fi USING (lot_id)) SELECT supplier_inn, lot_id, exact_codes, categories, text_matches, title_matches FROM al WHERE exact_codes > 0 OR categories > 0 OR text_matches > 0 OR title_matches > 0 QUALIFY row_number() OVER (PARTITION BY supplier_inn ORDER BY exact_codes DESC, categories DESC, text_matches DESC, title_matches DESC, publish_date DESC, winner DESC, lot_id) <= 5",
-    "position_evidence": "WITH " + _RAW + ", pu AS (SELECT DISTINCT l_suppkey AS supplier_id, lot_id, lot_id % 7 AS priority, string_split_regex(product_name, '[^0-9a-z]+') AS words FROM product_rows JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = lot_id WHERE lot_id % 20 = 0), po(item_id, required) AS (VALUES ('p1', ['blue', 'widget']), ('p2', ['red'])) SELECT item_id, supplier_id, lot_id FROM po JOIN pu ON list_has_all(words, required) QUALIFY row_number() OVER (PARTITION BY item_id, supplier_id ORDER BY priority DESC, lot_id DESC) = 1",
-    "feature_matrix": _A + ", bc AS (SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY supplier_inn ORDER BY participations DESC, card_id) = 1), nc AS (SELECT supplier_inn, count(*) AS card_count FROM cards GROUP BY 1), r AS (SELECT l.lot_id AS query_id, p.supplier_inn, l.query_text, l.start_price, l.customer_inn, s.mean_log_price, s.participations AS sp, s.wins AS sw, c.participations AS cp, c.wins AS cw, coalesce(bc.profile_text, '') AS profile_text, bc.example_count, bc.profile_last_date, nc.card_count FROM targets l JOIN participations p USING (lot_id) LEFT JOIN supplier_stats s ON s.supplier_inn = p.supplier_inn LEFT JOIN customer_stats c ON c.supplier_inn = p.supplier_inn AND c.customer_inn = l.customer_inn LEFT JOIN bc ON bc.supplier_inn = p.supplier_inn LEFT JOIN nc ON nc.supplier_inn = p.supplier_inn) SELECT query_id, supplier_inn, 301.0::DOUBLE AS dense_rank, CAST(supplier_inn % 40 AS DOUBLE) AS customer_rank, round(len(list_intersect(" + _W.format("query_text") + ", " + _W.format("profile_text") + ")) / greatest(len(" + _W.format("query_text") + "), 1), 5) AS token_coverage, round((coalesce(sw, 0) + 1) / (coalesce(sp, 0) + 2), 5) AS supplier_win_rate, 0.5::DOUBLE AS category_win_rate, round((coalesce(cw, 0) + 1) / (coalesce(cp, 0) + 2), 5) AS customer_win_rate, round(coalesce(abs(ln(1 + start_price) - mean_log_price), -1), 5) AS price_distance, CAST(greatest(coalesce(date_diff('day', profile_last_date, DATE '1999-01-01'), 3650), 0) AS DOUBLE) AS profile_age, (customer_inn IS NULL)::DOUBLE AS missing_customer, (start_price IS NULL)::DOUBLE AS missing_price, CAST(coalesce(card_count, 0) AS DOUBLE) AS card_count, CAST(coalesce(example_count, 0) AS DOUBLE) AS profile_examples FROM r",
+    "archive_evidence": _A + ", el AS (SELECT p.supplier_inn, p.lot_id, p.is_winner AND NOT p.label_conflict AS winner, l.query_text AS title, l.publish_date FROM bid p JOIN deal l USING (lot_id) WHERE l.publish_date < DATE '1999-01-01'), fi AS (SELECT lot_id, count(DISTINCT okpd2_code) FILTER (okpd2_code IN ('22.40.11', '23.55.11')) AS exact_codes, count(DISTINCT left(okpd2_code, 5)) FILTER (left(okpd2_code, 5) IN ('22.40', '24.60')) AS categories, CAST(sum(len(list_intersect(string_split_regex(lower(product_name), '[^0-9a-zа-я]+'), ['blue', 'urgent']))) AS BIGINT) AS text_matches FROM product_rows GROUP BY 1), al AS (SELECT supplier_inn, lot_id, winner, publish_date, coalesce(exact_codes, 0) AS exact_codes, coalesce(categories, 0) AS categories, coalesce(text_matches, 0) AS text_matches, len(list_intersect(string_split_regex(lower(title), '[^0-9a-zа-я]+'), ['blue', 'urgent'])) AS title_matches FROM el LEFT JOIN fi USING (lot_id)) SELECT supplier_inn, lot_id, exact_codes, categories, text_matches, title_matches FROM al WHERE exact_codes > 0 OR categories > 0 OR text_matches > 0 OR title_matches > 0 QUALIFY row_number() OVER (PARTITION BY supplier_inn ORDER BY exact_codes DESC, categories DESC, text_matches DESC, title_matches DESC, publish_date DESC, winner DESC, lot_id) <= 5",
+    "position_evidence": "WITH " + _RAW + ", pu AS (SELECT DISTINCT l_suppkey AS supplier_id, lot_id, lot_id % 7 AS priority, string_split_regex(product_name, '[^0-9a-z]+') AS words FROM product_rows JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = lot_id), po(item_id, required) AS (VALUES ('p1', ['blue', 'widget']), ('p2', ['red'])) SELECT item_id, supplier_id, lot_id FROM po JOIN pu ON list_has_all(words, required) QUALIFY row_number() OVER (PARTITION BY item_id, supplier_id ORDER BY priority DESC, lot_id DESC) = 1",
+    "feature_matrix": _A + ", bc AS (SELECT * FROM card QUALIFY row_number() OVER (PARTITION BY supplier_inn ORDER BY participations DESC, card_id) = 1), nc AS (SELECT supplier_inn, count(*) AS card_count FROM card GROUP BY 1), r AS (SELECT l.lot_id AS query_id, p.supplier_inn, l.query_text, l.start_price, l.customer_inn, s.mean_log_price, s.participations AS sp, s.wins AS sw, c.participations AS cp, c.wins AS cw, coalesce(bc.profile_text, '') AS profile_text, bc.example_count, bc.profile_last_date, nc.card_count FROM aim l JOIN bid p USING (lot_id) LEFT JOIN seller s ON s.supplier_inn = p.supplier_inn LEFT JOIN pairing c ON c.supplier_inn = p.supplier_inn AND c.customer_inn = l.customer_inn LEFT JOIN bc ON bc.supplier_inn = p.supplier_inn LEFT JOIN nc ON nc.supplier_inn = p.supplier_inn) SELECT query_id, supplier_inn, 301.0::DOUBLE AS dense_rank, CAST(supplier_inn % 40 AS DOUBLE) AS customer_rank, round(len(list_intersect(" + _W.format("query_text") + ", " + _W.format("profile_text") + ")) / greatest(len(" + _W.format("query_text") + "), 1), 5) AS token_coverage, round((coalesce(sw, 0) + 1) / (coalesce(sp, 0) + 2), 5) AS supplier_win_rate, 0.5::DOUBLE AS category_win_rate, round((coalesce(cw, 0) + 1) / (coalesce(cp, 0) + 2), 5) AS customer_win_rate, round(coalesce(abs(ln(1 + start_price) - mean_log_price), -1), 5) AS price_distance, CAST(greatest(coalesce(date_diff('day', profile_last_date, DATE '1999-01-01'), 3650), 0) AS DOUBLE) AS profile_age, (customer_inn IS NULL)::DOUBLE AS missing_customer, (start_price IS NULL)::DOUBLE AS missing_price, CAST(coalesce(card_count, 0) AS DOUBLE) AS card_count, CAST(coalesce(example_count, 0) AS DOUBLE) AS profile_examples FROM r",
     "linear_reasons": "WITH x AS (SELECT p_partkey, 0.5::DOUBLE * (p_size / 50.0::DOUBLE) AS a, p_retailprice / 1000 - 1.5::DOUBLE AS b, -0.25::DOUBLE * (p_partkey % 3) AS c FROM part), g AS (SELECT p_partkey, unnest(['size', 'price', 'other', 'mixed']) AS g, unnest([a, b, c, a + c]) AS v FROM x) SELECT p_partkey, coalesce(array_to_string(list_slice(list(g ORDER BY v DESC, g) FILTER (v > 1e-6), 1, 2), ','), '') AS reasons FROM g GROUP BY 1",
     "classify_cascade": "WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey % 40 + 10 AS VARCHAR) || '.' || (p_size % 30 + 10) END AS g, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 60 + 10 AS VARCHAR) || '.' || (p_size % 30 + 10) END AS a, CASE WHEN p_size > 25 THEN CAST(p_partkey % 80 + 10 AS VARCHAR) || '.' || (p_size % 30 + 10) END AS l FROM part) SELECT p_partkey, coalesce(g, a, l, '') AS code, CASE WHEN g IS NOT NULL THEN 'gold' WHEN a IS NOT NULL THEN 'archive' WHEN l IS NOT NULL THEN 'lexicon' ELSE 'none' END AS method, CASE WHEN g IS NOT NULL THEN 1.0::DOUBLE WHEN a IS NOT NULL THEN 0.8::DOUBLE WHEN l IS NOT NULL THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence, CAST(length(replace(coalesce(g, a, l, ''), '.', '')) AS INTEGER) AS level FROM x",
     "archive_codes": "SELECT lower(p_name || ' ' || p_size) AS name, min(p_brand) AS code FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1",
@@ -366,9 +366,9 @@ SQL = {
     "ranking_metrics": _EVAL + " SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg((place > 0)::DOUBLE), 6) AS winner_recall, round(avg(mrr), 6) AS mrr, " + ", ".join(f"round(avg((place BETWEEN 1 AND {n})::DOUBLE), 6) AS hit_{n}" for n in (1, 5, 10, 20)) + ", round(avg((ten > 0)::DOUBLE), 6) AS bidder_hit_10, round(avg(ten / len(participants)), 6) AS participant_recall_10 FROM my",
     "metric_slices": _EVAL + ", sl AS (SELECT *, unnest([CASE WHEN query_id % 9 + 1 <= 4 THEN 'short' ELSE 'long' END, CASE WHEN label > 1 THEN 'multi' ELSE 'single' END, CASE WHEN query_id % 15 = 0 THEN 'no_history' WHEN query_id % 15 < 10 THEN 'small_history' ELSE 'large_history' END]) AS slice FROM my) SELECT slice, count(*) AS queries, round(avg(mrr), 6) AS mrr, round(avg(hit_5), 6) AS hit_5 FROM sl GROUP BY 1",
     "grouped_metrics": "WITH " + _RAW + ", g AS (SELECT lot_id, supplier_inn, coalesce(bool_or(is_winner), false)::INTEGER AS label, count(*) AS score FROM participation_rows GROUP BY 1, 2), o AS (SELECT *, sum(label) OVER (PARTITION BY lot_id) AS w, row_number() OVER (PARTITION BY lot_id ORDER BY score DESC, CAST(supplier_inn AS VARCHAR)) AS place FROM g) SELECT count(*) AS groups, round(avg((place = 1)::DOUBLE), 6) AS accuracy, round(avg(1.0::DOUBLE / place), 6) AS mrr FROM o WHERE w = 1 AND label = 1",
-    "evaluation_cases": _A + ", w AS (SELECT lot_id, max(supplier_inn) FILTER (is_winner) AS winner, count(*) FILTER (is_winner) AS n, CAST(count(DISTINCT supplier_inn) AS INTEGER) AS participants FROM participations GROUP BY 1) SELECT lot_id, winner, participants FROM w JOIN lots USING (lot_id) WHERE n = 1 AND publish_date > DATE '2000-12-31' AND lot_id % 4 <> 0",
-    "mention_audit": _A + ", x AS (SELECT card_id, unnest(['blue widget', 'old gear']) AS product, profile_text FROM cards) SELECT card_id, product, CAST(strpos(lower(profile_text), product) - 1 AS INTEGER) AS \"at\", strpos(lower(profile_text), product) > 0 AND strpos(lower(profile_text), product) - 1 + length(product) <= 60 AS kept FROM x",
-    "card_audit": _A + ", x AS (SELECT example_count, len(string_split_regex(profile_text, '\\s+')) AS n FROM cards) SELECT example_count, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, CAST(max(n) AS INTEGER) AS most, round(avg((n > 24)::INTEGER), 6) AS cut, CAST(sum(greatest(n - 24, 0)) AS BIGINT) AS lost FROM x GROUP BY 1",
+    "evaluation_cases": _A + ", w AS (SELECT lot_id, max(supplier_inn) FILTER (is_winner) AS winner, count(*) FILTER (is_winner) AS n, CAST(count(DISTINCT supplier_inn) AS INTEGER) AS participants FROM bid GROUP BY 1) SELECT lot_id, winner, participants FROM w JOIN deal USING (lot_id) WHERE n = 1 AND publish_date > DATE '2000-12-31' AND lot_id % 4 <> 0",
+    "mention_audit": _A + ", x AS (SELECT card_id, unnest(['blue widget', 'old gear']) AS product, profile_text FROM card) SELECT card_id, product, CAST(strpos(lower(profile_text), product) - 1 AS INTEGER) AS \"at\", strpos(lower(profile_text), product) > 0 AND strpos(lower(profile_text), product) - 1 + length(product) <= 60 AS kept FROM x",
+    "card_audit": _A + ", x AS (SELECT example_count, len(string_split_regex(profile_text, '\\s+')) AS n FROM card) SELECT example_count, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, CAST(max(n) AS INTEGER) AS most, round(avg((n > 24)::INTEGER), 6) AS cut, CAST(sum(greatest(n - 24, 0)) AS BIGINT) AS lost FROM x GROUP BY 1",
     "inn_checksum": "WITH x AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + o_custkey * 104729 AS VARCHAR), 10, '7') AS raw FROM orders), y AS (SELECT o_orderkey, raw AS r0, '0' || substr(raw, 2, 9) AS raw FROM x) SELECT x.o_orderkey, x.raw, (SELECT " + _INN.replace("raw", "x.raw") + ") = CAST(substr(x.raw, 10, 1) AS INTEGER) AND NOT regexp_full_match(x.raw, '7+') AS valid, CASE WHEN " + _INN.replace("raw", "y.raw") + " = CAST(substr(y.raw, 10, 1) AS INTEGER) AND y.raw <> '0000000000' THEN y.raw ELSE '' END AS repaired FROM x JOIN y USING (o_orderkey)",
     "stemmed_words": "SELECT * FROM (VALUES ('кабелями', 'кабел'), ('трубопроводов', 'трубопровод'), ('стальная', 'стальн'), ('Ёлочного', 'елочн'), ('краска', 'краск'), ('масло', 'масл'), ('ветошь', 'ветош'), ('болт', 'болт'), ('насосами', 'насос'), ('плитка', 'плитк'), ('прочность', 'прочн'), ('окно', 'окно')) t(word, stem)",
     "quantity_parse": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 0.5::DOUBLE ELSE -1.0::DOUBLE END AS value, CASE p_partkey % 3 WHEN 0 THEN 'шт' WHEN 1 THEN 'кг' ELSE '' END AS unit FROM part",

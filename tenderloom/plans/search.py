@@ -161,7 +161,7 @@ def pending_vectors(spark, d):
     """Vectors missing or made from another content: a left join on the stored hash."""
     docs = m.read(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("hash"))
     stored = docs.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("hash")).alias("stored"))
-    return docs.join(stored, "doc_id", "left").filter(F.coalesce("stored", F.lit(-1)) != F.col("hash")).select("doc_id").orderBy("doc_id")
+    return docs.join(stored, "doc_id", "left").filter(F.coalesce("stored", F.lit(-1)) != F.col("hash")).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -190,7 +190,7 @@ _DOCS = f"dt AS (SELECT doc_id, {_TOK.format('text')} AS tk FROM documents), ask
 _LEX = _PART + "," + _pool_sql("pt", "p_partkey") + """,
 lex AS (SELECT o.supplier_id, 'i1' AS item_id, max(score) AS relevance FROM sc JOIN offers o ON o.offer_id // 100000 = p_partkey
   WHERE score > 0 AND o.supplier_id IS NOT NULL AND list_has_any(tk, ['blue', 'widget']) GROUP BY 1)"""
-_HIST_RAW = m.ARCHIVE_SQL.split("versions AS (")[0].rstrip().rstrip(",")
+_HIST_RAW = m.RAW_SQL
 _HIST = (
     _HIST_RAW
     + f""",
@@ -225,10 +225,10 @@ SQL = {
     "rrf_weighted": _CH + ", cu AS (SELECT l_suppkey AS supplier_id, row_number() OVER (ORDER BY count(*) DESC, CAST(l_suppkey AS VARCHAR)) AS rank FROM lineitem GROUP BY 1 QUALIFY rank <= 100) SELECT supplier_id, round(sum(w / (60 + rank)), 9) AS raw FROM (SELECT supplier_id, rank, 1.0::DOUBLE AS w FROM ch UNION ALL SELECT supplier_id, rank, 0.5::DOUBLE FROM cu) GROUP BY 1",
     "tally_items": "WITH" + m.SQL + ", h AS (SELECT supplier_id, 'i' || (source_id % 3) AS item_id, round(price / 1000) AS score, offer_id FROM offers WHERE supplier_id IS NOT NULL AND price IS NOT NULL), i AS (SELECT supplier_id, item_id, max(score) AS relevance, list_slice(list(offer_id ORDER BY score DESC, CAST(offer_id AS VARCHAR)), 1, 5) AS refs FROM h GROUP BY 1, 2), tt AS (SELECT supplier_id, sum(relevance) AS total, array_to_string(flatten(list(refs ORDER BY item_id)), ',') AS refs FROM i GROUP BY 1) SELECT supplier_id, total, row_number() OVER (ORDER BY total DESC, CAST(supplier_id AS VARCHAR)) AS rank, refs FROM tt QUALIFY rank <= 50",
     "category_first": _CH + _CARDS + ", cv AS (SELECT supplier_id, CAST(count(DISTINCT category) AS INTEGER) AS coverage FROM crd WHERE category IN ('22.40', '23.55', '24.60', '25.11') GROUP BY 1), fu AS (SELECT supplier_id, round(least(1.0, sum(1.0::DOUBLE / (60 + rank)) / (2.0::DOUBLE / 61)), 9) AS fusion FROM ch GROUP BY 1) SELECT coalesce(fu.supplier_id, cv.supplier_id) AS supplier_id, coalesce(fusion, 0) AS fusion, coalesce(coverage, 0) AS coverage FROM fu FULL JOIN cv ON fu.supplier_id = cv.supplier_id ORDER BY 3 DESC, 2 DESC, CAST(1 AS VARCHAR), CAST(coalesce(fu.supplier_id, cv.supplier_id) AS VARCHAR) LIMIT 40",
-    "best_cards": "WITH" + m.SQL + _CARDS + ", s AS (SELECT supplier_id, category, CAST(position * 7 % 11 AS DOUBLE) AS dense, CAST(position % 5 AS DOUBLE) AS bm25, category || '-' || position AS pos FROM crd), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY supplier_id ORDER BY category IN ('22.40', '23.55', '24.60', '25.11') DESC, dense DESC, bm25 DESC, pos) = 1) SELECT supplier_id, category, dense, row_number() OVER (ORDER BY dense DESC, CAST(supplier_id AS VARCHAR)) AS rank FROM b QUALIFY rank <= 30",
+    "best_cards": "WITH" + m.SQL + _CARDS + ", s AS (SELECT supplier_id, category, CAST(position * 7 % 11 AS DOUBLE) AS dense, CAST(position % 5 AS DOUBLE) AS bm25, category || '-' || position AS pos FROM crd), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY supplier_id ORDER BY category IN ('22.40', '23.55', '24.60', '25.11') DESC, dense DESC, bm25 DESC, pos) = 1) SELECT supplier_id, category, dense, row_number() OVER (ORDER BY dense DESC, CAST(supplier_id AS VARCHAR)) AS rank FROM b QUALIFY rank <= 300",
     "graded_search": "SELECT value, CAST(grade AS INTEGER) AS grade FROM (SELECT p_partkey AS value, least(" + ", ".join(f"CASE WHEN starts_with({c}, 'red') THEN {a} WHEN contains(' ' || {c}, ' red') THEN {b} WHEN contains({c}, 'red') THEN {e} ELSE 9 END" for c, a, b, e in (("lower(p_name)", 0, 2, 4), ("lower(p_type)", 1, 3, 5), ("lower(p_brand)", 6, 6, 7))) + ") AS grade FROM part) WHERE grade < 9",
-    "cosine_topk": f"SELECT label, vec_id, similarity FROM (SELECT e.label, e.vec_id, round({_COS.format('e.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, CAST(vec_id AS VARCHAR)) <= 3",
+    "cosine_topk": f"SELECT query_id, label, vec_id, similarity FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, round({_COS.format('e.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, CAST(vec_id AS VARCHAR)) <= 3",
     "knn_batch": f"SELECT query_id, vec_id, round(s, 5) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, CAST(vec_id AS VARCHAR)) <= 5",
-    "vector_channel": f"WITH n AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS.format('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 3) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 50) SELECT query_id, label, round(max(s), 5) AS similarity FROM n WHERE s > 0 GROUP BY 1, 2",
-    "pending_vectors": "SELECT doc_id FROM documents WHERE doc_id < 500 AND (doc_id % 3 = 0 OR doc_id % 5 = 0) ORDER BY doc_id LIMIT 200",
+    "vector_channel": f"WITH n AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS.format('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 50) SELECT query_id, label, round(max(s), 5) AS similarity FROM n WHERE s > 0 GROUP BY 1, 2",
+    "pending_vectors": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
 }
