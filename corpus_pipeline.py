@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.llm import byte_bpe, decontaminate, language_id, near_dedup, secret_ledger
 from tenderloom.llm.queries import vocabulary_bytes
-from tenderloom.llm.shared import materialise, shared_folder, table
+from tenderloom.llm.shared import Tables, shared_folder, table
 
 #: A language scored below this is as good as a guess among four.
 LEAST_SCORE = 0.3
@@ -28,8 +28,7 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    named = language_id.predict(docs, model, keep=docs.columns)
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.confident(docs, model, LEAST_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +44,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    data = vocabulary_bytes()
-    coded = byte_bpe.encode(docs, data, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
-    proof = byte_bpe.decode(coded, data, keep=tuple(coded.columns))
-    return proof.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = byte_bpe.encode(docs, vocabulary_bytes(), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), proof=True)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -61,7 +58,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    tables, docs, read = Tables(spark, "pipeline"), table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = tables.write(name, stage(spark, docs, sf_dir))
+        tables.drop(*read)
+        read = (name,)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,8 @@ open-addressing hash table), rows without a pair leave, and the matrix is compac
 widest matrix takes the same merges from a heap, in ``n log n``.
 
 The ranks are a vocabulary file of fixed size, read once on the driver and broadcast. Texts are handled in blocks
-of about a megabyte, so a task holds one block and a bounded cache of pieces whatever its partition's size.
+of about a megabyte, so a task holds one block and a cache of pieces bounded in bytes whatever its partition's size.
+Ids are decoded in the same pass where that is asked for, so that one worker and one vocabulary do both.
 
 Defined results: null texts count as empty and give no ids; a long text is split like any other; equal texts give
 equal ids; an empty table gives an empty table; columns not named in ``keep`` are dropped.
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderloom.llm.shared import text_batches
+from tenderloom.llm.words import spans
 
 WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 128, 256, 512)
 NONE = np.int32(2**31 - 1)
-CACHE_PIECES = 150_000
-BLOCK_CHARS = 1_000_000
+#: Bytes of pieces and ids, with what Python adds to each, that a worker keeps for later blocks.
+CACHE_BYTES = 24_000_000
+ENTRY_BYTES = 200
+BLOCK = 1_000_000
 
 
 class Vocabulary:
@@ -48,6 +51,7 @@ class Vocabulary:
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.probes = 0
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     @classmethod
     def parse(cls, data: bytes) -> Vocabulary:
@@ -177,12 +181,18 @@ class Vocabulary:
         fresh: set[str] = set()
         for p in pieces:
             fresh.update(p)
-        if len(self.cache) + len(fresh) > CACHE_PIECES:
-            self.cache.clear()
         fresh.difference_update(self.cache)
         self.learn(fresh)
         get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out = [b"".join(map(get, p)) for p in pieces]
+        self.cached += sum(len(x) + len(get(x)) + ENTRY_BYTES for x in fresh)
+        if self.cached > CACHE_BYTES:
+            self.forget()
+        return out
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.cached = 0
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids (little-endian, 32 bits)."""
@@ -215,19 +225,8 @@ class _Shared:
         return self._broadcast.value
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= BLOCK_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _pieces(find, text: str) -> Iterator[list[str]]:
-    """The matches of a long text, some at a time."""
+    """The matches of a text, some at a time."""
     part: list[str] = []
     for m in find.finditer(text):
         part.append(m.group())
@@ -237,28 +236,31 @@ def _pieces(find, text: str) -> Iterator[list[str]]:
     yield part
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens``."""
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, keep: Sequence[str] = ("doc_id",), proof: bool = False) -> DataFrame:
+    """``keep`` columns with ``ids`` (binary: little-endian unsigned 32-bit) and ``n_tokens``.
+
+    With ``proof`` the ids are decoded again where they are made, and their bytes are the column ``decoded``.
+    """
     shared = _Shared(docs.sparkSession, vocabulary)
     types = [docs.schema[c] for c in keep]
-    schema = T.StructType([*types, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.BinaryType())] * proof]
 
     def run(batches):
         vocab, find = _vocabulary(shared), regex.compile(pattern)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            for a, b in _blocks(texts):
-                if b - a == 1 and len(texts[a] or "") > 4 * BLOCK_CHARS:
-                    coded = [b"".join(vocab.encode_block([p])[0] for p in _pieces(find, texts[a]))]
+            for a, texts in spans(batch.column("__text"), BLOCK):
+                texts = texts.to_pylist()
+                if len(texts) == 1 and len(texts[0] or "") > 4 * BLOCK:
+                    coded = [b"".join(vocab.encode_block([p])[0] for p in _pieces(find, texts[0]))]
                 else:
-                    coded = vocab.encode_block([find.findall(t) if t else [] for t in texts[a:b]])
-                same = [batch.column(c).slice(a, b - a) for c in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [*same, pa.array(coded, pa.binary()), pa.array([len(x) // 4 for x in coded], pa.int64())], names=[*keep, "ids", "n_tokens"]
-                )
-        vocab.cache.clear()  # the worker process outlives the task
+                    coded = vocab.encode_block([find.findall(t) if t else [] for t in texts])
+                made = [pa.array(coded, pa.binary()), pa.array([len(x) // 4 for x in coded], pa.int64())]
+                if proof:
+                    made.append(pa.array([vocab.decode(x) for x in coded], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, len(texts)) for c in keep], *made], names=[*keep, *[f.name for f in added]])
+        vocab.forget()  # the worker process outlives the task
 
-    return text_batches(docs).select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, T.StructType([*types, *added]))
 
 
 def decode(coded: DataFrame, vocabulary: bytes, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -269,10 +271,8 @@ def decode(coded: DataFrame, vocabulary: bytes, keep: Sequence[str] = ("doc_id",
     def run(batches):
         vocab = _vocabulary(shared)
         for batch in batches:
-            ids = batch.column("__ids")
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                out = [vocab.decode(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in ids.slice(a, 256)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(out, pa.binary())], names=[*keep, "decoded"])
+            for a, ids in spans(batch.column("__ids"), 4 * BLOCK):
+                out = [vocab.decode(x or b"") for x in ids.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, len(out)) for c in keep], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return text_batches(coded).select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, schema)
+    return coded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Character 1-, 2- and 3-grams of the lower-cased text are hashed to a fixed number of features. Document
-frequencies are counted over every training document by Spark; the weights are learned with
+frequencies are counted over every labelled training document by Spark; the weights are learned with
 follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties) from a sample of labelled documents, at
 most about ``SAMPLE_PER_LANGUAGE`` of each language chosen by a hash of the id; a fifth of that sample only sets
 the temperature that calibrates the scores. The model has a fixed size and is broadcast.
@@ -13,24 +13,24 @@ read, however long; columns not named in ``keep`` are dropped. A learned predict
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderloom.llm.shared import text_batches
+from tenderloom.llm.words import spans
 
 #: Hashed features of 1-, 2- and 3-grams.
 SIZES = (1 << 10, 1 << 12, 1 << 14)
 FEATURES = sum(SIZES)
 #: Labelled documents of each language that the weights may be learned from (expected number).
 SAMPLE_PER_LANGUAGE = 600
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -115,13 +115,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         df, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df += counts(text) > 0
-                n += 1
+            for _, texts in spans(batch.column(0)):
+                for text in texts.to_pylist():
+                    df += counts(text) > 0
+                n += len(texts)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["feature", "df"])
 
-    rows = text_batches(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(FEATURES, np.int64)
     total = 0
     for feature, df in rows:
@@ -133,10 +134,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Learn from rows (doc_id, text, lang); rows with a null language only count towards document frequencies."""
-    frequencies, total = document_frequencies(docs)
-    idf = np.log((1 + total) / (1 + frequencies)) + 1
+    """Learn from rows (doc_id, text, lang); rows with a null language are left out."""
     labelled = docs.filter("lang is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    frequencies, total = document_frequencies(labelled)
+    idf = np.log((1 + total) / (1 + frequencies)) + 1
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -147,7 +148,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model | None:
 
     def run(batches):
         for batch in batches:
-            found = [weigh(counts(t), idf) for t in batch.column("text").to_pylist()]
+            found = [weigh(counts(t), idf) for _, texts in spans(batch.column("text")) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), batch.column("aside"), pa.array([at.astype("<i4").tobytes() for at, _ in found]), pa.array([v.astype("<f4").tobytes() for _, v in found])],
                 names=["lang", "aside", "at", "value"],
@@ -177,18 +178,35 @@ def predict(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id
         model = shared.value
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column("__text").to_pylist():
-                if model is None or not has_letter(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                p = model.scores(text)
-                best = int(p.argmax())
-                langs.append(model.languages[best])
-                scores.append(float(p[best]))
+            for _, texts in spans(batch.column("__text")):
+                for text in texts.to_pylist():
+                    lang, score = _named(model, text)
+                    langs.append(lang)
+                    scores.append(score)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return text_batches(docs).select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+def _named(model: Model | None, text: str | None) -> tuple[str, float]:
+    if model is None or not has_letter(text):
+        return "und", 0.0
+    p = model.scores(text)
+    best = int(p.argmax())
+    return model.languages[best], float(p[best])
+
+
+def confident(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs``, with their own columns only, whose language is named with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            scores = [_named(model, text)[1] for _, texts in spans(batch.column("text")) for text in texts.to_pylist()]
+            yield batch.filter(pa.array([s > 0 and s >= least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

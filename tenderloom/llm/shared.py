@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,33 +14,63 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (tests, one machine) a temporary folder is used.
+    Only a local session, whose driver and tasks are one process, may lack that setting and gets a temporary folder;
+    on a cluster a missing one is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tenderloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Intermediate tables of one job in the shared folder, so that no step is worked out twice or lost with an executor.
+
+    What is read no more is dropped; tables that a returned DataFrame still reads stay in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job, self.paths = spark, job, {}
+
+    def write(self, name: str, df: DataFrame, rows: int = 1000) -> DataFrame:
+        """Write ``df`` and read it back. While it is written, batches for Python hold at most ``rows`` rows of what may be texts."""
+        path = shared_folder(self.spark, f"{self.job}-{name}")
+        with few_rows(self.spark, rows):
+            df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            for path in self.paths.pop(name, []):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table of its own: ``df`` written to the shared folder and read back."""
+    return Tables(df.sparkSession, "table").write(name, df)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """At most ``rows`` rows a batch for Python tasks in jobs that run meanwhile; then the session's own number again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after lowering the session's rows a batch for Python tasks: batches of texts stay a few megabytes."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+KEPT_POWERS = 2_500_000
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: ``[^\x20\x09-\x0D]+``: everything but the six blanks.
@@ -23,10 +26,14 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
+        both = []
+        for b in (_BASE, _INVERSE):
             p = np.full(n + n // 2, b, np.uint64)
             p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
+            both.append(np.multiply.accumulate(p))
+        if n > KEPT_POWERS:  # a very long text's powers do not stay with the worker
+            return both[0][:n], both[1][:n]
+        _powers[:] = both
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -45,17 +52,21 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(texts: list[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, UTF-8 texts) of runs of about ``limit`` bytes, 4,096 texts at most; null counts as empty."""
-    start, size, part = 0, 0, []
-    for i, t in enumerate(texts):
-        part.append(b"" if t is None else t.encode("utf-8", "surrogatepass"))
-        size += len(part[-1])
-        if size >= limit or len(part) == 4096:
-            yield start, part
-            start, size, part = i + 1, 0, []
-    if part:
-        yield start, part
+def spans(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(index of the first, slice) of runs of about ``limit`` bytes of texts, 4,096 texts at most."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = min(int(np.searchsorted(ends, before + limit)) + 1, start + 4096, len(column))
+        yield start, column.slice(start, stop - start)
+        start = stop
+
+
+def blocks(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """The same runs as lists of UTF-8 texts; null counts as empty. Only one run at a time leaves the Arrow batch."""
+    for first, part in spans(column, limit):
+        yield first, part.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
 def tokenise(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:

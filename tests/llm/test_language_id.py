@@ -32,3 +32,12 @@ def test_learning_is_sparse_and_calibrated():
     logits = rng.normal(size=(2000, 2)) * 8
     p = 1 / (1 + np.exp(-(logits[:, 1] - logits[:, 0]) / 4))
     assert 3 < language_id.calibrate(logits, (rng.random(2000) < p).astype(int)) < 5
+
+
+def test_signs_are_no_letters_and_own_columns_stay(spark, docs):
+    assert not any(map(language_id.has_letter, ("½", "²³", "Ⅷ", "１２", "☃ _ 1", "", None))) and all(map(language_id.has_letter, ("é", "文", "ª")))
+    rows = [(i, "these are words of a text", "en", 7, "mine") for i in range(20)] + [(90, "½ Ⅷ", "en", 8, "x"), (None, "no id but words", "en", 9, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    kept = language_id.confident(df, language_id.train(df), 0.3)
+    assert kept.columns == df.columns
+    assert sorted(kept.collect(), key=str) == sorted([r for r in df.collect() if r["doc_id"] != 90], key=str)
