@@ -3,8 +3,8 @@
 A paragraph is a line or sentence, cut after 200 characters where none ends. The distinct 64-bit digests of a
 text's paragraphs are hashed into three cells each of a sketch; a cell holds a count, the XOR of its digests and
 the XOR of their checks. Two sketches subtract cell by cell, and peeling cells that hold a single digest recovers
-the digests that only one text has. Where peeling gets stuck both sketches are built again with four times the
-cells. From the recovered differences and the two set sizes follows the likeness, the share of common paragraphs.
+the digests that only one text has. Where peeling gets stuck both sketches are built again with other hashes and, up to
+four cells a digest, four times the cells, until all is recovered. From the recovered differences and the two set sizes follows the likeness, the share of common paragraphs.
 
 Sketches of a block of texts are built and peeled together as matrices.
 
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.shared import shuffle_parts, text_batches
-from tenderloom.llm.words import mix
+from tenderloom.llm.shared import shuffle_parts
+from tenderloom.llm.words import mix, spans
 
 #: Cells of the published sketch; a multiple of three.
 CELLS = 24
@@ -40,10 +40,10 @@ def digests(text: str) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in found if p), "<u8")
 
 
-def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
+def _cells(keys: np.ndarray, cells: int, seed: int) -> np.ndarray:
     """Three cells of each key, one in each third."""
     third = np.uint64(cells // 3)
-    return np.stack([(mix(keys ^ np.uint64(0x51ED27 * (j + 1) + cells)) % third).astype(np.int64) + j * int(third) for j in range(3)])
+    return np.stack([(mix(mix(keys + np.uint64(seed)) ^ np.uint64(0x51ED27 * (j + 1) + cells)) % third).astype(np.int64) + j * int(third) for j in range(3)])
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
@@ -53,25 +53,25 @@ def _check(keys: np.ndarray) -> np.ndarray:
 class Sketches:
     """One sketch a row: counts, XOR of digests, XOR of checks."""
 
-    def __init__(self, count: np.ndarray, key: np.ndarray, check: np.ndarray):
-        self.count, self.key, self.check = count, key, check
+    def __init__(self, count: np.ndarray, key: np.ndarray, check: np.ndarray, seed: int = 0):
+        self.count, self.key, self.check, self.seed = count, key, check, seed
 
     @classmethod
-    def of(cls, sets: Sequence[np.ndarray], cells: int) -> Sketches:
-        out = cls(np.zeros((len(sets), cells), np.int32), np.zeros((len(sets), cells), np.uint64), np.zeros((len(sets), cells), np.uint64))
+    def of(cls, sets: Sequence[np.ndarray], cells: int, seed: int = 0) -> Sketches:
+        out = cls(np.zeros((len(sets), cells), np.int32), np.zeros((len(sets), cells), np.uint64), np.zeros((len(sets), cells), np.uint64), seed)
         keys = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
         out._add(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), keys, np.ones(len(keys), np.int32))
         return out
 
     def _add(self, rows: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> None:
         cells = self.count.shape[1]
-        flat = (rows * cells + _cells(keys, cells)).ravel()
+        flat = (rows * cells + _cells(keys, cells, self.seed)).ravel()
         np.add.at(self.count.reshape(-1), flat, np.tile(sign, 3))
         np.bitwise_xor.at(self.key.reshape(-1), flat, np.tile(keys, 3))
         np.bitwise_xor.at(self.check.reshape(-1), flat, np.tile(_check(keys), 3))
 
     def minus(self, other: Sketches) -> Sketches:
-        return Sketches(self.count - other.count, self.key ^ other.key, self.check ^ other.check)
+        return Sketches(self.count - other.count, self.key ^ other.key, self.check ^ other.check, self.seed)
 
     def peel(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """(rows fully recovered, recovered (row, digest, sign)); sign 1: only in the first text, -1: only in the second."""
@@ -91,9 +91,9 @@ class Sketches:
         return done, [x for r, k, s in found for x in zip(r.tolist(), k.tolist(), s.tolist(), strict=True)]
 
     def written(self) -> list[str]:
-        """Each sketch as text: 14 bytes a cell."""
+        """Each sketch as text: 16 bytes a cell."""
         packed = np.concatenate(
-            [self.count.astype("<u2")[:, :, None].view(np.uint8), self.key.astype("<u8")[:, :, None].view(np.uint8), self.check.astype("<u4")[:, :, None].view(np.uint8)], axis=2
+            [self.count.astype("<u4")[:, :, None].view(np.uint8), self.key.astype("<u8")[:, :, None].view(np.uint8), self.check.astype("<u4")[:, :, None].view(np.uint8)], axis=2
         )
         return [base64.b64encode(x.tobytes()).decode() for x in packed]
 
@@ -101,19 +101,16 @@ class Sketches:
 def recover(a: Sequence[np.ndarray], b: Sequence[np.ndarray], cells: int = CELLS) -> list[set[tuple[int, int]]]:
     """For each pair of digest sets the (digest, sign) that one of them lacks."""
     out: list[set[tuple[int, int]]] = [set() for _ in a]
-    left = np.arange(len(a))
+    left, seed = np.arange(len(a)), 0
     while len(left):
-        done, found = Sketches.of([a[i] for i in left], cells).minus(Sketches.of([b[i] for i in left], cells)).peel()
+        done, found = Sketches.of([a[i] for i in left], cells, seed).minus(Sketches.of([b[i] for i in left], cells, seed)).peel()
         good = set(np.flatnonzero(done).tolist())
         for row, key, sign in found:
             if row in good:
                 out[left[row]].add((key, sign))
-        left, cells = left[~done], cells * 4
-        size = max((len(a[i]) + len(b[i]) for i in left), default=0)
-        if len(left) and cells > 64 * (size + CELLS):  # cannot happen but for digests that collide in check and cell
-            for i in left:
-                out[i] = {(k, 1) for k in set(a[i].tolist()) - set(b[i].tolist())} | {(k, -1) for k in set(b[i].tolist()) - set(a[i].tolist())}
-            break
+        left, seed = left[~done], seed + 1
+        if cells < 4 * max((len(a[i]) + len(b[i]) for i in left), default=0) + CELLS:
+            cells *= 4
     return out
 
 
@@ -135,32 +132,41 @@ def edited(text: str, following: str) -> str:
 def in_order(docs: DataFrame, key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """(part, halo, key, text): rows dealt by ranges of ``key`` and sorted downwards; each part ends with its successor.
 
-    Ranges are made of equally wide bins of the key with about as many rows in each range. The first row of a range
-    is copied to the end of the range above (the very first to the very last), marked ``halo``, so that every row's
-    successor follows it in the same part. Only bin counts and one key a range reach the driver.
+    The ranges end with keys that stand at even shares of all rows, found by a quantile sketch, so that outlying keys
+    do not matter. The rows of a range's last key are copied to the end of the range above (of the very last to the
+    lowest), marked ``halo``, so that every row's successor follows it in the same part. Only the ends of the ranges
+    reach the driver.
     """
     parts = parts or shuffle_parts(docs.sparkSession)
     low, high = docs.agg(F.min(key), F.max(key)).first()
     low, high = (0, 0) if low is None else (low, high)
-    bins = min(16 * parts, 1 << 16)
-    width = max(1, -(-(high - low + 2) // bins))
-    at = F.coalesce(F.col(key), F.lit(low - 1))
-    binned = docs.select(at.alias("at"), F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"), ((at - (low - 1)) / width).cast("int").alias("bin"))
-    sizes = binned.groupBy("bin").agg(F.count("*").alias("n"), F.max("at").alias("top")).orderBy("bin").collect()
-    total = sum(r["n"] for r in sizes)
-    part_of, tops, seen = [0] * (bins + 1), {}, 0
-    for r in sizes:
-        part = seen * parts // max(total, 1)
-        part_of[r["bin"]] = part
-        tops[part] = r["top"]
-        seen += r["n"]
-    used = sorted(tops)
-    above = {tops[p]: used[i + 1] if i + 1 < len(used) else used[0] for i, p in enumerate(used)}
-    dealt = binned.withColumn("part", F.element_at(F.array(*[F.lit(p) for p in part_of]), F.col("bin") + 1)).withColumn("halo", F.lit(False))
-    halo = F.create_map(*[F.lit(x) for pair in above.items() for x in pair]) if above else F.create_map().cast("map<bigint,int>")
-    copies = dealt.filter(F.col("at").isin(list(above))).withColumn("part", F.element_at(halo, F.col("at"))).withColumn("halo", F.lit(True))
-    columns = ["part", "halo", "at", "key", "text"]
-    return dealt.select(*columns).unionByName(copies.select(*columns)).repartition(parts, "part").sortWithinPartitions("part", "halo", F.desc("at"), "text")
+    at = F.coalesce(F.col(key), F.lit(low - 1))  # null ids come last
+    rows = docs.select(at.alias("at"), F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
+    found = rows.agg(F.percentile_approx("at", shares, 20 * parts)).first()[0] if shares is not None else None
+    ends = sorted({*(found or []), high})
+    groups = [ends[i : i + 64] for i in range(0, len(ends), 64)]
+    text = F.lit(",".join(map(str, ends)))
+    fixed = F.split(text, ",").cast("array<bigint>")
+    heads = F.split(F.lit(",".join(str(g[-1]) for g in groups)), ",").cast("array<bigint>")
+    # The number of ends below a key, first by groups of 64 ends, then within one group.
+    group = F.size(F.filter(heads, lambda e: e < F.col("at")))
+    some = F.slice(fixed, group * 64 + 1, F.lit(64))
+    part = group * 64 + F.size(F.filter(some, lambda e: e < F.col("at")))
+    dealt = rows.withColumn("part", part)
+    is_end = F.element_at(fixed, F.col("part") + 1) == F.col("at")
+    above = F.when(F.col("part") + 1 < len(ends), F.col("part") + 1).otherwise(F.lit(0))
+    one = lambda p, halo: F.struct(p.cast("int").alias("part"), F.lit(halo).alias("halo"))
+    places = F.when(is_end, F.array(one(F.col("part"), False), one(above, True))).otherwise(F.array(one(F.col("part"), False)))
+    out = dealt.withColumn("place", F.explode(places)).select("place.part", "place.halo", "at", "key", "text")
+    return out.repartition(parts, "part").sortWithinPartitions("part", "halo", F.desc("at"), "text")
+
+
+def _rows(batch: pa.RecordBatch):
+    """(part, halo, key, text) of each row; texts leave the batch about a megabyte at a time."""
+    for first, texts in spans(batch.column("text"), BLOCK_CHARS):
+        part = batch.slice(first, len(texts))
+        yield from zip(*[part.column(c).to_pylist() for c in ("part", "halo", "key", "text")], strict=True)
 
 
 OUT = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -192,7 +198,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     def run(batches):
         last, rows, size = None, [], 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("part", "halo", "key", "text")], strict=True):
+            for row in _rows(batch):
                 if last is not None and not last[1] and last[0] == row[0]:
                     rows.append((last, row))
                     size += len(last[3])
@@ -203,6 +209,6 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         if rows:
             yield block(rows)
 
-    return in_order(text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, OUT)
+    return in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, OUT)
 
 

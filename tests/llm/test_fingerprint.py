@@ -1,6 +1,11 @@
+import hashlib
+
 import numpy as np
 
 from tenderloom.llm import fingerprint
+from tenderloom.llm.queries import op4_fingerprints
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_differences_are_recovered_at_any_size():
@@ -44,3 +49,27 @@ def test_one_row_follows_another_across_ranges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = fingerprint.fingerprint(df).collect()
     assert sorted([(r["doc_id"], r["n_chars"], r["edited"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == brute(rows)
+
+
+def test_outlying_and_equal_ids_do_not_crowd_a_range(spark):
+    rows = [(i, f"text {i}. and more") for i in range(400)] + [(2**50, "far away."), (-(2**50), "far down.")] + [(77, f"same id {i}.") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.fingerprint(df).collect()
+    assert sorted([(r["doc_id"], r["n_chars"], r["edited"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == brute(rows)
+    sizes = [r["count"] for r in fingerprint.in_order(df, parts=8).groupBy("part").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) <= 2 * len(rows) / 8
+
+
+def test_peeling_goes_on_until_all_is_recovered(monkeypatch):
+    monkeypatch.setattr(fingerprint, "CELLS", 3)
+    rng = np.random.default_rng(2)
+    x = [np.unique(rng.integers(1, 2**63, 60, dtype=np.uint64)) for _ in range(50)]
+    for (a, b), only in zip(zip(x[::2], x[1::2], strict=True), fingerprint.recover(x[::2], x[1::2], 3), strict=True):
+        assert only == {(k, 1) for k in a.tolist()} | {(k, -1) for k in b.tolist()}
+
+
+def test_query_is_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = op4_fingerprints(spark, DATA).collect()
+    want = [(i, n, hashlib.sha256(c.encode()).hexdigest(), a, b) for i, n, c, a, b in brute(rows)]
+    assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == sorted(want, key=str)
