@@ -7,8 +7,10 @@ the longest stretch is taken that begins and ends with a match and of which more
 counts 1, a replaced token -4, the sum is positive). A stretch of ``LEAST`` tokens or more, or of all an item's tokens if it has fewer, is contamination.
 An item of fewer than eight tokens is one seed of all its tokens, and only an exact copy of it is contamination.
 
-The benchmark side is broadcast in blocks of at most ``BLOCK_TOKENS`` tokens; a benchmark of more tokens takes
-more passes over the documents, not more memory. Documents are never shuffled.
+The benchmark side is broadcast in blocks of about ``BLOCK_TOKENS`` tokens (an item is never cut, so the longest item
+may add to that), one at a time: a block is read, its pass over the documents written, and its broadcast given up
+before the next is read. A benchmark of more tokens takes more passes, not more memory. Documents are never shuffled.
+A seed that many places share is expanded ``HITS`` hits at a time.
 
 Defined results: null and empty texts are clean and match nothing; items without a
 token are no evidence; repeated rows are judged one by one; of equally long stretches the one furthest left in the
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderloom.llm.shared import text_batches
+from tenderloom.llm.shared import materialise
 from tenderloom.llm.words import WORD_BYTE, blocks, in_text, mix, tokenise
 
 #: Token positions that a seed looks at.
@@ -34,6 +36,8 @@ SPAN = 8
 LEAST = 13
 MISMATCH = -4
 BLOCK_TOKENS = 1_000_000
+#: Pairs of a document's and an item's place that are held at once.
+HITS = 1_000_000
 
 HIT = T.StructType(
     [
@@ -89,20 +93,29 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.h, self.at, self.owner = h[order], at[order], owner
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(h)) * 64))))
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        table = np.zeros(1 << self.bits, bool)
+        table[(self.h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.table = np.packbits(table, bitorder="little")
+
+    def _likely(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return np.flatnonzero(self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
 
     def hits(self, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Distinct (item number, document number, shift): shift is the document token under the item's first."""
         out = []
         for h, at in seeds(tokens, owner):
-            likely = np.flatnonzero(self.table[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+            likely = self._likely(h)
             a, b = np.searchsorted(self.h, h[likely]), np.searchsorted(self.h, h[likely], side="right")
-            n = b - a
-            doc_at = np.repeat(at[likely], n)
-            item_at = self.at[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            item = self.owner[item_at]
-            out.append(np.stack([item, owner[doc_at], doc_at - (item_at - self.bounds[item])], axis=1))
+            real = np.flatnonzero(b > a)
+            likely, a, n = likely[real], a[real], (b - a)[real]
+            cuts = np.searchsorted(np.cumsum(n), np.arange(HITS, n.sum() + HITS, HITS), side="right") if len(n) else []
+            for s, e in zip([0, *cuts], [*cuts, len(n)], strict=True):
+                m = n[s:e]
+                doc_at = np.repeat(at[likely[s:e]], m)
+                item_at = self.at[np.repeat(a[s:e] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                item = self.owner[item_at]
+                out.append(np.unique(np.stack([item, owner[doc_at], doc_at - (item_at - self.bounds[item])], axis=1), axis=0))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def copies(self, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -142,8 +155,8 @@ class Index:
 
 
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The items (item_id, text) in blocks of about ``BLOCK_TOKENS`` tokens, one at a time."""
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The items (item_id, text), repeated rows once, in blocks of about ``BLOCK_TOKENS`` tokens, one at a time."""
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     n = -(-size // BLOCK_TOKENS)
     for k in range(n):
@@ -153,7 +166,21 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[Index]:
             yield Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
-def _judged(shared, texts: list[str | None]) -> Iterator[tuple[int, tuple[int, int, int, int, int]]]:
+def _each_block(benchmark: DataFrame, work) -> Iterator[DataFrame]:
+    """``work(index as a broadcast)`` for each block. All results but the last are written before the next block is read."""
+    spark = benchmark.sparkSession
+    blocks_of, shared, made = benchmark_blocks(benchmark), None, None
+    for index in blocks_of:
+        if shared is not None:
+            yield materialise(made, "decontaminate")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(index)
+        made = work(shared)
+    if made is not None:
+        yield made
+
+
+def _judged(shared, texts: pa.Array) -> Iterator[tuple[int, tuple[int, int, int, int, int]]]:
     """(text number, hit) of the best stretch of every item in every text."""
     index = shared.value
     for first, part in blocks(texts):
@@ -171,31 +198,35 @@ def _judged(shared, texts: list[str | None]) -> Iterator[tuple[int, tuple[int, i
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """A row for each document and item that overlap: ``keep`` columns, item_id, overlap_tokens, matched_tokens, doc_token, item_token."""
     schema = T.StructType([*[docs.schema[c] for c in keep], *HIT.fields])
-    rows, out = text_batches(docs).select(*keep, F.col("text").alias("__text")), None
-    for index in benchmark_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    rows, out = docs.select(*keep, F.col("text").alias("__text")), None
 
-        def run(batches, shared=shared):
+    def work(shared) -> DataFrame:
+        def run(batches):
             for batch in batches:
-                found = list(_judged(shared, batch.column("__text").to_pylist()))
+                found = list(_judged(shared, batch.column("__text")))
                 at = pa.array([i for i, _ in found], pa.int64())
                 values = [pa.array([h[k] for _, h in found], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], *values], names=[*keep, *HIT.names])
 
-        one = rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
+
+    for one in _each_block(benchmark, work):
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which no item overlaps."""
-    for index in benchmark_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    left = [docs]
 
-        def run(batches, shared=shared):
+    def work(shared) -> DataFrame:
+        def run(batches):
             for batch in batches:
-                bad = {i for i, _ in _judged(shared, batch.column("text").to_pylist())}
+                bad = {i for i, _ in _judged(shared, batch.column("text"))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = text_batches(docs).mapInArrow(run, docs.schema)
-    return docs
+        return left[-1].mapInArrow(run, docs.schema)
+
+    for one in _each_block(benchmark, work):
+        left.append(one)
+    return left[-1]

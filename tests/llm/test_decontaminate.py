@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 from tenderloom.llm import decontaminate
 
@@ -50,3 +52,48 @@ def test_short_items_are_found_whole(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 6, 7, 8]
     assert {r["doc_token"] for r in decontaminate.contaminated(docs, bench).filter("doc_id = 0").collect()} == {1}
+
+
+def brute(texts, items):
+    """The best stretch of every item in every text, over all ways to lay one over the other."""
+    cut = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+    out = {}
+    for (d, text), (i, item) in itertools.product(enumerate(texts), items):
+        a, b, best = cut(text), cut(item), None
+        for shift in range(-len(b) + 1, len(a)):
+            left, right = max(0, -shift), min(len(b), len(a) - shift)
+            same = [a[shift + j] == b[j] for j in range(left, right)]
+            for s in range(len(same)):
+                total = 0
+                for e in range(s, len(same)):
+                    total += 1 if same[e] else decontaminate.MISMATCH
+                    if same[s] and same[e] and total > 0 and e - s + 1 >= min(decontaminate.LEAST, len(b)) and (len(b) >= decontaminate.SPAN or all(same[s : e + 1])):
+                        best = max(best or (0, 0, 0, 0), (e - s + 1, -(shift + left + s), sum(same[s : e + 1]), left + s))
+        if best:
+            out[d, i] = (best[0], best[2])
+    return out
+
+
+def test_as_by_brute_force(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"t{rng.randint(0, 60)}" for _ in range(rng.choice((3, 7, 8, 13, 20, 30))))) for i in range(12)]
+    texts = []
+    for _ in range(40):
+        words = [f"u{rng.randint(0, 60)}" for _ in range(rng.randint(0, 15))]
+        for _, item in rng.sample(items, 2):
+            part = item.split()
+            part = part[rng.randint(0, 2) : len(part) - rng.randint(0, 2)]
+            for _ in range(rng.randint(0, 3)):
+                if part:
+                    part[rng.randrange(len(part))] = f"x{rng.randint(0, 9)}"
+            words += part + [f"u{rng.randint(0, 60)}" for _ in range(rng.randint(0, 5))]
+        texts.append(" ".join(words))
+    texts += ["t1 " * 300, None]
+    items += [(20, "t1 " * 40), (20, "t1 " * 40)]
+    assert found(spark, texts, items) == brute(texts, items)
+    hits = decontaminate.HITS
+    decontaminate.HITS = 50
+    try:
+        assert found(spark, texts, items) == brute(texts, items)
+    finally:
+        decontaminate.HITS = hits
