@@ -8,8 +8,8 @@ aggregation keeps one text a blob in each map task, so a hot blob sends one row
 Main path: DataFrame functions only. Spans count code points, the end is exclusive.
 
 Defined results: a null text is the empty text and has no findings; equal rows get equal findings; an empty
-table leaves the ledger as it was; extra columns pass through ``findings_of``, those named ``blob`` or ``spans``
-are replaced.
+table leaves the ledger as it was; extra columns pass through, in ``redacted`` whatever their names, in
+``findings_of`` but for one named ``spans``, which holds the findings.
 """
 
 from __future__ import annotations
@@ -97,9 +97,9 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def addressed(docs: DataFrame) -> DataFrame:
+def addressed(docs: DataFrame, name: str = "blob") -> DataFrame:
     """``docs`` with ``blob``, the SHA-256 of the text's UTF-8 bytes."""
-    return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    return docs.withColumn(name, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
 
 
 def unseen(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -128,15 +128,16 @@ def scan(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> None:
     rows.select("blob", "f.rule_version", "f.spans").write.mode("append").parquet(path)
 
 
-def findings_of(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+def findings_of(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES, name: str = "spans") -> DataFrame:
     """``docs`` with ``spans``: all findings under the given rule versions, by start, then kind as listed."""
     hits = (
         open_ledger(docs.sparkSession, path)
         .filter(F.col("rule_version").isin([r.key for r in rules]) & (F.size("spans") > 0))
-        .groupBy("blob")
-        .agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
+        .groupBy(F.col("blob").alias("__blob"))
+        .agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("__found"))
     )
-    return addressed(docs.drop("spans")).join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    found = addressed(docs.drop(name), "__blob").join(hits, "__blob", "left")
+    return found.withColumn(name, F.coalesce("__found", F.array().cast(SPANS))).drop("__blob", "__found")
 
 
 def written(spans: Column) -> Column:
@@ -160,8 +161,8 @@ def redact(text: Column, spans: Column) -> Column:
 def redacted(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs``, with all their columns, scanned through the ledger at ``path`` and every finding replaced."""
     scan(docs, path, rules)
-    clean = redact(F.col("text"), F.col("spans"))
-    out = findings_of(docs, path, rules).withColumn("text", clean)
+    found = F.col("__spans")
+    out = findings_of(docs, path, rules, "__spans").withColumn("text", redact(F.col("text"), found))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

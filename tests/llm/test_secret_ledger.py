@@ -53,6 +53,19 @@ def test_redaction(spark, tmp_path, docs, none):
     assert got == {1: ("a [SECRET] b [SECRET]", 21), 2: (None, 5), 3: ("clean", 7)}
     assert s.redacted(docs, str(tmp_path / "d")).count() == docs.count()
     assert s.redacted(none, str(tmp_path / "n")).count() == 0
+    same = docs.filter("doc_id is null or doc_id <> 6")  # whose text is one long hexadecimal number
+    assert sorted(s.redacted(same, str(tmp_path / "e")).collect(), key=str) == sorted(same.collect(), key=str)
+
+
+def test_a_later_scan_takes_only_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "v")
+    first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "old text")], "doc_id long, text string")
+    s.scan(first, path, s.BASE)
+    second = spark.createDataFrame([(1, "token=abcdefgh"), (2, "new text"), (3, "old text")], "doc_id long, text string")
+    todo = {r["text"]: len(r["needed"]) for r in s.unseen(second, s.open_ledger(spark, path)).collect()}
+    assert todo == {"token=abcdefgh": len(s.MORE), "old text": len(s.MORE), "new text": len(s.RULES)}
+    s.scan(second, path)
+    assert s.open_ledger(spark, path).count() == 3 * len(s.RULES)
 
 
 def test_plan_is_native(spark, tmp_path, capsys):
