@@ -9,13 +9,15 @@ or a passage's copies in one place:
    grams. Only these are dealt by hash, one for each block of texts, and come back to their documents if another
    document holds them. Strings whose grams are not shared need no further look.
 3. Suffixes: the remaining strings are the suffixes, cut at ``LENGTH`` bytes, that start where their own least gram
-   is shared. They are dealt by that gram as short runs of bytes, equal runs of a block of texts once. A shard gets
-   one sorted suffix array a block. It scans each new array along those it has (a merge over sorted fingerprints of
-   the suffixes) and then keeps it as a level; levels of equal size merge, so that there are logarithmically many.
-   Wherever two suffixes agree in ``LENGTH`` bytes the one with the larger id is marked and leaves.
+   is shared. They are dealt by that gram as short runs of bytes, equal runs of a block of texts once. In a shard every
+   batch of them gets a suffix array: they are sorted by their bytes, eight at a time. It is merged along each level
+   that the shard has: a suffix finds its neighbours there, column by column, and meets a match where all ``LENGTH``
+   bytes agree. Then it becomes a level itself; levels of equal size merge, so that there are logarithmically many.
+   Of two suffixes that match the one with the larger id is marked and leaves.
 4. Marks go back to the documents, and what they cover is cut out.
 
-Suffixes are compared by 64-bit fingerprints of their ``LENGTH`` bytes within the shard of a gram.
+Hashes choose which strings are looked at and where; that two strings are equal is always found on their bytes. The
+number of shards follows the bytes of text, so a shard stays as large whatever the table.
 
 Defined results: null and empty texts, and texts under ``LENGTH`` bytes, lose nothing; rows with equal ids never
 remove each other's bytes; a null id removes nothing and loses nothing; overlapping strings within one document do
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
-from tenderloom.llm.shared import materialise, shuffle_parts, text_batches
+from tenderloom.llm.shared import Tables
 from tenderloom.llm.words import blocks, mix, powers, prefix_hash
 
 LENGTH, GRAM = 50, 20
@@ -39,7 +41,9 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 BLOCK = 1_000_000
 #: Suffixes that make one batch of a shard's family.
-BATCH = 200_000
+BATCH = 100_000
+#: Bytes of text for each shard, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 5_000_000, 16
 #: Up to this many rows are named by broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Lower bits of an order key that hold a gram's place.
@@ -128,7 +132,7 @@ def _grams_dealt(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("row").to_numpy(zero_copy_only=False)
-            for first, texts in blocks(batch.column("text").to_pylist(), BLOCK):
+            for first, texts in blocks(batch.column("text"), BLOCK):
                 found = []
                 for s, some in _steps(texts):
                     g = Grams(some)
@@ -181,6 +185,18 @@ RUN_ROWS = "part int, kind string, rows binary, docs binary, owner binary, at bi
 MARKS = "part int, rows binary, spans binary, at binary, marks binary"
 
 
+def _stretch(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all bytes of stretches."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether two stretches of each ``size`` (above 0) hold the same bytes."""
+    if not len(a):
+        return np.zeros(0, bool)
+    return np.add.reduceat(data[_stretch(a, size)] != data[_stretch(b, size)], np.cumsum(size) - size) == 0
+
+
 def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
     """The runs of bytes in which a text's strings have shared grams, dealt by gram; equal runs of a block once."""
     flagged: dict[int, list[np.ndarray]] = {}
@@ -192,7 +208,7 @@ def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
     pick = [i for i, row in enumerate(texts.column("row").to_pylist()) if row in flagged]
     texts = texts.take(pa.array(pick, pa.int64()))
     ids, docs = texts.column("row").to_numpy(), texts.column("doc_id").to_numpy()
-    for first, part in blocks(texts.column("text").to_pylist(), BLOCK):
+    for first, part in blocks(texts.column("text").combine_chunks(), BLOCK):
         found, seen = [], 0
         for s, some in _steps(part):
             g = Grams(some)
@@ -202,15 +218,16 @@ def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
             start, count, who = g.begin[shared], g.count[shared], g.who[shared]
             size = count + LENGTH - 1
             same = mix((g.h[start + size] - g.h[start]) * g.down[start] + size.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-            index = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())
-            found.append((start - g.bounds[who], g.key[shared], who + s, count, size, same, np.cumsum(size) - size + seen, g.data[index]))
+            found.append((start - g.bounds[who], g.key[shared], who + s, count, size, same, np.cumsum(size) - size + seen, g.data[_stretch(start, size)]))
             seen += int(size.sum())
         at, key, who, count, size, same, place, data = (np.concatenate([f[i] for f in found]) for i in range(8))
         order = np.lexsort((docs[first + who], same, key))
         at, key, who, count, size, same, place = (v[order] for v in (at, key, who, count, size, same, place))
         repeat = np.zeros(len(at), bool)
-        repeat[1:] = (key[1:] == key[:-1]) & (same[1:] == same[:-1])
+        repeat[1:] = (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & (size[1:] == size[:-1])
         head = np.maximum.accumulate(np.where(repeat, 0, np.arange(len(at))))
+        repeat[repeat] = _equal(data, place[repeat], place[head[repeat]], size[repeat])
+        head[~repeat] = np.flatnonzero(~repeat)
         later = repeat & (docs[first + who] > docs[first + who[head]])
         full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
         for r, names, spans, (p, m) in _by_range(ids[first + who[later]], parts, at[later], full[later]):
@@ -218,7 +235,7 @@ def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
         at, key, who, count, size, place = (v[~later] for v in (at, key, who, count, size, place))
         for p, a, b in zip(*slices(_part_of(key, parts)), strict=True):
             mine, local = np.unique(who[a:b], return_inverse=True)
-            index = np.repeat(place[a:b] - np.concatenate([[0], np.cumsum(size[a:b])[:-1]]), size[a:b]) + np.arange(size[a:b].sum())
+            index = _stretch(place[a:b], size[a:b])
             out.append((int(p), "run", pack(ids[first + mine]), pack(docs[first + mine]), pack(local.astype("<u2")), pack(at[a:b].astype("<u4")), pack(count[a:b].astype(np.uint8)), data[index].tobytes()))
     return pa.table(
         {"part": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.string())}
@@ -226,40 +243,100 @@ def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
     )
 
 
+def columns(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The LENGTH bytes from each place on as numbers that sort as the bytes do: eight bytes each, the last those left over."""
+    if len(data) < LENGTH:
+        return [np.zeros(0, np.uint64) for _ in range(-(-LENGTH // 8))]
+    eight = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))  # eight bytes from any byte on
+    out = [eight[at + i].astype(np.uint64) for i in range(0, LENGTH - 7, 8)]
+    if LENGTH % 8:
+        out.append(eight[at + LENGTH - 8].astype(np.uint64) & np.uint64((1 << 8 * (LENGTH % 8)) - 1))
+    return out
+
+
+def neighbours(level: list[np.ndarray], new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, matches) of each string of ``new`` in the sorted ``level``: the first not below it, and whether it is equal."""
+    low, high = np.zeros(len(new[0]), np.int64), np.full(len(new[0]), len(level[0]), np.int64)
+    for i, (have, want) in enumerate(zip(level, new, strict=True)):
+        if not i:
+            low, high = np.searchsorted(have, want), np.searchsorted(have, want, side="right")
+            continue
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            break
+        want = want[open_]
+        bounds = []
+        for right in (False, True):
+            a, b, left = low[open_], high[open_], np.arange(len(open_))
+            while len(left):
+                middle = (a[left] + b[left]) >> 1
+                less = have[middle] <= want[left] if right else have[middle] < want[left]
+                a[left[less]] = middle[less] + 1
+                b[left[~less]] = middle[~less]
+                left = left[a[left] < b[left]]
+            bounds.append(a)
+        low[open_], high[open_] = bounds
+    return low, low < high
+
+
 class SuffixFamily:
-    """Levels of sorted suffix arrays: (fingerprint, id, suffix number), one entry a fingerprint, the smallest id."""
+    """Levels of suffix arrays: strings in the order of their bytes, each with an id and a suffix number; of equal strings the one of the smallest id."""
 
     def __init__(self, suffixes: int):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
         self.repeated = np.zeros(suffixes, bool)
         self.twin = np.arange(suffixes)
 
-    def _settle(self, prints: np.ndarray, ids: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of sorted entries with equal fingerprints the first (smallest id) stays; larger ids are marked, equal ones tied to it."""
-        first = np.ones(len(prints), bool)
-        first[1:] = prints[1:] != prints[:-1]
-        head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(prints) else np.zeros(0, np.int64)
-        self.repeated[number[ids > ids[head]]] = True
-        equal = ~first & (ids == ids[head])
-        self.twin[number[equal]] = number[head[equal]]
-        return prints[first], ids[first], number[first]
-
-    def add(self, prints: np.ndarray, ids: np.ndarray, number: np.ndarray) -> None:
-        """Sort a batch into a suffix array, scan it along the levels, and keep it; levels of like size merge."""
-        order = np.lexsort((ids, prints))
-        new = self._settle(prints[order], ids[order], number[order])
+    def _lose(self, number: np.ndarray, ids: np.ndarray, least: np.ndarray, of: np.ndarray) -> None:
+        """Suffixes with ids ``least`` and numbers ``of`` match these: larger ids are marked, equal ones share their marks."""
+        self.repeated[number[ids > least]] = True
+        tied = ids == least
+        self.twin[number[tied]] = of[tied]
+
+    def _array(self, text: list[np.ndarray], ids: np.ndarray, number: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The suffix array of a batch, with equal strings, of which the common prefix is the whole, settled."""
+        order = np.lexsort((ids, *text[::-1]))
+        text, ids, number = [c[order] for c in text], ids[order], number[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = np.any([c[1:] != c[:-1] for c in text], axis=0)
+        head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(ids) else np.zeros(0, np.int64)
+        rest = ~first
+        self._lose(number[rest], ids[rest], ids[head[rest]], number[head[rest]])
+        return [c[first] for c in text], ids[first], number[first]
+
+    def add(self, text: list[np.ndarray], ids: np.ndarray, number: np.ndarray) -> None:
+        """Make the suffix array of a batch, merge it along the levels, and keep it; levels of like size merge."""
+        new = self._array(text, ids, number)
         for level in self.levels:
-            place = np.minimum(np.searchsorted(level[0], new[0]), len(level[0]) - 1)
-            met = np.flatnonzero(level[0][place] == new[0])
+            place, met = neighbours(level[0], new[0])
             there = place[met]
-            self.repeated[new[2][met[new[1][met] > level[1][there]]]] = True
-            self.repeated[level[2][there[level[1][there] > new[1][met]]]] = True
+            self.repeated[new[2][met][new[1][met] > level[1][there]]] = True
+            self.repeated[level[2][there][level[1][there] > new[1][met]]] = True
+            tied = new[1][met] == level[1][there]
+            self.twin[new[2][met][tied]] = level[2][there][tied]
         self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            both = [np.concatenate(x) for x in zip(a, b, strict=True)]
-            order = np.lexsort((both[1], both[0]))
-            self.levels.append(self._settle(*[x[order] for x in both]))
+        while len(self.levels) > 1 and len(self.levels[-2][1]) < 2 * len(self.levels[-1][1]):
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._merged(a, b))
+
+    def _merged(self, a: tuple, b: tuple) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """One level of two: the strings of ``b`` step in at their places in ``a``; of equal ones the smaller id stays."""
+        place, met = neighbours(a[0], b[0])
+        there = place[met]
+        a_ids, a_number = a[1].copy(), a[2].copy()
+        smaller = b[1][met] < a_ids[there]
+        a_ids[there[smaller]], a_number[there[smaller]] = b[1][met][smaller], b[2][met][smaller]
+        fresh = ~met
+        at = place[fresh] + np.arange(fresh.sum())
+        old = np.ones(len(a_ids) + len(at), bool)
+        old[at] = False
+
+        def woven(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.empty(len(old), x.dtype)
+            out[old], out[at] = x, y[fresh]
+            return out
+
+        return [woven(x, y) for x, y in zip(a[0], b[0], strict=True)], woven(a_ids, b[1]), woven(a_number, b[2])
 
     def marked(self) -> np.ndarray:
         """Marks of all suffixes; one tied to another has the other's mark too."""
@@ -283,13 +360,11 @@ def _scan(table: pa.Table, parts: int) -> pa.Table:
     family, seen, held = SuffixFamily(total), 0, []
     for _, docs, _, count, data in batches:
         size = count + LENGTH - 1
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        h, (_, down) = prefix_hash(data), powers(len(data) + 1)
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        held.append((mix((h[at + LENGTH] - h[at]) * down[at]), np.repeat(docs, count), np.arange(seen, seen + len(at))))
+        at = _stretch(np.cumsum(size) - size, count)
+        held.append((columns(data, at), np.repeat(docs, count), np.arange(seen, seen + len(at))))
         seen += len(at)
-        if sum(len(x[0]) for x in held) >= BATCH or seen == total:
-            family.add(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        if sum(len(x[1]) for x in held) >= BATCH or seen == total:
+            family.add([np.concatenate(x) for x in zip(*[h[0] for h in held], strict=True)], *[np.concatenate([h[i] for h in held]) for i in (1, 2)])
             held = []
     marked, seen = family.marked() if batches else np.zeros(0, bool), 0
     for rows, _, at, count, _ in batches:
@@ -337,26 +412,29 @@ def _named(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every text (doc_id, text) without its repeated bytes."""
-    parts = 2 * shuffle_parts(docs.sparkSession)
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    tables = Tables(docs.sparkSession, "suffix")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
     long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digest = F.sha2("text", 256)
     equal = long.select("row", "doc_id", digest.alias("digest"))
     least = equal.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
-    copies = materialise(equal.join(least, "digest").filter("doc_id > least").select("row").distinct(), "suffix-copies")
+    copies = tables.write("copies", equal.join(least, "digest").filter("doc_id > least").select("row").distinct())
     single = _named(long, copies, "left_anti")
     flags = _grams_dealt(single, parts).groupBy("part").applyInArrow(lambda t: _shared_grams(t, parts), GRAM_FLAGS)
-    flags = materialise(flags, "suffix-grams")
+    flags = tables.write("grams", flags)
     ranged = lambda df: df.withColumn("part", F.pmod("row", F.lit(parts)).cast("int"))
     runs = ranged(single).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(lambda a, b: _suffix_runs(a, b, parts), RUN_ROWS)
-    marks = materialise(runs.groupBy("part").applyInArrow(lambda t: _scan(t, parts), MARKS), "suffix-marks")
+    marks = tables.write("marks", runs.groupBy("part").applyInArrow(lambda t: _scan(t, parts), MARKS))
+    tables.drop("grams")
 
     def names(batches):
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(unpack(x, "<i8"))], names=["row"])
 
-    touched = materialise(marks.select("rows").mapInArrow(names, "row long").distinct(), "suffix-rows")
+    touched = tables.write("rows", marks.select("rows").mapInArrow(names, "row long").distinct())
     cut = ranged(_named(single, touched, "left_semi")).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut, RESULT)
     size = F.octet_length("text").cast("long").alias("n_bytes")
     whole = _named(long, copies, "left_semi").select("doc_id", size, size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))

@@ -1,8 +1,12 @@
+import hashlib
 import random
 
 import numpy as np
 
 from tenderloom.llm import suffix_dedup
+from tenderloom.llm.queries import op2_suffix_dedup
+
+DATA = "/root/testdata/sf0.001"
 
 
 def brute(rows):
@@ -58,13 +62,37 @@ def test_extra_columns_and_no_rows(spark, docs, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_family_levels_stay_logarithmic():
+def test_query_is_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = op2_suffix_dedup(spark, DATA).collect()
+    want = [(*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in brute(rows)]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted(want)
+
+
+def test_many_shards_and_levels(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 50)
+    test_passages_copies_and_edits(spark)
+
+
+def test_equal_hashes_of_other_bytes_remove_nothing(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x & np.uint64(0xFF))
+    test_passages_copies_and_edits(spark)
+
+
+def test_family_is_a_logarithmic_index_of_sorted_bytes():
     rng, f = np.random.default_rng(0), suffix_dedup.SuffixFamily(6400)
-    prints, ids = rng.integers(0, 2000, 6400).astype(np.uint64), rng.integers(0, 50, 6400)
+    data = rng.integers(0, 256, 40_000, dtype=np.uint8)
+    data[20_000:] = data[:20_000]
+    data[30_000] ^= 1
+    at, ids = rng.integers(0, 39_950, 6400), rng.integers(0, 50, 6400)
     for s in range(0, 6400, 100):
-        f.add(prints[s : s + 100], ids[s : s + 100], np.arange(s, s + 100))
+        f.add(suffix_dedup.columns(data, at[s : s + 100]), ids[s : s + 100], np.arange(s, s + 100))
         assert len(f.levels) <= 8
-    least = {}
-    for p, i in zip(prints.tolist(), ids.tolist(), strict=True):
+    strings, least = [data[p : p + 50].tobytes() for p in at.tolist()], {}
+    for p, i in zip(strings, ids.tolist(), strict=True):
         least[p] = min(i, least.get(p, i))
-    assert f.marked().tolist() == [least[p] < i for p, i in zip(prints.tolist(), ids.tolist(), strict=True)]
+    assert f.marked().tolist() == [least[p] < i for p, i in zip(strings, ids.tolist(), strict=True)]
+    for _, _, number in f.levels:
+        level = [strings[n] for n in number]
+        assert level == sorted(set(level))
