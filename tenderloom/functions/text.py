@@ -1,6 +1,6 @@
 """Text as columns: cleaning, tokens, stems, quantities, positions, codes, identifiers.
 
-Everything here is a built-in expression but for ``nfkc``, which Spark lacks and which only sees non-ASCII text.
+Everything here is a built-in expression but for ``nfkc``, which Spark lacks.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Endings cut from words, longest first.
+# Endings cut from words; of several that fit, the longest is cut.
 ENDINGS = (
-    "ость ами ями ого его ому ему ыми ими ая яя ое ее ые ие ой ей ый ий ам ям ах ях ов ев ью ом ем а я ы и е о у ю ь й"
-).split()
+    "ами", "ями", "ого", "его", "ому", "ему", "ыми", "ими", "ость", "ая", "яя", "ое", "ее", "ые", "ие", "ой", "ей", "ый", "ий",
+    "ам", "ям", "ах", "ях", "ов", "ев", "ью", "ом", "ем", "а", "я", "ы", "и", "е", "о", "у", "ю", "ь", "й",
+)
 MIN_STEM = 4
 # Month names that spreadsheets put in place of numbers.
 MONTHS = {"янв": 1, "фев": 2, "мар": 3, "апр": 4, "май": 5, "июн": 6, "июл": 7, "авг": 8, "сен": 9, "окт": 10, "ноя": 11, "дек": 12}
@@ -49,6 +50,7 @@ INN_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_11 = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_12 = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 
+# Words and numbers of a name, quantities, product codes.
 WORD = r"[А-Яа-яЁёA-Za-z][А-Яа-яЁёA-Za-z-]*|\d+(?:[.,]\d+)?"
 QUANTITY = (
     r"(?iuU)(?<![\w.,×*/])(\d{1,3}(?:[  ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)\s*("
@@ -56,6 +58,14 @@ QUANTITY = (
     + r")\.?(?![\w/²³])"
 )
 OKPD2 = r"(?iuU)(?:(?<=\s)|^)(?:окпд\s*2?\s*[:№]?\s*)?(\d{2}\.\d{2}(?:\.\d{1,3}){0,3})(?![\d.])"
+# Words that a search passes over.
+STOP_WORDS = (
+    "а", "без", "более", "бы", "был", "была", "были", "было", "в", "вам", "вас", "во", "вот", "все", "всех", "вы", "где", "да", "для", "до",
+    "его", "ее", "если", "есть", "же", "за", "и", "из", "или", "им", "их", "к", "как", "ко", "когда", "кто", "ли", "либо", "мне", "на", "над",
+    "нам", "нас", "не", "нет", "ни", "но", "о", "об", "обо", "от", "ото", "по", "под", "при", "про", "с", "со", "так", "также", "то", "только",
+    "у", "через", "что", "чтобы", "это", "этот", "нужен", "нужна", "нужно", "нужны", "требуется", "купить", "закупка", "поставка", "прошу",
+    "a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with", "by", "from",
+)
 # Punctuation that names do not begin or end with.
 EDGES = r"[ \t,.;:\-–—*()\[\]{}\"'«»]+"
 
@@ -75,10 +85,13 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def clean(c: Column) -> Column:
-    """NFKC, no zero-width spaces, control characters as blanks, blanks collapsed. ASCII text skips the UDF."""
-    text = F.coalesce(c, F.lit(""))
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
-    return collapse(F.regexp_replace(F.replace(plain, F.lit("​"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "))
+    """NFKC, no zero-width spaces, control characters as blanks, blanks collapsed. Every text passes the UDF, in Arrow batches."""
+    return tidy(nfkc(F.coalesce(c, F.lit(""))))
+
+
+def tidy(c: Column) -> Column:
+    """``clean`` without NFKC, which a higher-order function cannot call: for values inside maps and arrays."""
+    return collapse(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\u200b"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "))
 
 
 def repair_dates(c: Column, months: Mapping[str, int] = MONTHS) -> Column:
@@ -109,6 +122,19 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold(c), r"[^0-9a-zа-я]+"), lambda t: t != "")
 
 
+def search_terms(c: Column) -> Column:
+    """Tokens of two characters or more that are no stop words."""
+    return F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+
+
+def analyze(c: Column, stem_of=stem) -> Column:
+    """Search terms by their stems; words without a Cyrillic letter stay whole.
+
+    The rule stemmer stands in for a Snowball stemmer, which needs a package that is not at hand; ``stem_of`` takes one.
+    """
+    return F.transform(search_terms(c), lambda t: F.when(t.rlike("[а-я]"), stem_of(t)).otherwise(t))
+
+
 def term_count(c: Column) -> Column:
     return F.least(F.lit(65535), F.size(tokens(c)))
 
@@ -121,8 +147,8 @@ def prefixes(c: Column, shortest: int = 3, longest: int = 6) -> Column:
 
 
 def query_prefixes(c: Column, longest: int = 6, most: int = 64) -> Column:
-    """What of each word it shares with its stem, at most ``longest`` characters; three at least."""
-    cut = F.transform(words(c), lambda t: F.left(F.when(t.startswith(stem(t)), stem(t)).otherwise(t), F.lit(longest)))
+    """What of each search term it shares with its stem, at most ``longest`` characters; three at least."""
+    cut = F.transform(search_terms(c), lambda t: F.left(F.when(t.startswith(stem(t)), stem(t)).otherwise(t), F.lit(longest)))
     return F.slice(F.array_distinct(F.filter(cut, lambda t: F.length(t) >= 3)), 1, most)
 
 
@@ -272,3 +298,15 @@ def csv_cell(c: Column) -> Column:
     text = F.coalesce(c.cast("string"), F.lit(""))
     safe = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
     return F.when(safe.rlike('[",;\\n\\r]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+
+def is_web_url(c: Column) -> Column:
+    """An http or https address with a host."""
+    return F.coalesce(F.trim(c).rlike(r"(?i)^https?://[^/?#]"), F.lit(False))
+
+
+def tolerant_date(c: Column) -> Column:
+    """The ISO date that a text begins with, or a date written day.month.year; else null."""
+    text = F.trim(c)
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(text, F.lit(10)).try_cast("date"))
+    return F.coalesce(iso, F.try_to_timestamp(F.when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), text), F.lit("d.M.yyyy")).cast("date"))

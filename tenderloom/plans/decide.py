@@ -238,11 +238,6 @@ def inn_checksum(spark, d):
     return rows.select("o_orderkey", "raw", t.is_inn(F.col("raw")).alias("valid"), F.coalesce(t.inn(F.substring("raw", 2, 9)), F.lit("")).alias("repaired"))
 
 
-def stemmed_words(spark, d):
-    words = spark.createDataFrame([(w,) for w in "кабелями трубопроводов стальная Ёлочного краска масло ветошь болт насосами плитка прочность окно".split()], "word string")
-    return words.select("word", t.stem(F.col("word")).alias("stem"))
-
-
 def quantity_parse(spark, d):
     rows = m.read(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, " шт").when(F.col("p_partkey") % 3 == 1, ",5 кг.").otherwise(" pieces")).alias("x"))
     q = rows.select("p_partkey", t.quantity(F.col("x")).alias("q"))
@@ -311,7 +306,7 @@ def pass_digests(spark, d):
 QUERIES = {f.__name__: f for f in (
     match_resolution, component_scores, weighted_score, policy_status, final_candidates, company_role, candidate_highlights, purchase_summary, archive_evidence,
     position_evidence, feature_matrix, linear_reasons, classify_cascade, archive_codes, code_names, source_category_map, head_phrase, rubric_prefix, item_types,
-    market_role, ranking_metrics, metric_slices, grouped_metrics, paired_bootstrap, evaluation_cases, mention_audit, card_audit, inn_checksum, stemmed_words,
+    market_role, ranking_metrics, metric_slices, grouped_metrics, paired_bootstrap, evaluation_cases, mention_audit, card_audit, inn_checksum,
     quantity_parse, request_items, masked_messages, html_titles, html_links, json_ld_blocks, names_as_ids, uuid_ids, content_hashes, unit_prices, validation_counts, pass_digests,
 )}
 
@@ -370,7 +365,6 @@ SQL = {
     "mention_audit": _A + ", x AS (SELECT card_id, unnest(['blue widget', 'old gear']) AS product, profile_text FROM card) SELECT card_id, product, CAST(strpos(lower(profile_text), product) - 1 AS INTEGER) AS \"at\", strpos(lower(profile_text), product) > 0 AND strpos(lower(profile_text), product) - 1 + length(product) <= 60 AS kept FROM x",
     "card_audit": _A + ", x AS (SELECT example_count, len(string_split_regex(profile_text, '\\s+')) AS n FROM card) SELECT example_count, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, CAST(max(n) AS INTEGER) AS most, round(avg((n > 24)::INTEGER), 6) AS cut, CAST(sum(greatest(n - 24, 0)) AS BIGINT) AS lost FROM x GROUP BY 1",
     "inn_checksum": "WITH x AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + o_custkey * 104729 AS VARCHAR), 10, '7') AS raw FROM orders), y AS (SELECT o_orderkey, raw AS r0, '0' || substr(raw, 2, 9) AS raw FROM x) SELECT x.o_orderkey, x.raw, (SELECT " + _INN.replace("raw", "x.raw") + ") = CAST(substr(x.raw, 10, 1) AS INTEGER) AND NOT regexp_full_match(x.raw, '7+') AS valid, CASE WHEN " + _INN.replace("raw", "y.raw") + " = CAST(substr(y.raw, 10, 1) AS INTEGER) AND y.raw <> '0000000000' THEN y.raw ELSE '' END AS repaired FROM x JOIN y USING (o_orderkey)",
-    "stemmed_words": "SELECT * FROM (VALUES ('кабелями', 'кабел'), ('трубопроводов', 'трубопровод'), ('стальная', 'стальн'), ('Ёлочного', 'елочн'), ('краска', 'краск'), ('масло', 'масл'), ('ветошь', 'ветош'), ('болт', 'болт'), ('насосами', 'насос'), ('плитка', 'плитк'), ('прочность', 'прочн'), ('окно', 'окно')) t(word, stem)",
     "quantity_parse": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 0.5::DOUBLE ELSE -1.0::DOUBLE END AS value, CASE p_partkey % 3 WHEN 0 THEN 'шт' WHEN 1 THEN 'кг' ELSE '' END AS unit FROM part",
     "request_items": "SELECT p_partkey, pos, upper(left(x, 1)) || substr(x, 2) AS name, okpd2 FROM (SELECT p_partkey, unnest([0, 1, 2]) AS pos, unnest([p_name, p_brand, lower(p_type)]) AS x, unnest(['', '', '22.40.11']) AS okpd2 FROM part)",
     "masked_messages": "SELECT page_id, CASE WHEN length(m) <= 240 THEN m ELSE rtrim(left(m, 239)) || '…' END AS message FROM (SELECT page_id, 'failed token=*** at ' || regexp_replace(url, '(https?://[^\\s?#]+)\\?\\S+', '\\1') || ' mail ***' AS m FROM pages)",
