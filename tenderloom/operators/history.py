@@ -41,12 +41,13 @@ def clean_suppliers(raw: DataFrame) -> DataFrame:
 
 
 def lots(notices: DataFrame) -> DataFrame:
-    """The first version of each lot, its text, and whether versions differ."""
+    """The first version of each lot, its text, and whether versions differ: one aggregation by lot."""
     fields = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in NOTICE])
-    versions = notices.groupBy("lot_id").agg((F.count_distinct(fields) > 1).alias("notice_conflict"))
-    first = first_of_each(notices.filter("publish_date is not null"), ["lot_id"], [F.asc("publish_date"), F.asc("procedure_name"), F.asc_nulls_last("start_price")])
+    rest = [c for c in notices.columns if c not in ("lot_id", "publish_date", "procedure_name", "start_price")]
+    version = F.struct("publish_date", "procedure_name", F.col("start_price").isNull().alias("_unpriced"), "start_price", *rest)
     text = F.when(F.col("subject") == F.col("procedure_name"), F.col("procedure_name")).otherwise(F.trim(F.concat_ws(" ", "procedure_name", "subject")))
-    return first.join(versions, "lot_id").withColumn("query_text", text)
+    one = notices.groupBy("lot_id").agg(F.min(F.when(F.col("publish_date").isNotNull(), version)).alias("first"), (F.min(fields) != F.max(fields)).alias("notice_conflict"))
+    return one.filter("first is not null").select("lot_id", "first.*", "notice_conflict").drop("_unpriced").withColumn("query_text", text)
 
 
 def participations(rows: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.functions.text import prefixes, tokens
-from tenderloom.operators.state import first_of_each
+from tenderloom.functions.text import tokens
+from tenderloom.operators.state import first_of_each, spread
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -29,10 +29,11 @@ def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def match_flags(docs: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
-    """``flags``, ``hits``: which of the query's prefixes a row's tokens start with."""
-    flags = F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.array_contains(prefixes(F.col(text)), t))
-    return docs.withColumn("flags", flags).withColumn("hits", F.size(F.filter("flags", lambda f: f)))
+def match_flags(docs: DataFrame, text: str, terms: Sequence[str], shortest: int = 3, longest: int = 6) -> DataFrame:
+    """``flags``, ``hits``: which of the query's prefixes (of ``shortest`` to ``longest`` characters) a row's tokens start with."""
+    one = lambda t: F.exists("_tokens", lambda x: x.startswith(t)) if shortest <= len(t) <= longest else F.lit(False)
+    flagged = docs.withColumn("_tokens", tokens(F.col(text))).withColumn("flags", F.array(*[one(t) for t in terms])).drop("_tokens")
+    return flagged.withColumn("hits", F.size(F.filter("flags", lambda f: f)))
 
 
 def pool(docs: DataFrame, order: Sequence[Column], most: int = 500) -> DataFrame:
@@ -40,10 +41,15 @@ def pool(docs: DataFrame, order: Sequence[Column], most: int = 500) -> DataFrame
     return docs.filter("hits > 0").orderBy(F.desc("hits"), *order).limit(most)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length): occurrences of each token in each text; length is the text's token count."""
-    rows = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    return rows.select(key, "length", F.explode("t").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, length): occurrences of each token in each text; length is the text's token count.
+
+    With ``asked`` (term) only those tokens are counted and shuffled.
+    """
+    rows = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t")).select(key, "length", F.explode("t").alias("term"))
+    if asked is not None:
+        rows = rows.join(asked, "term", "left_semi")
+    return rows.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,14 +57,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
 
     Corpus figures come from one pass over the texts, document frequencies only for terms asked for.
     """
-    rows = docs.select(key, tokens(F.col(text)).alias("t"))
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    docs = spread(docs.select(key, text))
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("mean")).first()
     n, mean = size["n"], size["mean"] or 1.0
-    asked = small(queries.select("term").distinct())
-    hits = postings(docs, key, text).join(asked, "term", "left_semi")
+    hits = postings(docs, key, text, small(queries.select("term").distinct()))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = hits.join(small(frequency), "term").withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean))))
+    weighted = hits.join(frequency, "term").withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean))))
     return weighted.join(small(queries), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
 
 
@@ -76,16 +81,22 @@ def bm25_pool(pooled: DataFrame, key: str, terms: int, length: str = "length") -
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(query_id, key, score): cosine of sublinear TF-IDF vectors of texts and queries."""
-    p = postings(docs, key, text)
+    """(query_id, key, score): cosine of sublinear TF-IDF vectors of texts and queries.
+
+    Texts are dealt by key once; their postings and norms are then counted where they are. Weights of terms are joined
+    as their number tells at run time.
+    """
+    p = postings(docs.select(key, text).repartition(key), key, text)
     n = docs.count()
     df = p.groupBy("term").agg((F.log((F.lit(n) + 1.0) / (F.count("*") + 1.0)) + 1.0).alias("idf"))
-    w = p.join(df, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = queries.join(df, "term").select("query_id", "term", F.col("idf").alias("qw"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = w.join(small(q), "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norm, key).join(small(qn), "query_id").select("query_id", key, (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
+    asked = q.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked"))
+    w = p.join(df, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")).join(small(asked), "term", "left")
+    parts = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), (F.col("w") * a["qw"]).alias("x")))
+    rows = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.flatten(F.collect_list(parts)).alias("parts"))
+    dots = rows.select(key, "norm", F.explode("parts").alias("p")).groupBy("p.query_id", key, "norm").agg(F.sum("p.x").alias("dot"))
+    return dots.join(small(qn), "query_id").select("query_id", key, (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
 
 
 def lexical_channel(scored: DataFrame, title_stems: Column, query_stems: Column) -> DataFrame:

@@ -104,14 +104,14 @@ def position_evidence(spark, d):
 
 def feature_matrix(spark, d):
     a = Archive(spark, d)
-    best = first_of_each(a.cards, ["supplier_inn"], [F.desc("participations"), F.asc("card_id")]).select("supplier_inn", "profile_text", "example_count", "profile_last_date")
+    best = first_of_each(a.cards, ["supplier_inn"], [F.desc("participations"), F.asc("card_id")]).select("supplier_inn", ranking.content_words(F.col("profile_text")).alias("card_words"), "example_count", "profile_last_date")
     s = a.suppliers.select("supplier_inn", "mean_log_price", F.col("participations").alias("supplier_participations"), F.col("wins").alias("supplier_wins"))
     c = a.customers.select("supplier_inn", "customer_inn", F.col("participations").alias("customer_participations"), F.col("wins").alias("customer_wins"))
     n = a.cards.groupBy("supplier_inn").agg(F.count("*").alias("card_count"))
-    rows = a.targets.select(F.col("lot_id").alias("query_id"), "query_text", "start_price", "customer_inn").join(a.participations.select(F.col("lot_id").alias("query_id"), "supplier_inn"), "query_id")
+    rows = a.targets.select(F.col("lot_id").alias("query_id"), ranking.content_words(F.col("query_text")).alias("query_words"), "start_price", "customer_inn").join(a.participations.select(F.col("lot_id").alias("query_id"), "supplier_inn"), "query_id")
     rows = rows.join(s, "supplier_inn", "left").join(c, ["supplier_inn", "customer_inn"], "left").join(best, "supplier_inn", "left").join(n, "supplier_inn", "left")
     none = {x: F.lit(None).cast("double") for x in ("dense_score", "bm25_score", "rrf_score", "dense_rank", "bm25_rank", "category_participations", "category_wins")}
-    rows = rows.withColumns({**none, "customer_rank": F.col("supplier_inn") % 40, "profile_text": F.coalesce("profile_text", F.lit(""))})
+    rows = rows.withColumns({**none, "customer_rank": F.col("supplier_inn") % 40, "card_words": F.coalesce("card_words", F.array().cast("array<string>"))})
     f = ranking.feature_matrix(rows, F.lit(m.CUT).cast("date"))
     f = f.withColumn("price_distance", F.nanvl("price_distance", F.lit(-1.0)))
     return f.select("query_id", "supplier_inn", "dense_rank", "customer_rank", *[F.round(x, 5).alias(x) for x in ("token_coverage", "supplier_win_rate", "category_win_rate", "customer_win_rate", "price_distance")], "profile_age", "missing_customer", "missing_price", "card_count", "profile_examples")

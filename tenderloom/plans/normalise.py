@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tenderloom.functions import names
 from tenderloom.functions import text as t
 from tenderloom.operators import queues
+from tenderloom.operators.state import spread
 from tenderloom.plans import mapping as m
 
 KEYS = {"размер": "size", "вес": "weight"}
@@ -25,7 +26,7 @@ def stemmed_words(spark, d):
 
 def analyzed_terms(spark, d):
     """Search terms of all documents and suffixed words, by stem."""
-    texts = m.read(spark, d, "documents").select("text").unionByName(_suffixed(spark, d).select(F.concat(F.lit("для поставка The "), "word").alias("text")))
+    texts = spread(m.read(spark, d, "documents").select("text")).unionByName(_suffixed(spark, d).select(F.concat(F.lit("для поставка The "), "word").alias("text")))
     return texts.select(F.explode(t.analyze(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 

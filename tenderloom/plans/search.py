@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import text as t
 from tenderloom.operators import retrieval as r
-from tenderloom.operators.state import first_of_each
+from tenderloom.operators.state import spread
 from tenderloom.plans import mapping as m
 
 #: Words asked of the documents, and prefixes asked of part names.
@@ -19,7 +19,7 @@ def _queries(spark):
 
 
 def term_counts(spark, d):
-    return m.read(spark, d, "documents").select("doc_id", t.term_count(F.col("text")).alias("terms"))
+    return spread(m.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", t.term_count(F.col("text")).alias("terms"))
 
 
 def prefix_sets(spark, d):
@@ -27,7 +27,7 @@ def prefix_sets(spark, d):
 
 
 def fold_tokens(spark, d):
-    words = m.read(spark, d, "documents").select(F.explode(t.tokens(F.col("text"))).alias("token"))
+    words = spread(m.read(spark, d, "documents").select("text")).select(F.explode(t.tokens(F.col("text"))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -69,11 +69,12 @@ def lexical_channel(spark, d):
 
 def _history(spark, d):
     lines = m.product_rows(spark, d).groupBy("lot_id").agg(F.array_join(F.sort_array(F.collect_set("product_name")), " ").alias("names"))
-    part = m.participation_rows(spark, d).groupBy("lot_id").agg(F.collect_set("supplier_inn").alias("participants"), F.collect_set(F.when(F.col("is_winner"), F.col("supplier_inn"))).alias("winners"))
     lots = lines.withColumn("length", t.term_count(F.col("names")))
     pooled = r.pool(r.match_flags(lots, "names", TERMS), [F.asc("lot_id")], 500)
-    scored = r.bm25_pool(pooled, "lot_id", len(TERMS)).join(part, "lot_id")
-    return r.history_channel(scored, len(TERMS))
+    scored = r.bm25_pool(pooled, "lot_id", len(TERMS)).select("lot_id", "hits", "score")
+    rows = m.participation_rows(spark, d).join(F.broadcast(scored), "lot_id")  # 500 lots at most
+    part = rows.groupBy("lot_id", "hits", "score").agg(F.collect_set("supplier_inn").alias("participants"), F.collect_set(F.when(F.col("is_winner"), F.col("supplier_inn"))).alias("winners"))
+    return r.history_channel(part, len(TERMS))
 
 
 def history_channel(spark, d):
@@ -161,7 +162,7 @@ def pending_vectors(spark, d):
     """Vectors missing or made from another content: a left join on the stored hash."""
     docs = m.read(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("hash"))
     stored = docs.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("hash")).alias("stored"))
-    return docs.join(stored, "doc_id", "left").filter(F.coalesce("stored", F.lit(-1)) != F.col("hash")).select("doc_id")
+    return docs.join(stored, "doc_id", "left").filter(F.coalesce("stored", F.lit(-1)) != F.col("hash")).select("doc_id").orderBy("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
