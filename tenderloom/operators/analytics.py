@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions.numbers import ratio
+from tenderloom.operators.retrieval import small
 
 COMMERCIAL_TYPES = ("directory", "website", "feed", "price_list")
 # Age limits in seconds.
@@ -47,7 +48,7 @@ class Measures:
 
 def base(offers: DataFrame, sources: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Current offers with their source and, where known, their supplier."""
-    return offers.join(F.broadcast(sources), "source_id").join(suppliers, "supplier_id", "left")
+    return offers.join(small(sources), "source_id").join(suppliers, "supplier_id", "left")
 
 
 def scoped(df: DataFrame, source_id: int | None = None, source_type: str | None = None, region: str = "") -> DataFrame:
@@ -130,7 +131,7 @@ def run_totals(runs: DataFrame, since: Column) -> DataFrame:
 
 def source_report(sources: DataFrame, offers: DataFrame, runs: DataFrame) -> DataFrame:
     """Every source with its offer and run figures, zeros where it has none."""
-    joined = F.broadcast(sources).join(offers, "source_id", "left").join(runs, "source_id", "left")
+    joined = small(sources).join(offers, "source_id", "left").join(runs, "source_id", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("offers", "companies", "fresh", "unknown_age", "runs", "failures")})
 
 

@@ -32,7 +32,7 @@ def current(df: DataFrame, keys: Sequence[str], version: Sequence[Column], delet
 
 
 def latest_run(rows: DataFrame, published: DataFrame, run: str = "run_id", done: str = "completed_at") -> DataFrame:
-    """Rows of the run published last; none where nothing was published."""
+    """Rows of the run published last, whose one row is broadcast; none where nothing was published."""
     last = published.agg(F.max_by(run, F.struct(done, run)).alias(run))
     return rows.join(F.broadcast(last), run, "left_semi")
 

@@ -35,7 +35,7 @@ def export(df: DataFrame, path: str) -> int:
 def verified_import(rows: DataFrame, path: str, key: str, checks: Mapping[str, Column]) -> DataFrame:
     """Append the rows whose key is not there yet, then hold the whole table against ``checks``, which must all be true.
 
-    Run again it adds nothing. Returns the table.
+    Run again it adds nothing. Two writers at once may both add a key: a table has one writer at a time. Returns the table.
     """
     spark = rows.sparkSession
     rows.join(existing(spark, path, rows).select(key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(path)
@@ -50,7 +50,8 @@ def verified_import(rows: DataFrame, path: str, key: str, checks: Mapping[str, C
 def import_archive(tables: Mapping[str, tuple[DataFrame, str]], root: str, snapshot: str) -> DataFrame:
     """Load several tables in two phases: rows under the snapshot's folder, then its registry row once counts agree.
 
-    A snapshot that is registered with other digests is refused; one that is registered alike is left alone.
+    A snapshot that is registered with other digests is refused; one that is registered alike is left alone. A root has
+    one writer at a time.
     """
     spark = next(iter(tables.values()))[0].sparkSession
     found = None
@@ -82,10 +83,14 @@ def publish_run(rows: DataFrame, root: str, run: str, key: str, expected: int, a
     spark.range(1).select(F.lit(run).alias("run_id"), at.alias("completed_at")).write.mode("append").parquet(f"{root}/published")
 
 
-def snapshot(df: DataFrame, scope: str, definitions: int, at: Column) -> DataFrame:
-    """A slice as one JSON row under an id made of scope and time, so that publishing it again replaces it."""
-    rows = df.agg(F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias("payload"))
-    return rows.select(F.sha2(F.concat_ws("|", F.lit(scope), F.lit(definitions), at.cast("string")), 256).alias("snapshot_id"), F.lit(scope).alias("scope_key"), F.lit(definitions).alias("definitions"), at.alias("as_of"), "payload")
+def snapshot(df: DataFrame, scope: str, definitions: int, at: Column, most: int = 100_000) -> DataFrame:
+    """A slice as one JSON row under an id made of scope and time, so that publishing it again replaces it.
+
+    A slice is a report: one of more than ``most`` rows is an error, since one value holds it.
+    """
+    rows = df.limit(most + 1).agg(F.sort_array(F.collect_list(F.struct("*"))).alias("rows"))
+    payload = F.when(F.size("rows") <= most, F.to_json("rows")).otherwise(F.raise_error(F.lit("a snapshot holds a report, not a table")))
+    return rows.select(F.sha2(F.concat_ws("|", F.lit(scope), F.lit(definitions), at.cast("string")), 256).alias("snapshot_id"), F.lit(scope).alias("scope_key"), F.lit(definitions).alias("definitions"), at.alias("as_of"), payload.alias("payload"))
 
 
 def latest_snapshot(snapshots: DataFrame, definitions: int) -> DataFrame:

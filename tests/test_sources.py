@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.operators import state
 from tenderloom.sources import files, sinks
 from tenderloom.streaming import sync
 
@@ -130,3 +131,43 @@ def test_finish_only_after_a_full_pass(spark):
     v = spark.createDataFrame([(1, "s", at(1), "available", 1, 0), (2, "s", at(9), "available", 2, 0)], "id int, source string, updated_at timestamp, availability string, version long, is_deleted int")
     done = lambda ok, day: [r["id"] for r in sync.finish(v, ["id"], F.col("source") == "s", F.lit(at(day)), ok).collect()]
     assert done(True, 5) == [1] and done(False, 5) == [] and done(True, 20) == []
+
+
+def test_readers_by_key_and_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "name": "x"}\n\n{"id": 2, "name": "y"}\n')
+    (tmp_path / "b.json").write_text('{\n"id": 3,\n"name": "z"\n}')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    rows = files.json_lines(spark, str(tmp_path / "a.jsonl"), schema)
+    assert sorted(map(tuple, rows.collect())) == [(1, "x"), (2, "y")]
+    assert tuple(files.dictionary(spark, str(tmp_path / "b.json"), schema).first()) == (3, "z")
+    assert [r["name"] for r in files.by_keys(rows, spark.createDataFrame([(2,), (2,), (9,)], "id long"), ["id"]).collect()] == ["y"]
+    (tmp_path / "c.jsonl").write_text('{"id": 1\n')
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        files.json_lines(spark, str(tmp_path / "c.jsonl"), schema).collect()
+
+
+def test_companies_and_eligible_lots(spark):
+    df = spark.createDataFrame([("7707083893",), (" 7707083893 ",), ("123",), (None,)], "inn string")
+    assert [r["inn"] for r in files.supplier_dataset(df).collect()] == ["7707083893"]
+    lots = spark.sql("SELECT * FROM VALUES (1, date'2020-01-01', false), (2, date'2020-01-01', true), (3, date'2021-01-01', false) AS t(lot_id, publish_date, notice_conflict)")
+    assert [r["lot_id"] for r in files.eligible(lots, F.lit("2020-06-01").cast("date")).collect()] == [1]
+
+
+def test_exports_journal_and_derived_values(spark, tmp_path):
+    lots = spark.sql("SELECT 1 AS lot_id, 't' AS title, array(named_struct('inn', '7', 'name', 'a', 'score', 0.5D, 'shortlisted', true), named_struct('inn', '8', 'name', 'b', 'score', 0.4D, 'shortlisted', false)) AS candidates")
+    assert [tuple(r) for r in sinks.product_lines(lots).collect()] == [(1, "t", "7", "a", 0.5)]
+    runs = spark.sql("SELECT 5 AS run_id, timestamp'2020-01-01 00:00:00' AS started_at")
+    for _ in range(2):
+        sinks.run_journal(runs, str(tmp_path / "runs"))
+    assert spark.read.parquet(str(tmp_path / "runs")).distinct().count() == 1
+    row = spark.createDataFrame([("", "1", "b", "c", None, "d", "", "")], "classified_code string, source_code string, normalized_brand string, source_brand string, normalized_article string, source_article string, normalized_currency string, source_currency string")
+    assert tuple(row.select(*[c.alias(n) for n, c in state.derived_values().items()]).first()) == ("1", "b", "d", "")
+    codes = spark.createDataFrame([("gold", "1"), ("none", "2"), ("archive", "3")], "m string, c string")
+    assert [r[0] for r in codes.select(state.source_code(F.col("m"), F.col("c"))).collect()] == ["1", "2", ""]
+
+
+def test_a_snapshot_is_no_table(spark):
+    at = F.lit("2020-01-01").cast("timestamp")
+    assert sinks.snapshot(spark.range(3), "s", 1, at, most=3).first()["payload"] == '[{"id":0},{"id":1},{"id":2}]'
+    with pytest.raises(Exception, match="not a table"):
+        sinks.snapshot(spark.range(4), "s", 1, at, most=3).collect()
