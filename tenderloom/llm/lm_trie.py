@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
+from tenderloom.llm.packing import items, pack, pack_rising, slices, unpack, unpack_rising
 from tenderloom.llm.shared import Tables
 from tenderloom.llm.words import NOT_BLANK, blocks, in_text, mix, tokenise
 
@@ -47,7 +47,7 @@ FREQUENT = 50_000
 PRIOR2, PRIOR3 = 400.0, 12.0
 LEVELS = 1 << 16
 #: Bytes of text whose n-grams are packed together, and bytes of text for one part of words and of n-grams.
-BLOCK, WORD_BYTES, GRAM_BYTES = 2_000_000, 32_000_000, 5_000_000
+BLOCK, WORD_BYTES, GRAM_BYTES = 4_000_000, 32_000_000, 5_000_000
 LEAST_PARTS = 16
 END = np.uint64(0xE4D)
 #: Ids of words unseen in training, of the start and of the end; those of other words follow.
@@ -332,7 +332,7 @@ def _deal(batches, n: int, v: int, starts: int, parts: int):
     for batch in batches:
         for r in batch.to_pylist():
             names, known = unpack_rising(r["words"], "<u8"), sorted(r["answers"], key=lambda x: x["part"])
-            cuts = np.cumsum([0, *[len(x["counts"]) // 8 for x in known]])
+            cuts = np.cumsum([0, *[items(x["counts"]) for x in known]])
             if cuts[-1] != len(names) or any(_checked(names[a:b]) != x["check"] for a, b, x in zip(cuts[:-1], cuts[1:], known, strict=True)):
                 raise RuntimeError("the rows came in another order than before: they are not repeatable")
             ids, counts = (np.concatenate([unpack(x[c], "<u8") for x in known]) for c in ("ids", "counts"))
@@ -377,7 +377,7 @@ def _shard(packed: pa.Table, total: int, distinct: int) -> pa.Table:
     every = [unpack_rising(r["ids"], "<u8") for r in rows]
     ids, one = np.unique(np.concatenate(every), return_index=True)
     count = np.concatenate([unpack(r["counts"], "<u8") for r in rows])[one].astype(float)
-    size = [len(r["texts"]) // 2 for r in rows]
+    size = [items(r["texts"]) for r in rows]
     row = np.repeat(np.arange(len(rows)), size)
     v, w = (np.concatenate([np.searchsorted(ids, names)[unpack(r[c], "<u4")] for r, names in zip(rows, every, strict=True)]).astype(np.int64) for c in "vw")
     u = np.concatenate([unpack(r["u"], "<u8") for r in rows])
@@ -459,11 +459,11 @@ def score(docs: DataFrame, train: Column, repeatable: bool = False) -> DataFrame
         rows = tables.write("rows", rows)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     word_parts, parts = (max(LEAST_PARTS, -(-size // each)) for each in (WORD_BYTES, GRAM_BYTES))
-    words = tables.write("words", _ask(rows, word_parts).groupBy("part").applyInArrow(lambda t: _answer(t, word_parts), ANSWERED), 64)
+    words = tables.write("words", _ask(rows, word_parts).groupBy("part").applyInArrow(lambda t: _answer(t, word_parts), ANSWERED), 32)
     n, v, starts = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "texts")]).first()
     answers = words.groupBy("block").agg(F.collect_list(F.struct("part", "ids", "counts", "check")).alias("answers"))
     dealt = _blocks(rows).join(answers, "block").mapInArrow(lambda batches: _deal(batches, n, v, starts, parts), DEALT)
     sums = dealt.groupBy("part").applyInArrow(lambda t: _shard(t, n, v), SUMS)
-    scored = tables.write("scores", sums.groupBy("block").applyInArrow(_merged, SCORED), 64)
+    scored = tables.write("scores", sums.groupBy("block").applyInArrow(_merged, SCORED), 32)
     tables.drop("words", "rows")
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))

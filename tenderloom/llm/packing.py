@@ -1,19 +1,34 @@
-"""Numpy arrays as bytes that Spark's block compression shrinks well: one plane for each byte of the items."""
+"""Numpy arrays as small bytes for a shuffle: one plane for each byte of the items, compressed together.
+
+The first eight bytes hold the number of items.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def pack(values: np.ndarray) -> bytes:
     """The items' bytes, first bytes first."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes() if len(values) else b""
+    n = len(values)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(n, values.dtype.itemsize).T.tobytes() if n else b""
+    return n.to_bytes(8, "little") + _CODEC.compress(planes, asbytes=True) if n else b""
+
+
+def items(data: bytes) -> int:
+    """How many items were packed."""
+    return int.from_bytes(data[:8], "little")
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
-    kind = np.dtype(dtype)
-    n = len(data) // kind.itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, n).T).reshape(-1).view(kind) if n else np.zeros(0, kind)
+    kind, n = np.dtype(dtype), items(data)
+    if not n:
+        return np.zeros(0, kind)
+    planes = _CODEC.decompress(data[8:], decompressed_size=n * kind.itemsize, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).reshape(-1).view(kind)
 
 
 def pack_rising(values: np.ndarray) -> bytes:
