@@ -58,11 +58,11 @@ def grouped_metrics(rows: DataFrame) -> DataFrame:
 def paired_bootstrap(deltas: DataFrame, cluster: str, delta: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """(mean, low, high) of a paired difference, resampled by cluster.
 
-    Each cluster draws its own Poisson(1) weight in every resample from a hash of (seed, resample, cluster), so the
+    Each cluster draws its own Poisson(1) weight in every resample from the MD5 of (seed, resample, cluster), so the
     draws need no sample to be gathered: a cluster is expanded into its non-zero weights and summed by resample.
     """
     sums = deltas.groupBy(cluster).agg(F.sum(delta).alias("total"), F.count("*").alias("n"))
-    draws = sums.select("total", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: F.struct(r.alias("resample"), F.pmod(F.xxhash64(F.lit(seed), r, F.col(cluster)), F.lit(1 << 40)).alias("u")))).alias("d"))
+    draws = sums.select("total", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: F.struct(r.alias("resample"), F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), F.col(cluster).cast("string")).cast("binary")), F.lit(10)), 16, 10).cast("double").alias("u")))).alias("d"))
     u = F.col("d.u") / float(1 << 40)
     weight, below, p = F.lit(0), 0.0, 2.718281828459045**-1
     for k in range(8):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tenderloom.functions import identity, numbers
@@ -203,9 +205,8 @@ def grouped_metrics(spark, d):
 
 
 def paired_bootstrap(spark, d):
-    """Intervals of a resampled difference; the draws have no SQL equal, their mean has and is tested apart."""
-    rows = m.read(spark, d, "events").select((F.col("user_id") % 50).alias("cluster"), (F.col("value") - 20).alias("delta"))
-    return evaluate.paired_bootstrap(rows, "cluster", "delta", 2000)
+    rows = m.read(spark, d, "events").select((F.col("user_id") % 50).alias("cluster"), (F.floor("value") - 20).alias("delta"))
+    return evaluate.paired_bootstrap(rows, "cluster", "delta", 2000).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def evaluation_cases(spark, d):
@@ -274,7 +275,6 @@ def names_as_ids(spark, d):
 
 
 def uuid_ids(spark, d):
-    """Name-based UUIDs; SQL has none, so they are compared with Python's in the tests."""
     return m.read(spark, d, "supplier").select("s_suppkey", identity.uuid5(NAMESPACE, F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))).alias("id"))
 
 
@@ -319,6 +319,8 @@ mt AS (SELECT supplier_id, item_id, max(grade) AS grade, arg_max(offer_id, (grad
 ms AS (SELECT supplier_id, item_id, CASE grade WHEN 3 THEN 'stock' WHEN 2 THEN 'catalog' ELSE 'inferred' END AS basis, CASE WHEN grade > 0 THEN offer_id ELSE -1 END AS offer_id FROM mt),
 cs AS (SELECT supplier_id, least(1.0, count(DISTINCT item_id) FILTER (basis <> 'inferred') / 3) AS coverage, avg(CASE basis WHEN 'stock' THEN 1.0::DOUBLE WHEN 'catalog' THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END) AS evidence, bool_and(basis = 'inferred') AS only_inferred FROM ms GROUP BY 1)"""
 _RAW = m.RAW_SQL
+# Shares of a Poisson(1) variable that are below 0, 1, ... 7.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 _CAND = _CARD + ", " + _RAW + """,
 pw AS (SELECT supplier_inn AS supplier_id, count(*) % 9 AS alike, count(*) FILTER (is_winner) % 5 AS wins FROM participation_rows GROUP BY 1),
 cn AS (SELECT *, (supplier_id % 17) / 17.0::DOUBLE AS fusion, (alike / (alike + 5.0::DOUBLE) + wins / (wins + 2.0::DOUBLE)) / 2 AS history FROM cs JOIN pw USING (supplier_id) JOIN suppliers USING (supplier_id)),
@@ -373,6 +375,10 @@ SQL = {
     "html_links": "SELECT page_id, CAST(len(list_distinct(l)) AS INTEGER) AS n, coalesce(l[1], '') AS first FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=[\"'']([^\"'']+)[\"'']', 1) AS l FROM pages)",
     "json_ld_blocks": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS blocks, CASE WHEN page_id % 2 = 0 THEN '{\"@type\": \"Product\"}' ELSE '' END AS last FROM pages",
     "names_as_ids": "SELECT s_suppkey, left(sha1(trim(regexp_replace(lower(s_name), '[^0-9a-zа-я]+', ' ', 'g'))), 12) AS fingerprint, 'http://x/' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '#' || left(sha1(trim(regexp_replace(lower(s_name), '[^0-9a-zа-я]+', ' ', 'g'))), 12) ELSE '' END AS external_id FROM supplier",
+    "uuid_ids": f"WITH h AS (SELECT s_suppkey, sha1(unhex('{NAMESPACE.replace('-', '')}') || encode('supplier:' || s_suppkey)) AS h FROM supplier) SELECT s_suppkey, concat_ws('-', left(h, 8), h[9:12], '5' || h[14:16], substr('89ab', CAST((strpos('0123456789abcdef', h[17]) - 1) % 4 + 1 AS INTEGER), 1) || h[18:20], h[21:32]) AS id FROM h",
+    "paired_bootstrap": "WITH e AS (SELECT user_id % 50 AS cluster, floor(value) - 20 AS delta FROM events), s AS (SELECT cluster, sum(delta) AS total, count(*) AS n FROM e GROUP BY 1), d AS (SELECT r, total, n, CAST('0x' || left(md5('42:' || r || ':' || cluster), 10) AS UBIGINT) / 1099511627776.0::DOUBLE AS u FROM s, range(2000) t(r)), w AS (SELECT r, total, n, "
+    + " + ".join(f"(u >= {b!r}::DOUBLE)::INTEGER" for b in _POISSON)
+    + " AS w FROM d), x AS (SELECT sum(w * total) / sum(w * n) AS m FROM w WHERE w > 0 GROUP BY r) SELECT (SELECT round(avg(delta), 6) FROM e) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM x",
     "content_hashes": "SELECT count(DISTINCT (p_name, p_brand, p_size)) AS contents FROM part",
     "unit_prices": "SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice * 1000 WHEN 2 THEN CASE WHEN p_size > 10 THEN round_even(p_retailprice / p_size, 4) ELSE p_retailprice END ELSE p_retailprice END AS DOUBLE) AS price, CASE WHEN p_partkey % 4 < 2 THEN '166' WHEN p_partkey % 4 = 2 AND p_size <= 10 THEN '778' ELSE '796' END AS unit FROM part",
     "validation_counts": "SELECT * FROM (SELECT 'price' AS issue, count(*) AS n FROM orders WHERE NOT o_totalprice < 450000 UNION ALL SELECT 'status', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'date', count(*) FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01') WHERE n > 0",
