@@ -8,19 +8,24 @@ of similarity differs that much with a probability below one in a billion.
 
 Rows that meet under a key are never expanded into all pairs:
 
-1. equal sets are one class from the start, its smallest id stands for it;
-2. every class is laid beside the smallest id under each of its keys (first inside a task, then between tasks,
-   streaming over sorted rows); its nearest of these by signature is confirmed on the full sets, and the links
-   give components;
+1. equal sets are one class from the start; classes are numbered in the order of their smallest ids, so that the
+   smallest number of a group stands for its smallest id;
+2. every class is laid beside the smallest class under each of its keys: inside a task by the signatures, of which only
+   the nearest stays, between tasks by the number of keys that two share. So a class is confirmed on the full sets
+   against two others at most, and the links give components;
 3. only keys under which several components meet are looked at again: there the signatures of different components
-   are compared block by block, and pairs near enough are confirmed on the full sets. Keys with many rows are cut
-   into cells of ``CELL`` by ``CELL`` rows that go to different tasks.
+   are compared block by block. Keys with many rows are cut into cells of ``CELL`` by ``CELL`` rows that go to different
+   tasks. Pairs near enough are never rows: they are kept packed by the homes of both classes (a class's home is its
+   fullest key), and a pair of homes gets the full sets of its classes once. There
+   pairs already joined are passed over, the others confirmed, and only links that join components come out.
 
-So every link between different texts is found unless two components are already joined without it.
+So every link between different texts is found unless two components are already joined without it. Shingles are
+64-bit hashes of their words.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a text of fewer than ``k``
 words has one shingle, its whole word sequence; rows with one id are judged each by its own text and linked as any
-others; equal sets are linked whatever their order of words; an empty table gives an empty table.
+others; a null id is larger than any other; equal sets are linked whatever their order of words; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -29,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
-from tenderloom.llm.shared import materialise, shuffle_parts, text_batches
+from tenderloom.llm.shared import Tables, shuffle_parts
 from tenderloom.llm.words import NOT_BLANK, blocks, in_text, mix, tokenise
 
 CHUNKS, PER_CHUNK, BITS = 16, 4, 16
@@ -43,14 +49,18 @@ ERRORS = 1
 KEYS = CHUNKS * PER_CHUNK
 #: Rows of one key that one task compares with as many others.
 CELL = 4096
+#: Classes of one home, whose full sets are held together.
+HOME = 1024
 #: Up to this many ids are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Shingles that one part counts, and bytes of text that are dealt out together.
+PART_SHINGLES, BLOCK = 2_000_000, 4_000_000
 
 _SALTS = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes, bounds): the set of text i is ``hashes[bounds[i]:bounds[i + 1]]``, ascending; under 65,536 texts."""
+    """(distinct shingle hashes, bounds): the set of text i is ``hashes[bounds[i]:bounds[i + 1]]``, ascending."""
     tokens, _, owner, _ = tokenise(texts, NOT_BLANK)
     n = len(texts)
     first = in_text(owner, n)
@@ -68,9 +78,11 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
             more = count[few] > j
             whole[more] = whole[more] * np.uint64(0x9E3779B97F4A7C15) + tokens[first[few[more]] + j]
         at, h = np.concatenate([at, few]), np.concatenate([h, mix(whole + count[few].astype(np.uint64))])
-    both = np.sort((at.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))  # 48 bits of a shingle, beside its text's number
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-    return both & np.uint64((1 << 48) - 1), in_text((both >> np.uint64(48)).astype(np.int64), n)
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
+    return h[fresh], in_text(at[fresh], n)
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,12 +101,11 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig): size, fingerprint and signature of every document's set."""
+    """(doc_id, text_hash, n_shingles, set_a, set_b, sig): size, fingerprint and signature of every document's set."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, part in blocks(batch.column(1).to_pylist()):
+            for first, part in blocks(batch.column(2)):
                 hashes, bounds = shingle_sets(part, k)
                 rows, sig, prints = signatures(hashes, bounds)
                 sigs: list[bytes | None] = [None] * len(part)
@@ -102,10 +113,15 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 both[rows] = prints.view(np.int64)
                 for r, s in zip(rows.tolist(), sig, strict=True):
                     sigs[r] = s.tobytes()
-                columns = [ids.slice(first, len(part)), pa.array(np.diff(bounds)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                same = [batch.column(i).slice(first, len(part)) for i in (0, 1)]
+                columns = [*same, pa.array(np.diff(bounds)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig binary")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _values(column: pa.Array) -> np.ndarray:
@@ -123,29 +139,41 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return mix((out | (number << np.uint64(48))) + np.uint64(1)).reshape(-1, KEYS)
 
 
-def _pair_batches(found: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def beside_smallest(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, keys) of classes (node, n_shingles, sig): what a class meets under its keys.
 
-
-def beside_smallest(classes: DataFrame) -> DataFrame:
-    """Distinct (a, b): a class and the smallest id it meets under a key. Classes: (doc_id, n_shingles, sig)."""
+    ``keys`` is null for the nearest class of the same task, whose signature has been judged, else the number of keys
+    under which ``b`` is the smallest of all. A row with ``a = b`` only tells that the class meets another.
+    """
+    most = limit_of(percent)
 
     def local(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for s in range(0, len(ids), 4096):
-                part, at = ids[s : s + 4096], np.argsort(ids[s : s + 4096], kind="stable")
-                keys = _keys(_values(batch.column(1).slice(s, 4096)))[at]
-                flat, owner = keys.ravel(), np.repeat(part[at], KEYS)
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                node = part.column(0).to_numpy(zero_copy_only=False)
+                by_node = np.argsort(node, kind="stable")
+                node, size = node[by_node], part.column(1).to_numpy(zero_copy_only=False)[by_node]
+                sig = _values(part.column(2))[by_node]
+                flat, owner = _keys(sig).ravel(), np.repeat(np.arange(len(node)), KEYS)
                 order = np.argsort(flat, kind="stable")
                 flat, owner = flat[order], owner[order]
                 fresh = np.concatenate([[True], flat[1:] != flat[:-1]])
                 least = owner[fresh][np.cumsum(fresh) - 1]
-                pairs = np.unique(np.stack([owner[~fresh], least[~fresh]], axis=1), axis=0)
-                none = pa.nulls(len(pairs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(flat[fresh].view(np.int64)), pa.array(owner[fresh]), pa.nulls(int(fresh.sum()), pa.int64())], names=["key", "a", "b"])
-                yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "a", "b"])
+                pairs = np.unique(owner[~fresh] * 4096 + least[~fresh])
+                p, q = pairs // 4096, pairs % 4096
+                met = np.unique(np.concatenate([p, q]))
+                apart = np.concatenate([np.zeros(0, np.int64), *[(sig[p[i : i + 65536]] != sig[q[i : i + 65536]]).sum(axis=1) for i in range(0, len(p), 65536)]])
+                good = (apart <= most) & (100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q]))
+                p, q, apart = p[good], q[good], apart[good]
+                order = np.lexsort((apart, p))
+                p, q = p[order], q[order]
+                _, best = np.unique(p, return_index=True)
+                p, q = p[best], q[best]
+                rest = np.setdiff1d(met, p, assume_unique=True)
+                a, b = np.concatenate([p, rest]), np.concatenate([q, rest])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[fresh].view(np.int64)), pa.array(node[owner[fresh]]), pa.nulls(int(fresh.sum()), pa.int64())], names=["key", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(node[a]), pa.array(node[b])], names=["key", "a", "b"])
 
     def between(batches):
         last_key, least = None, None
@@ -158,13 +186,17 @@ def beside_smallest(classes: DataFrame) -> DataFrame:
             heads = np.concatenate([[] if fresh[0] else [least], a[fresh]]).astype(np.int64)
             first = heads[group]
             last_key, least = key[-1], first[-1]
-            yield _pair_batches([np.stack([a, first], axis=1)[~fresh & (a != first)]])
+            both, n = np.unique(np.stack([a, first], axis=1)[~fresh & (a != first)], axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n)], names=["a", "b", "keys"])
 
-    rows = classes.select("doc_id", "sig").mapInArrow(local, "key long, a long, b long")
-    rows = materialise(rows, "near-keys")
+    tables = Tables(classes.sparkSession, "near")
+    rows = tables.write("keys", classes.select("node", "n_shingles", "sig").mapInArrow(local, "key long, a long, b long"))
     parts = shuffle_parts(classes.sparkSession)
-    met = rows.filter("b is null").select("key", "a").repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(between, "a long, b long")
-    return met.unionByName(rows.filter("b is not null").select("a", "b")).distinct()
+    met = rows.filter("b is null").select("key", "a").repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(between, "a long, b long, keys long")
+    met = met.groupBy("a", "b").agg(F.sum("keys").alias("keys"))
+    out = tables.write("beside", met.unionByName(rows.filter("b is not null").select("a", "b", F.lit(None).cast("long").alias("keys"))))
+    tables.drop("keys")
+    return out
 
 
 def limit_of(percent: int) -> int:
@@ -174,108 +206,136 @@ def limit_of(percent: int) -> int:
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, apart) of pairs whose sizes and signatures allow the similarity."""
-    side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    """The pairs (a, b) whose sizes and signatures allow the similarity."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
     rows = rows.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
     most = limit_of(percent)
 
     def run(batches):
         for batch in batches:
-            apart = (_values(batch.column(2)) != _values(batch.column(3))).sum(axis=1)
-            keep = pa.array(apart <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], names=["a", "b", "apart"]).filter(keep)
+            keep = pa.array((_values(batch.column(2)) != _values(batch.column(3))).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+
+    return rows.mapInArrow(run, "a long, b long")
+
 
-    return rows.mapInArrow(run, "a long, b long, apart long")
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``100 * intersection >= percent * union`` on the full sets."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id"), "near-texts")
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
+    """(node, text) of the named classes: the text of the row that stands for the class, once."""
+    named = tables.write("named", classes.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).join(nodes, "node"))
+    rows = _hashed(docs)
+    found = rows.join(_small(named), rows["doc_id"].eqNullSafe(named["id"]) & (rows["text_hash"] == named["hash"]))
+    return tables.write("texts", found.groupBy("node").agg(F.first("text").alias("text")))
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with ``100 * intersection >= percent * union`` on the full sets, as a written table."""
+    tables = Tables(docs.sparkSession, "near")
+    texts = _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), tables)
 
     def run(batches):
         for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
-            left, right, hit = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
-            for first, part in blocks(left):
-                x, bx = shingle_sets(part, k)
-                y, by = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in right[first : first + len(part)]], k)
-                for i in range(len(part)):
+            hit = []
+            for first, left in blocks(batch.column(2)):
+                x, bx = shingle_sets(left, k)
+                y, by = shingle_sets(batch.column(3).slice(first, len(left)).cast(pa.binary()).fill_null(b"").to_pylist(), k)
+                for i in range(len(left)):
                     u, v = x[bx[i] : bx[i + 1]], y[by[i] : by[i + 1]]
                     same = len(np.intersect1d(u, v, assume_unique=True))
                     hit.append(same > 0 and 100 * same >= percent * (len(u) + len(v) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    found = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    out = tables.write("links", found)
+    tables.drop("named", "texts")
+    return out
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, component) for nodes (doc_id) under links (a, b): the smallest id reachable.
+    """(node, component) for nodes (node) under links (a, b): the smallest node reachable.
 
     Each round takes the least label among the neighbours and then the label's own label, so that chains shorten
     to half; a round is written before the next reads it. Only a count reaches the driver.
     """
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    touched = both.select(F.col("a").alias("doc_id")).distinct()
-    labels = materialise(touched.withColumn("component", F.col("doc_id")), "near-labels")
+    tables = Tables(nodes.sparkSession, "near")
+    both = tables.write("both", links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = tables.write("step", both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
-        heard = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("component").alias("heard"))
-        least = labels.join(heard, "doc_id", "left").select("doc_id", F.col("component").alias("was"), F.least("component", "heard").alias("now"))
-        least = materialise(least, "near-labels")
-        jump = least.select(F.col("doc_id").alias("now"), F.col("now").alias("further"))
-        step = materialise(least.join(jump, "now", "left").select("doc_id", F.least("now", "further").alias("component"), (F.col("was") != F.least("now", "further")).alias("moved")), "near-labels")
-        labels = step.select("doc_id", "component")
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        least = tables.write("least", labels.join(heard, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("now")))
+        jump = least.select(F.col("node").alias("now"), F.col("now").alias("further"))
+        step = least.join(jump, "now", "left").select("node", F.least("now", "further").alias("component"), (F.col("was") != F.least("now", "further")).alias("moved"))
+        tables.drop("step")
+        step = tables.write("step", step)
+        tables.drop("least")
+        labels = step.select("node", "component")
         if not step.filter("moved").limit(1).count():
             break
-    return nodes.select("doc_id").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    tables.drop("both")
+    return nodes.select("node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def shared_shingles(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shared): how many shingles of each named document another named document holds too.
+def shared_shingles(texts: DataFrame, shingles: int, k: int) -> DataFrame:
+    """(node, shared): how many shingles of each text (node, text) another of them holds too.
 
-    Shingles are dealt by hash, once for each block of texts; only numbers come back.
+    Shingles are dealt by hash, once for each block of texts; what comes back is one packed row for each block and
+    part, summed by block.
     """
-    parts = shuffle_parts(docs.sparkSession)
+    parts = max(1, -(-shingles // PART_SHINGLES))
 
     def deal(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, part in blocks(batch.column(1).to_pylist()):
+            for first, part in blocks(batch.column(1), BLOCK):
                 hashes, bounds = shingle_sets(part, k)
                 owner = np.repeat(np.arange(len(part)), np.diff(bounds))
-                order = np.argsort(hashes, kind="stable")
-                hashes, owner = hashes[order], owner[order]
                 where = (mix(hashes) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
+                order = np.lexsort((hashes, where))
                 hashes, owner, where = hashes[order], owner[order], where[order]
-                out = []
+                out, once = [], pack(names[first : first + len(part)])
                 for p, s, e in zip(*slices(where), strict=True):
-                    mine, local = np.unique(owner[s:e], return_inverse=True)
-                    out.append((int(p), pack_rising(hashes[s:e]), pack(local.astype("<u2")), pack(names[first + mine])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3)]], names=["part", "hashes", "owner", "rows"])
+                    out.append((int(p), number, pack_rising(hashes[s:e]), pack(owner[s:e].astype("<u2")), once))
+                    once = b""
+                number += 1
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["part", "block", "hashes", "owner", "names"])
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        hashes = np.concatenate([unpack_rising(r["hashes"], "<u8") for r in rows])
-        owner = np.concatenate([unpack(r["rows"], "<i8")[unpack(r["owner"], "<u2").astype(np.int64)] for r in rows])
+        hashes = [unpack_rising(r["hashes"], "<u8") for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+        hashes, owner = np.concatenate(hashes), np.concatenate([unpack(r["owner"], "<u2") for r in rows])
         order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
         same = np.zeros(len(hashes), bool)
-        same[1:] = hashes[1:] == hashes[:-1]
+        same[1:] = hashes[order][1:] == hashes[order][:-1]
         same[:-1] |= same[1:]
-        names, n = np.unique(owner[same], return_counts=True)
-        return pa.table({"doc_id": names, "shared": n})
+        held = order[same]
+        mine, n = np.unique(row[held] * 65536 + owner[held], return_counts=True)
+        cuts = np.searchsorted(mine, np.arange(len(rows) + 1) * 65536)
+        out = [(pack((mine[a:b] & 65535).astype("<u2")), pack(n[a:b].astype("<u4"))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"block": table.column("block"), "texts": pa.array([x[0] for x in out], pa.binary()), "shared": pa.array([x[1] for x in out], pa.binary()), "names": table.column("names")})
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        names = unpack(next(r["names"] for r in rows if r["names"]), "<i8")
+        total = np.zeros(len(names), np.int64)
+        for r in rows:
+            total[unpack(r["texts"], "<u2").astype(np.int64)] += unpack(r["shared"], "<u4")
+        return pa.table({"node": names, "shared": total})
 
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
-    dealt = texts.mapInArrow(deal, "part int, hashes binary, owner binary, rows binary")
-    return dealt.groupBy("part").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    dealt = texts.select("node", "text").mapInArrow(deal, "part int, block long, hashes binary, owner binary, names binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "block long, texts binary, shared binary, names binary")
+    return counted.groupBy("block").applyInArrow(add, "node long, shared long")
 
 
 def _keyed(active: DataFrame) -> DataFrame:
-    """(key, number, doc_id, component): every key of every class."""
+    """(key, number, node, component): every key of every class."""
 
     def run(batches):
         for batch in batches:
@@ -285,10 +345,10 @@ def _keyed(active: DataFrame) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(len(keys)), KEYS))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(KEYS), len(keys))), *[part.column(i).take(at) for i in (0, 2)]],
-                    names=["key", "number", "doc_id", "component"],
+                    names=["key", "number", "node", "component"],
                 )
 
-    return active.select("doc_id", "sig", "component").mapInArrow(run, "key long, number long, doc_id long, component long")
+    return active.select("node", "sig", "component").mapInArrow(run, "key long, number long, node long, component long")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -296,28 +356,48 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
 
 
+def _set_rows(texts: DataFrame, k: int) -> DataFrame:
+    """(node, hashes): the full shingle set of every text (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for first, part in blocks(batch.column(1)):
+                hashes, bounds = shingle_sets(part, k)
+                sets = [pack_rising(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+
+
 def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Distinct (a, b) of different components that meet under a key and whose sizes and signatures are near enough.
+    """Links (a, b), confirmed on the full sets, between different components that meet under a key.
 
     A class can be linked only if ``percent`` of its shingles are held by another class that is looked at; those
     that are too much their own are left out before any comparison, whatever their number.
     """
     most = limit_of(percent)
-    active = classes.select("doc_id", "n_shingles", "sig").join(labels, "doc_id")
+    tables = Tables(docs.sparkSession, "near")
+    active = classes.select("node", "n_shingles", "sig").join(labels, "node")
     rows = _keyed(active)
-    open_ = materialise(rows.join(_mixed(rows), "key", "left_semi").select("doc_id").distinct(), "near-open")
-    able = shared_shingles(docs, open_, k)
-    active = materialise(active.join(able, "doc_id").filter(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("shared"), "near-able")
+    open_ = tables.write("open", rows.join(_mixed(rows), "key", "left_semi").select("node").distinct().join(classes.select("node", "n_shingles"), "node"))
+    shingles = open_.agg(F.sum("n_shingles")).first()[0]
+    if not shingles:
+        return open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    texts = _texts(docs, classes, open_.select("node"), tables)
+    able = shared_shingles(texts, shingles, k)
+    active = tables.write("able", active.join(able, "node").filter(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("shared"))
     rows = _keyed(active)
-    met = materialise(rows.join(_mixed(rows), "key"), "near-met")
-    full = met.join(active.select("doc_id", "n_shingles", "sig"), "doc_id")
+    met = tables.write("met", rows.join(_mixed(rows), "key"))
+    fullest = met.groupBy("node").agg(F.max(F.struct("n", "key")).alias("x"))
+    home = F.xxhash64("x.key", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.n") / HOME)))
+    full = met.join(active.select("node", "n_shingles", "sig"), "node").join(fullest.select("node", home.alias("home")), "node")
     cells = F.ceil(F.col("n") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), cells).cast("int")
+    own = F.pmod(F.xxhash64("node"), cells).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    full = full.select("key", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "doc_id", "component", "n_shingles", "sig")
+    full = full.select("key", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "home", "n_shingles", "sig")
 
-    def compare(group: list[np.ndarray]) -> Iterator[np.ndarray]:
-        number, i, j, left, ids, comp, size, sig = group
+    def compare(group: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        number, i, j, left, ids, comp, home, size, sig = group
         inner = i[0] == j[0]
         a, b = (np.arange(len(ids)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
         for s in range(0, len(a), 256):
@@ -335,7 +415,21 @@ def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
             rest = same.sum(axis=2)[:, :, None] - same
             first = (rest.reshape(len(p), KEYS) == PER_CHUNK - 1).argmax(axis=1)
             mine = first == number[0]  # a pair is given under the first key that it shares
-            yield np.stack([np.maximum(ids[p], ids[q]), np.minimum(ids[p], ids[q])], axis=1)[mine]
+            p, q = p[mine], q[mine]
+            swap = home[p] > home[q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            yield home[p], home[q], ids[p], ids[q], comp[p], comp[q]
+
+    def packed(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """One row for each pair of homes."""
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        cut = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1 if len(order) else order
+        starts = np.concatenate([[0], cut]) if len(order) else order
+        parts = list(zip(starts.tolist(), np.append(cut, len(order)).tolist(), strict=True)) if len(order) else []
+        homes = [pa.array(c[starts]) for c in columns[:2]]
+        return pa.RecordBatch.from_arrays([*homes, *[pa.array([pack(c[s:e]) for s, e in parts], pa.binary()) for c in columns[2:]]], names=[x.split()[0] for x in PAIRS.split(", ")])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -343,7 +437,7 @@ def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
 
         def flush():
             t = pa.Table.from_batches(held)
-            cols = [t.column(c).to_numpy() for c in ("number", "i", "j", "left", "doc_id", "component", "n_shingles")]
+            cols = [t.column(c).to_numpy() for c in ("number", "i", "j", "left", "node", "component", "home", "n_shingles")]
             if len(cols[0]) > 1 and len(np.unique(cols[5])) > 1:
                 yield from compare([*cols, np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)])
 
@@ -359,47 +453,120 @@ def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
                     held = []
                 now = tuple(what[s])
                 held.append(batch.slice(s, e - s))
-            yield _pair_batches(found)
+            yield packed(found)
         if held:
-            yield _pair_batches(list(flush()))
+            yield packed(list(flush()))
 
     parts = shuffle_parts(classes.sparkSession)
-    return full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    pairs = full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, PAIRS)
+    homes = tables.write("homes", pairs.groupBy("home_a", "home_b").applyInArrow(_gathered, HOMES))
+
+    def asked(batches):
+        for batch in batches:
+            for cell, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nodes = unpack(nodes, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), cell)), pa.array(nodes)], names=["cell", "node"])
+
+    sets = _set_rows(texts.join(active.select("node"), "node", "left_semi"), k)
+    shipped = homes.select("cell", "nodes").mapInArrow(asked, "cell long, node long").join(sets, "node")
+    out = tables.write("across", shipped.groupBy("cell").cogroup(homes.groupBy("cell")).applyInArrow(lambda a, b: _confirmed(a, b, percent), "a long, b long"))
+    tables.drop("named", "texts", "open", "able", "met", "homes")
+    return out
+
+
+PAIRS = "home_a long, home_b long, a binary, b binary, comp_a binary, comp_b binary"
+HOMES = "cell long, nodes binary, components binary, a binary, b binary"
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """All pairs of two homes, as places in the list of their classes."""
+    rows = table.to_pylist()
+    a, b, comp_a, comp_b = (np.concatenate([unpack(r[c], "<i8") for r in rows]) for c in ("a", "b", "comp_a", "comp_b"))
+    nodes, first, back = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+    p, q = (x.astype("<u4") for x in (back[: len(a)], back[len(a) :]))
+    cell = int((mix(np.array([rows[0]["home_a"]], np.int64).view(np.uint64)) + np.array([rows[0]["home_b"]], np.int64).view(np.uint64)).view(np.int64)[0])
+    packed = [pack(nodes.astype("<i8")), pack(np.concatenate([comp_a, comp_b])[first].astype("<i8")), pack(p), pack(q)]
+    return pa.table({"cell": pa.array([cell], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("nodes", "components", "a", "b"), packed, strict=True)}})
+
+
+def _confirmed(sets: pa.Table, homes: pa.Table, percent: int) -> pa.Table:
+    """Links that join components, confirmed on the sets of the classes of two homes."""
+    links: list[tuple[int, int]] = []
+    held = dict(zip(sets.column("node").to_pylist(), sets.column("hashes").to_pylist(), strict=True))
+    for cell in homes.to_pylist():
+        nodes, comps = unpack(cell["nodes"], "<i8"), unpack(cell["components"], "<i8")
+        a, b = unpack(cell["a"], "<u4").astype(np.int64), unpack(cell["b"], "<u4").astype(np.int64)
+        hashes = [unpack_rising(held[n], "<u8") for n in nodes.tolist()]
+        size = np.array([len(h) for h in hashes])
+        begin = np.cumsum(size) - size
+        place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        mark = np.zeros(int(place.max()) + 1, bool)
+        group = np.unique(comps, return_inverse=True)[1]
+        order = np.argsort(a, kind="stable")
+        for one, s, e in zip(*[x.tolist() for x in slices(a[order])], strict=True):
+            others = np.unique(b[order[s:e]])
+            others = others[group[others] != group[one]]
+            if not len(others):
+                continue
+            mine = place[begin[one] : begin[one] + size[one]]
+            mark[mine] = True
+            at = np.repeat(begin[others] - (np.cumsum(size[others]) - size[others]), size[others]) + np.arange(size[others].sum())
+            same = np.add.reduceat(mark[place[at]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+            mark[mine] = False
+            for other in others[100 * same >= percent * (size[others] + len(mine) - same)].tolist():
+                if group[other] != group[one]:
+                    links.append((int(nodes[one]), int(nodes[other])))
+                    group[group == group[other]] = group[one]
+    both = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
+    return pa.table({"a": both[:, 1], "b": both[:, 0]})
+
+
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, stands): ``stands`` for rows that are the first of their group."""
+    tables = Tables(docs.sparkSession, "near")
+    sketches = tables.write("sketches", sketch(docs, k))
+    full = sketches.filter("sig is not null")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    sets = full.groupBy("set_a", "set_b").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    sets = sets.select("least.*", "set_a", "set_b", "n_shingles", "sig").orderBy("none", "doc_id", "text_hash", "set_a", "set_b")
+    classes = tables.write("classes", sets.withColumn("node", F.monotonically_increasing_id()))
+    beside = beside_smallest(classes, percent)
+    most_keys = beside.filter("keys is not null").groupBy("a").agg(F.max_by("b", F.struct("keys", -F.col("b"))).alias("b"))
+    chosen = near_pairs(most_keys, classes, percent).unionByName(beside.filter("keys is null and a <> b").select("a", "b"))
+    links = confirm(tables.write("chosen", chosen.distinct()), classes, docs, k, percent)
+    met = tables.write("met", beside.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    labels = tables.write("components", components(met, links))
+    more = across(classes, labels, docs, k, percent)
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        labels = tables.write("components", components(met, links))
+    tables.drop("chosen", "met")
+    grouped = classes.select("node", "set_a", "set_b", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = grouped.join(classes.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    linked = full.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b"])
+    stands = (F.col("node") == F.col("component")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    linked = linked.select("doc_id", "text_hash", "n_shingles", "component_id", stands.alias("stands"))
+    alone = sketches.filter("sig is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stands"))
+    return linked.unionByName(alone)
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id that links of ``percent`` similarity reach."""
-    sketches = materialise(sketch(docs, k), "near-sketches")
-    full = sketches.filter("sig is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "near-classes")
-    beside = materialise(beside_smallest(classes), "near-pairs")
-    near = near_pairs(beside, classes, percent)
-    best = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    links = materialise(confirm(materialise(best, "near-best"), docs, k, percent), "near-found")
-    met = beside.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    labels = materialise(components(met, links), "near-components")
-    more = materialise(across(classes, labels, docs, k, percent), "near-across")
-    if more.limit(1).count():
-        links = links.unionByName(confirm(more, docs, k, percent))
-        labels = materialise(components(met, links), "near-components")
-    grouped = classes.select("set_a", "set_b", F.col("doc_id").alias("class_id")).join(labels.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left")
-    grouped = grouped.select("set_a", "set_b", F.coalesce("component", "class_id").alias("component_id"))
-    linked = full.select("doc_id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(sketches.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return _judged(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one a group stays: the smallest id's, once."""
-    groups = materialise(near_groups(docs, k, percent), "near-kept")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    twice = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-
-    def small(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """The rows of ``docs``, with all their columns, of which one a group stays: the smallest id's, once.
 
-    left = docs.join(small(gone), "doc_id", "left_anti")
+    Rows are told apart by id and text, so a row goes only if its own text is linked; texts without a word all stay.
+    """
+    tables = Tables(docs.sparkSession, "near")
+    groups = tables.write("judged", _judged(docs, k, percent))
+    gone = groups.filter("not stands").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    twice = groups.filter("stands and n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash"))
+    left = docs.join(_small(gone), same, "left_anti")
     if not twice.limit(1).count():
         return left
-    again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(again.select(*left.columns))
+    again = docs.join(_small(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(_small(twice), same, "left_anti").unionByName(again)

@@ -60,6 +60,8 @@ def brute(texts, items):
     out = {}
     for (d, text), (i, item) in itertools.product(enumerate(texts), items):
         a, b, best = cut(text), cut(item), None
+        if sum(x in set(b) for x in a) < 0.8 * min(len(b), decontaminate.LEAST):
+            continue  # too few tokens in common for any stretch
         for shift in range(-len(b) + 1, len(a)):
             left, right = max(0, -shift), min(len(b), len(a) - shift)
             same = [a[shift + j] == b[j] for j in range(left, right)]

@@ -4,6 +4,9 @@ import re
 import pytest
 
 from tenderloom.llm import near_dedup
+from tenderloom.llm.queries import op9_minhash_near_dedup
+
+DATA = "/root/testdata/sf0.001"
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,3 +77,36 @@ def test_small_texts_nulls_and_kept_rows(spark, none):
 def test_pigeonhole_covers_the_threshold():
     for percent in (80, 85):
         assert near_dedup.limit_of(percent) <= near_dedup.ERRORS * near_dedup.CHUNKS + near_dedup.CHUNKS - 1
+
+
+@pytest.mark.parametrize(("cell", "home"), [(16, 8), (4096, 1024)])
+def test_group_of_many_components(spark, monkeypatch, cell, home):
+    """A group in which most texts are linked with some others, not with the smallest."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    monkeypatch.setattr(near_dedup, "HOME", home)
+    rng, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(80)]
+    for i in range(120):
+        text = list(rng.choice(rows)[1].split()) if rows and i % 3 else list(base)
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(80)] = f"v{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, 3, 85).collect())
+    assert got == brute(rows, 3, 85)
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, docs):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "another text of words"), (None, "no id has this one"), (None, "a b c d e f"), (9, "no id has this one"), (None, None), (None, "only here it is said")]
+    df = spark.createDataFrame([(*r, "s", 3) for r in rows], "doc_id long, text string, spans string, component int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.keep_one(df, 3, 85).collect()), key=str)
+    assert kept == sorted([(1, "a b c d e f"), (7, "another text of words"), (9, "no id has this one"), (None, None), (None, "only here it is said")], key=str)
+    assert near_dedup.keep_one(docs).columns == docs.columns
+    assert near_dedup.near_groups(docs).count() == docs.count()
+
+
+def test_query_is_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = op9_minhash_near_dedup(spark, DATA).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, 3, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)

@@ -49,3 +49,42 @@ def test_sql(spark, name):
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), c.sql(queries.SQL[name]).df()
     rows = lambda df: sorted(str([None if x is None or x != x else str(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_stages_take_odd_tables(spark, folder, docs, none):
+    """Nulls in every column, repeated and null ids, blanks, long texts, and own columns named as the operators' own."""
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} <= ids
+        assert stage(spark, none, folder).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_stages_by_brute_force(spark):
+    """Near-dedup, decontamination and encoding of the given documents, each held against a plain version of itself."""
+    import test_decontaminate
+    import test_near_dedup
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = materialise(stages["language_id"](spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA), "l")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    kept = materialise(stages["near_dedup"](spark, docs, DATA), "n")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in test_near_dedup.brute(rows, 5, 80) if i == c}
+    clean = materialise(stages["decontaminate"](spark, kept, DATA), "d")
+    rows = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {rows[d][0] for d, _ in test_decontaminate.brute([t for _, t in rows], items)}
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - bad
+    quiet = materialise(stages["secret_scan"](spark, clean, DATA), "s")
+    assert quiet.count() == clean.count()
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, queries.vocabulary_bytes().splitlines())}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in quiet.collect()}
+    for r in stages["encode"](spark, quiet, DATA).collect():
+        assert [int.from_bytes(r["ids"][i : i + 4], "little") for i in range(0, len(r["ids"]), 4)] == own.encode_ordinary(texts[r["doc_id"]])
