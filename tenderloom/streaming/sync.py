@@ -1,8 +1,7 @@
 """Catalogue synchronisation as Structured Streaming jobs over landed files.
 
 A job reads new files in micro-batches, enriches and normalises them, and appends versions. Batches are written with
-their id, so that one told twice is one when read. Watermarks bound the state; the reference has none, they are
-this engine's own.
+their id, so that one told twice is one when read. Watermarks bound the state.
 """
 
 from __future__ import annotations
