@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.llm import byte_bpe, chat_format, decontaminate, fingerprint, language_id, lm_trie, near_dedup, secret_ledger, suffix_dedup, url_filter
+from tenderloom.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    filter_audit,
+    fingerprint,
+    language_id,
+    lm_trie,
+    near_dedup,
+    secret_ledger,
+    suffix_dedup,
+    url_filter,
+    vector_codes,
+)
 from tenderloom.llm.shared import shared_folder, table
 
 #: The rules of the URL query.
@@ -180,6 +193,75 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+f AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x),
+s AS (SELECT *, coalesce(list_min(list_transform(string_split(fails, ''), lambda k: CASE WHEN k = '' THEN 6 ELSE instr(filter_order, k) END)), 6) AS gone FROM c, o),
+r AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter,
+    sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone < step AND contains(fails, filter_order[step]) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows, books, _ = vector_codes.compress(vectors)
+    summed = vector_codes.with_group_sums(rows, "label", "error", "label_error")
+    return summed.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Lloyd's iteration without bounds: each round is a table of assignments and one of entries."""
+    nearest = (
+        "SELECT v.i, v.p, arg_min(b.e, (list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.e)) AS e, "
+        "min(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v JOIN b{0} b ON v.p = b.p GROUP BY v.i, v.p"
+    )
+    moved = (
+        "m{0} AS (SELECT p, e, k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT v.p, a.e, unnest(v.x) AS x, unnest(range(1, 9)) AS k FROM a{0} a JOIN v ON a.i = v.i AND a.p = v.p) GROUP BY p, e, k), "
+        "b{1} AS (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{0} b LEFT JOIN (SELECT p, e, list(x ORDER BY k) AS x FROM m{0} GROUP BY p, e) n ON b.p = n.p AND b.e = n.e)"
+    )
+    steps = ", ".join(f"a{r} AS MATERIALIZED ({nearest.format(r)}), {moved.format(r, r + 1)}" for r in range(rounds))
+    return (
+        "WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0), "
+        "n AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS i FROM w), "
+        "v AS MATERIALIZED (SELECT i, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM (SELECT i, x, unnest(range(8)) AS p FROM n)), "
+        "b0 AS (SELECT p, i - 1 AS e, x FROM v WHERE i <= 16), "
+        f"{steps}, last AS ({nearest.format(rounds)}), "
+        "c AS (SELECT i, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY i) "
+        "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, "
+        f"(SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM n JOIN c USING (i)"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -191,5 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
 }
-SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op8_secret_scans": _op8_sql()}
+SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op8_secret_scans": _op8_sql(), "op11_filter_audit": OP11_SQL, "op12_vector_codes": _op12_sql()}
