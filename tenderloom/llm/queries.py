@@ -16,6 +16,7 @@ from tenderloom.llm import (
     fingerprint,
     language_id,
     lm_trie,
+    mixing,
     near_dedup,
     secret_ledger,
     suffix_dedup,
@@ -262,6 +263,43 @@ def _op12_sql(rounds: int = 6) -> str:
     )
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def _op13_sql() -> str:
+    """The mix without its draws: they settle so that a source of n slots takes its slots 0 to n - 1, permuted."""
+    p = mixing.PRIME
+
+    def hashed(x: str, key: str) -> str:
+        a = f"(((({x}) & {p}) * 1103515245 + (({x}) >> 31) * 612345671 + ({key})) % {p})"
+        return f"(({a} * {a} % {p} * 1597334677 + {a}) % {p})"
+
+    wide = f"({hashed('idx * 2 + turn', 'r + 1')} * 1073741824 + {hashed('idx * 2 + turn', 'r + 1 + 7919')} % 1073741824)"
+    chunk = hashed("coalesce((doc_id % 1152921504606846976 + 1152921504606846976) % 1152921504606846976, 0) + size % 1073741824", "31")
+    top = f"(((greatest(x, y) & {p}) * 1103515245 + (greatest(x, y) >> 31) * 612345671 + k % {p}) % {p})"
+    return (
+        r"WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents), "
+        "s AS (SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source), "
+        "w AS (SELECT *, [5, 2, 1][idx % 3 + 1] AS weight, (words + 63) // 64 AS blocks FROM s), "
+        "l AS (SELECT *, 2.0 * words / weight AS fills, (1.5 * (SELECT sum(words) FROM s) - coalesce(sum(2 * words) OVER (ORDER BY 2.0 * words / weight, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+        "/ sum(weight) OVER (ORDER BY 2.0 * words / weight, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w), "
+        "v AS (SELECT coalesce((SELECT level FROM l WHERE words > 0 AND weight * level <= 2 * words ORDER BY fills, idx LIMIT 1), 0) AS level), "
+        "t AS (SELECT w.*, least(weight * v.level, 2.0 * words) AS target FROM w, v), "
+        "q AS (SELECT *, CASE WHEN words = 0 THEN 0 ELSE CAST(least(2 * blocks, floor(target * blocks / words + 0.5)) AS BIGINT) END AS due FROM t), "
+        "j AS (SELECT idx, blocks, unnest(range(due)) AS j FROM q), "
+        "z(idx, blocks, turn, r, x) AS (SELECT idx, blocks, j // blocks, CAST(0 AS BIGINT), j % blocks FROM j UNION ALL "
+        f"SELECT idx, blocks, turn, r + 1, CASE WHEN ({top} * {top} % {p} >> 15) % 2 = 1 THEN y ELSE x END FROM "
+        f"(SELECT *, (k + blocks - x) % blocks AS y FROM (SELECT *, {wide} % blocks AS k FROM z WHERE r < 16))), "
+        "b AS (SELECT idx, x AS block, count(*) AS times FROM z WHERE r = 16 GROUP BY idx, x), "
+        f"o AS (SELECT d.doc_id, d.size, q.words, q.target, q.idx, {chunk} % ((docs + 8191) // 8192) AS chunk FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source), "
+        "f AS (SELECT *, row_number() OVER () AS n, coalesce(sum(size) OVER (PARTITION BY idx ORDER BY chunk, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM o) "
+        "SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(words) AS source_size, any_value(target) AS target, "
+        "CAST(coalesce(sum(times * (least(first + size, 64 * block + 64) - greatest(first, 64 * block))), 0) AS BIGINT) AS taken "
+        "FROM f LEFT JOIN b ON f.idx = b.idx AND size > 0 AND block BETWEEN first // 64 AND (first + size - 1) // 64 GROUP BY n"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -275,5 +313,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_source_mix": op13_source_mix,
 }
-SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op8_secret_scans": _op8_sql(), "op11_filter_audit": OP11_SQL, "op12_vector_codes": _op12_sql()}
+SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op8_secret_scans": _op8_sql(), "op11_filter_audit": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_source_mix": _op13_sql()}

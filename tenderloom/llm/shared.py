@@ -81,3 +81,23 @@ def shuffle_parts(spark: SparkSession) -> int:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """``crc32`` of the id written as text, modulo ``folds``; a null id falls in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+#: So many groups are few enough to send to every task.
+FEW_GROUPS = 100_000
+
+
+def beside_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row for each ``key`` and ``__n``, its number of rows; nulls together.
+
+    Few groups are sent to every task, so that a common key stays spread. Of many, those with more than a
+    ``FEW_GROUPS``-th of all rows are few again, and only the others are joined by shuffle. ``__n`` stays.
+    """
+    groups = groups.withColumnRenamed(key, "__key")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups), same).drop("__key")
+    least = (groups.agg(F.sum("__n")).first()[0] or 0) / FEW_GROUPS
+    first = rows.join(F.broadcast(groups.filter(F.col("__n") > least)), same, "left")
+    rest = first.filter("__n IS NULL").select(*rows.columns).join(groups.filter(F.col("__n") <= least), same)
+    return first.filter("__n IS NOT NULL").unionByName(rest).drop("__key")

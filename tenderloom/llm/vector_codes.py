@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderloom.llm.shared import Tables
+from tenderloom.llm.shared import Tables, beside_groups
 
 SCALE = 4096
 #: Relative slack of a bound against rounding in 64-bit floats.
@@ -238,28 +238,12 @@ def compress(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     return state.select(*layout.keep, F.col("__codes").alias("codes"), F.col("__error").alias("error")), books, looked
 
 
-#: So many groups are few enough to send to every task.
-FEW_GROUPS = 100_000
-
-
 def with_group_sums(rows: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the sum of ``value`` over all rows of the same ``group``, nulls together.
 
-    Sums are made by partial aggregation and joined back, so that a common group stays spread: few groups are sent to
-    every task. Of many, those with more than a ``FEW_GROUPS``-th of all rows are few again, and only the others are
-    joined by shuffle.
+    Sums are made by partial aggregation and joined back, so that a common group stays spread.
     """
-    sums = rows.groupBy(F.col(group).alias("__group")).agg(F.sum(value).alias(out), F.count("*").alias("__n"))
-    same = F.col(group).eqNullSafe(F.col("__group"))
-    many = sums.limit(FEW_GROUPS + 1).count() > FEW_GROUPS
-    if not many:
-        return rows.join(F.broadcast(sums), same, "left").drop("__group", "__n")
-    least = rows.count() / FEW_GROUPS
-    common, others = sums.filter(F.col("__n") > least), sums.filter(F.col("__n") <= least)
-    first = rows.join(F.broadcast(common), same, "left")
-    found = first.filter("__n IS NOT NULL").drop("__group", "__n")
-    rest = first.filter("__n IS NULL").drop("__group", "__n", out).join(others, same, "left").drop("__group", "__n")
-    return found.unionByName(rest)
+    return beside_groups(rows, rows.groupBy(group).agg(F.sum(value).alias(out), F.count("*").alias("__n")), group).drop("__n")
 
 
 def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
