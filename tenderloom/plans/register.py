@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderloom.plans import archive, catalogue, decide, normalise, search
+from tenderloom.plans import archive, catalogue, decide, normalise, rank, search
 
-QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES | decide.QUERIES | normalise.QUERIES
-SQL = catalogue.SQL | archive.SQL | search.SQL | decide.SQL | normalise.SQL
+QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES | decide.QUERIES | normalise.QUERIES | rank.QUERIES
+SQL = catalogue.SQL | archive.SQL | search.SQL | decide.SQL | normalise.SQL | rank.SQL
