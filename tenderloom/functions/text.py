@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.functions import stemming
+
 # Endings cut from words; of several that fit, the longest is cut.
 ENDINGS = (
     "ами", "ями", "ого", "его", "ому", "ему", "ыми", "ими", "ость", "ая", "яя", "ое", "ее", "ые", "ие", "ой", "ей", "ый", "ий",
@@ -127,12 +129,9 @@ def search_terms(c: Column) -> Column:
     return F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
 
 
-def analyze(c: Column, stem_of=stem) -> Column:
-    """Search terms by their stems; words without a Cyrillic letter stay whole.
-
-    The rule stemmer stands in for a Snowball stemmer, which needs a package that is not at hand; ``stem_of`` takes one.
-    """
-    return F.transform(search_terms(c), lambda t: F.when(t.rlike("[а-я]"), stem_of(t)).otherwise(t))
+def analyze(c: Column, stem_of=stemming.stem) -> Column:
+    """Search terms by their stems: Snowball's, Russian for words with a Cyrillic letter, else English; or by ``stem_of``."""
+    return F.transform(search_terms(c), stem_of)
 
 
 def term_count(c: Column) -> Column:
@@ -146,10 +145,15 @@ def prefixes(c: Column, shortest: int = 3, longest: int = 6) -> Column:
     return F.array_distinct(F.flatten(each))
 
 
-def query_prefixes(c: Column, longest: int = 6, most: int = 64) -> Column:
-    """What of each search term it shares with its stem, at most ``longest`` characters; three at least."""
-    cut = F.transform(search_terms(c), lambda t: F.left(F.when(t.startswith(stem(t)), stem(t)).otherwise(t), F.lit(longest)))
-    return F.slice(F.array_distinct(F.filter(cut, lambda t: F.length(t) >= 3)), 1, most)
+def query_prefixes(c: Column, longest: int = 6, most: int = 64, stem_of=stemming.stem) -> Column:
+    """What each search term and its stem begin with in common, at most ``longest`` characters; three at least."""
+
+    def common(pair: Column) -> Column:
+        word, root = pair["word"], pair["root"]
+        return F.coalesce(*[F.when(F.left(word, F.lit(n)) == F.left(root, F.lit(n)), F.left(word, F.lit(n))) for n in range(longest, 0, -1)])
+
+    pairs = F.transform(search_terms(c), lambda t: F.struct(t.alias("word"), stem_of(t).alias("root")))
+    return F.slice(F.array_distinct(F.filter(F.transform(pairs, common), lambda t: F.length(t) >= 3)), 1, most)
 
 
 def expand(c: Column, dictionary: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenderloom.functions import names
+from tenderloom.functions import names, stemming
 from tenderloom.functions import text as t
 from tenderloom.operators import queues
 from tenderloom.operators.state import spread
 from tenderloom.plans import mapping as m
+from tenderloom.plans import stem_sql
 
 KEYS = {"размер": "size", "вес": "weight"}
 
@@ -24,14 +25,22 @@ def stemmed_words(spark, d):
     return _suffixed(spark, d).select("word", t.stem(F.col("word")).alias("stem"))
 
 
+def _all_texts(spark, d):
+    """The documents, and the words with endings, each beside words that a search passes over."""
+    suffixed = _suffixed(spark, d).select(F.concat(F.lit("для поставка The "), "word").alias("text"))
+    return spread(m.read(spark, d, "documents").select("text")).unionByName(suffixed)
+
+
 def analyzed_terms(spark, d):
-    """Search terms of all documents and suffixed words, by stem."""
-    texts = spread(m.read(spark, d, "documents").select("text")).unionByName(_suffixed(spark, d).select(F.concat(F.lit("для поставка The "), "word").alias("text")))
-    return texts.select(F.explode(t.analyze(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Search terms of all texts, by stem. Terms are counted first, so that each is stemmed once."""
+    terms = _all_texts(spark, d).select(F.explode(t.search_terms(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return terms.groupBy(stemming.stem(F.col("word")).alias("term")).agg(F.sum("n").alias("n"))
 
 
 def query_prefixes(spark, d):
-    return _suffixed(spark, d).select("word", F.array_join(t.query_prefixes(F.concat("word", F.lit(" и the x"))), ",").alias("prefixes"))
+    """The prefixes under which every distinct word of the documents and every word with an ending is searched."""
+    words = _all_texts(spark, d).select(F.explode(t.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", F.array_join(t.query_prefixes(F.concat("word", F.lit(" и the x"))), ",").alias("prefixes"))
 
 
 def expanded_names(spark, d):
@@ -154,6 +163,8 @@ _STEM = "regexp_replace({}, '^(.{{4,}}?)(?:" + "|".join(t.ENDINGS) + ")$', '\\1'
 _WORDS = f"""ws AS (SELECT DISTINCT w || 'к' || {_LIST}[1 + p_partkey % {len(t.ENDINGS)}] AS word
   FROM (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '[^0-9a-zа-я]+'), lambda x: x <> '')) AS w FROM part))"""
 _STOP = "(" + ", ".join(f"'{w}'" for w in t.STOP_WORDS) + ")"
+_TEXTS = f"""{_WORDS}, tx AS (SELECT text FROM documents UNION ALL SELECT 'для поставка The ' || word FROM ws),
+tw AS (SELECT unnest(string_split_regex(replace(lower(text), 'ё', 'е'), '[^0-9a-zа-я]+')) AS w FROM tx)"""
 _PARTS = """np AS (SELECT p_partkey, trim(regexp_replace(lower(p_name) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' ' || lower(p_brand) END || ' 220 в ' || p_size || ' 5 мм', '\\s+', ' ', 'g')) AS core,
   CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS brand, CASE p_partkey % 3 WHEN 0 THEN 'A-' || p_partkey WHEN 1 THEN CAST(p_partkey + 10000 AS VARCHAR) ELSE '' END AS article,
   'ГОСТ 12-' || p_size AS gost, '220' AS volts, p_size || '.5' AS mm FROM part)"""
@@ -170,8 +181,8 @@ dd AS (
 
 SQL = {
     "stemmed_words": f"WITH {_WORDS} SELECT word, {_STEM.format('word')} AS stem FROM ws",
-    "analyzed_terms": f"WITH {_WORDS}, tx AS (SELECT text FROM documents UNION ALL SELECT 'для поставка The ' || word FROM ws), tk AS (SELECT unnest(string_split_regex(replace(lower(text), 'ё', 'е'), '[^0-9a-zа-я]+')) AS x FROM tx) SELECT CASE WHEN regexp_matches(x, '[а-я]') THEN {_STEM.format('x')} ELSE x END AS term, count(*) AS n FROM tk WHERE length(x) >= 2 AND x NOT IN {_STOP} GROUP BY 1",
-    "query_prefixes": f"WITH {_WORDS} SELECT word, left(CASE WHEN starts_with(word, {_STEM.format('word')}) THEN {_STEM.format('word')} ELSE word END, 6) AS prefixes FROM ws",
+    "analyzed_terms": f"WITH {_TEXTS}, tk AS (SELECT w, count(*) AS n FROM tw WHERE length(w) >= 2 AND w NOT IN {_STOP} GROUP BY 1), {stem_sql.stems('tk')} SELECT stem AS term, CAST(sum(n) AS BIGINT) AS n FROM tk JOIN st USING (w) GROUP BY 1",
+    "query_prefixes": f"WITH {_TEXTS}, {stem_sql.stems('tw')}, cp AS (SELECT w, coalesce(max(n), 0) AS n FROM st, (SELECT unnest(range(1, 7)) AS n) WHERE left(w, n) = left(stem, n) GROUP BY w) SELECT w AS word, CASE WHEN length(left(w, n)) >= 3 AND w NOT IN {_STOP} THEN left(w, n) ELSE '' END AS prefixes FROM cp",
     "expanded_names": "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(p_name, '\\bold rod\\b', '', 'g'), '\\bnew\\b', '', 'g'), ' '), lambda x: x <> ''), lambda x: CASE x WHEN 'blue' THEN 'azure' WHEN 'red' THEN 'ruby' ELSE x END), ' ') AS name FROM part",
     "name_parts": f"WITH {_PARTS} SELECT * FROM np",
     "merge_keys": f"WITH {_PARTS} SELECT CASE WHEN brand <> '' AND article <> '' THEN lower(brand || ' ' || article) ELSE core END AS merge_key, count(*) AS n FROM np GROUP BY 1",

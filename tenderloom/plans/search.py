@@ -8,10 +8,13 @@ from tenderloom.functions import text as t
 from tenderloom.operators import retrieval as r
 from tenderloom.operators.state import spread
 from tenderloom.plans import mapping as m
+from tenderloom.plans import stem_sql
 
 #: Words asked of the documents, and prefixes asked of part names.
 ASKED = {1: ("the", "ation", "ing"), 2: ("la", "les", "que"), 3: ("und", "die")}
 TERMS = ("blu", "red", "wid", "gea")
+#: What the lexical channel compares titles with, stem by stem.
+REQUEST = "for the blue widgets, geared"
 
 
 def _queries(spark):
@@ -59,8 +62,7 @@ def tfidf_docs(spark, d):
 def _lexical(spark, d):
     offers = m.offers(spark, d).select("supplier_id", "name", (F.col("offer_id") / 100000).cast("long").alias("p_partkey"))
     scored = r.bm25_pool(_pool(spark, d), "p_partkey", len(TERMS)).select("p_partkey", "score").join(offers, "p_partkey").withColumn("item_id", F.lit("i1"))
-    words = F.array(F.lit("blue"), F.lit("widget"))
-    return r.lexical_channel(scored, t.tokens(F.col("name")), words)
+    return r.lexical_channel(scored, t.analyze(F.col("name")), t.analyze(F.lit(REQUEST)))
 
 
 def lexical_channel(spark, d):
@@ -189,8 +191,10 @@ sc AS (SELECT {key}, tk, hits, {score} AS score FROM pl, st)"""
 _PART = f"pt AS (SELECT p_partkey, p_name, {_TOK.format('p_name')} AS tk FROM part)"
 _DOCS = f"dt AS (SELECT doc_id, {_TOK.format('text')} AS tk FROM documents), ask(query_id, term) AS (VALUES " + ", ".join(f"({q}, '{w}')" for q, ws in ASKED.items() for w in ws) + ")"
 _LEX = _PART + "," + _pool_sql("pt", "p_partkey") + """,
-lex AS (SELECT o.supplier_id, 'i1' AS item_id, max(score) AS relevance FROM sc JOIN offers o ON o.offer_id // 100000 = p_partkey
-  WHERE score > 0 AND o.supplier_id IS NOT NULL AND list_has_any(tk, ['blue', 'widget']) GROUP BY 1)"""
+pw AS (SELECT DISTINCT p_partkey, unnest(tk) AS w FROM pt UNION SELECT -1, unnest(['blue', 'widgets', 'geared']) AS w), """ + stem_sql.stems("pw", "sn") + """,
+sh AS (SELECT DISTINCT a.p_partkey FROM pw a JOIN sn x USING (w) WHERE length(w) >= 2 AND stem IN (SELECT stem FROM pw JOIN sn USING (w) WHERE p_partkey = -1)),
+lex AS (SELECT o.supplier_id, 'i1' AS item_id, max(score) AS relevance FROM sc JOIN sh USING (p_partkey) JOIN offers o ON o.offer_id // 100000 = p_partkey
+  WHERE score > 0 AND o.supplier_id IS NOT NULL GROUP BY 1)"""
 _HIST_RAW = m.RAW_SQL
 _HIST = (
     _HIST_RAW

@@ -34,7 +34,8 @@ def test_dates_urls_terms(spark):
     assert str(one(t.tolerant_date(F.lit(" 1.2.2003")))) == "2003-02-01" and str(one(t.tolerant_date(F.lit("2003-02-01T5")))) == "2003-02-01"
     assert one(t.tolerant_date(F.lit("2003-02-31"))) is None and one(t.tolerant_date(F.lit(""))) is None
     assert one(t.is_web_url(F.lit("HTTPS://a"))) and not one(t.is_web_url(F.lit("http:///a"))) and not one(t.is_web_url(F.lit(None).cast("string")))
-    assert one(t.analyze(F.lit("Прошу поставка насосами для THE pumps я 5 42"))) == ["насос", "pumps", "42"]
+    assert one(t.analyze(F.lit("Прошу поставка насосами для THE pumps я 5 42"))) == ["насос", "pump", "42"]
+    assert one(t.query_prefixes(F.lit("happy pumps skies dying on я важнейшими ПУМПЫ"))) == ["happ", "pump", "важн", "пумп"]
 
 
 def test_queue_is_flushed_when_full_or_old():
