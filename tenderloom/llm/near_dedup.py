@@ -13,11 +13,13 @@ Rows that meet under a key are never expanded into all pairs:
 2. every class is laid beside the smallest class under each of its keys: inside a task by the signatures, of which only
    the nearest stays, between tasks by the number of keys that two share. So a class is confirmed on the full sets
    against two others at most, and the links give components;
-3. only keys under which several components meet are looked at again: there the signatures of different components
-   are compared block by block. Keys with many rows are cut into cells of ``CELL`` by ``CELL`` rows that go to different
-   tasks. Pairs near enough are never rows: they are kept packed by the homes of both classes (a class's home is its
-   fullest key), and a pair of homes gets the full sets of its classes once. There
-   pairs already joined are passed over, the others confirmed, and only links that join components come out.
+3. only keys under which several components meet are looked at again, in rounds: there the signatures of different
+   components are compared block by block, and near ones by odd sketches, whose distance is never above that of the
+   sets: what differs by more than the threshold allows is refuted at once. Keys with many rows are cut into cells of
+   ``CELL`` by ``CELL`` rows that go to different tasks. Of the pairs left a task gives only a few spanning forests over
+   its components, no more than ``FORESTS`` rows a class in the first rounds; they are confirmed on the full sets and
+   joined. Pairs that fail are remembered, and the next round reads only keys under which several components still meet.
+   The last rounds give every pair that is left, so that no link is lost.
 
 So every link between different texts is found unless two components are already joined without it. Shingles are
 64-bit hashes of their words.
@@ -30,15 +32,14 @@ an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
 from tenderloom.llm.shared import Tables, shuffle_parts
 from tenderloom.llm.words import NOT_BLANK, blocks, in_text, mix, tokenise
 
@@ -49,12 +50,12 @@ ERRORS = 1
 KEYS = CHUNKS * PER_CHUNK
 #: Rows of one key that one task compares with as many others.
 CELL = 4096
-#: Classes of one home, whose full sets are held together.
-HOME = 1024
+#: Spanning forests that a task gives in each round; then all pairs that are left.
+FORESTS = (1, 8, 64)
+#: The least bits of an odd sketch.
+ODD_BITS = 256
 #: Up to this many ids are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Shingles that one part counts, and bytes of text that are dealt out together.
-PART_SHINGLES, BLOCK = 2_000_000, 4_000_000
 
 _SALTS = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
 
@@ -100,8 +101,41 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return rows, out, prints
 
 
+def odd_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set the parities of its shingles by hash, one bit a shingle or more, a power of two.
+
+    The sketches of two sets differ in no more bits than the sets in shingles.
+    """
+    size = np.diff(bounds)
+    bits = np.maximum(ODD_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(size)), size)
+    place = (mix(hashes ^ np.uint64(0x5BD1E995)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits(np.bincount(begin[owner] + place, minlength=begin[-1]).astype(np.uint8) & 1)
+    return [data[a // 8 : b // 8].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def odd_distances(odd: list[bytes], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of each pair differ; the longer one is folded to the other's length."""
+    length = np.array([len(x) for x in odd])
+    least = np.minimum(length[p], length[q])
+    out = np.zeros(len(p), np.int64)
+    for n in np.unique(least):
+        pairs = np.flatnonzero(least == n)
+        rows, back = np.unique(np.concatenate([p[pairs], q[pairs]]), return_inverse=True)
+        folded = np.zeros((len(rows), n), np.uint8)
+        for i, r in enumerate(rows.tolist()):
+            whole = np.frombuffer(odd[r], np.uint8)
+            folded[i] = np.bitwise_xor.reduce(whole.reshape(-1, n), axis=0)
+        step = max(1, 32_000_000 // int(n))
+        for s in range(0, len(pairs), step):
+            a, b = back[: len(pairs)][s : s + step], back[len(pairs) :][s : s + step]
+            out[pairs[s : s + step]] = np.bitwise_count(folded[a] ^ folded[b]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_a, set_b, sig): size, fingerprint and signature of every document's set."""
+    """(doc_id, text_hash, n_shingles, set_a, set_b, sig, odd): size, fingerprint, signature and odd sketch of every document's set."""
 
     def run(batches):
         for batch in batches:
@@ -114,10 +148,10 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 for r, s in zip(rows.tolist(), sig, strict=True):
                     sigs[r] = s.tobytes()
                 same = [batch.column(i).slice(first, len(part)) for i in (0, 1)]
-                columns = [*same, pa.array(np.diff(bounds)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig"])
+                columns = [*same, pa.array(np.diff(bounds)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sigs, pa.binary()), pa.array(odd_sketches(hashes, bounds), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig", "odd"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig binary")
+    return _hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig binary, odd binary")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -280,60 +314,6 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def shared_shingles(texts: DataFrame, shingles: int, k: int) -> DataFrame:
-    """(node, shared): how many shingles of each text (node, text) another of them holds too.
-
-    Shingles are dealt by hash, once for each block of texts; what comes back is one packed row for each block and
-    part, summed by block.
-    """
-    parts = max(1, -(-shingles // PART_SHINGLES))
-
-    def deal(batches):
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, part in blocks(batch.column(1), BLOCK):
-                hashes, bounds = shingle_sets(part, k)
-                owner = np.repeat(np.arange(len(part)), np.diff(bounds))
-                where = (mix(hashes) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((hashes, where))
-                hashes, owner, where = hashes[order], owner[order], where[order]
-                out, once = [], pack(names[first : first + len(part)])
-                for p, s, e in zip(*slices(where), strict=True):
-                    out.append((int(p), number, pack_rising(hashes[s:e]), pack(owner[s:e].astype("<u2")), once))
-                    once = b""
-                number += 1
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["part", "block", "hashes", "owner", "names"])
-
-    def count(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        hashes = [unpack_rising(r["hashes"], "<u8") for r in rows]
-        row = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-        hashes, owner = np.concatenate(hashes), np.concatenate([unpack(r["owner"], "<u2") for r in rows])
-        order = np.argsort(hashes, kind="stable")
-        same = np.zeros(len(hashes), bool)
-        same[1:] = hashes[order][1:] == hashes[order][:-1]
-        same[:-1] |= same[1:]
-        held = order[same]
-        mine, n = np.unique(row[held] * 65536 + owner[held], return_counts=True)
-        cuts = np.searchsorted(mine, np.arange(len(rows) + 1) * 65536)
-        out = [(pack((mine[a:b] & 65535).astype("<u2")), pack(n[a:b].astype("<u4"))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"block": table.column("block"), "texts": pa.array([x[0] for x in out], pa.binary()), "shared": pa.array([x[1] for x in out], pa.binary()), "names": table.column("names")})
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        names = unpack(next(r["names"] for r in rows if r["names"]), "<i8")
-        total = np.zeros(len(names), np.int64)
-        for r in rows:
-            total[unpack(r["texts"], "<u2").astype(np.int64)] += unpack(r["shared"], "<u4")
-        return pa.table({"node": names, "shared": total})
-
-    dealt = texts.select("node", "text").mapInArrow(deal, "part int, block long, hashes binary, owner binary, names binary")
-    counted = dealt.groupBy("part").applyInArrow(count, "block long, texts binary, shared binary, names binary")
-    return counted.groupBy("block").applyInArrow(add, "node long, shared long")
-
-
 def _keyed(active: DataFrame) -> DataFrame:
     """(key, number, node, component): every key of every class."""
 
@@ -356,48 +336,56 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
 
 
-def _set_rows(texts: DataFrame, k: int) -> DataFrame:
-    """(node, hashes): the full shingle set of every text (node, text)."""
+def forests(comp_a: np.ndarray, comp_b: np.ndarray, apart: np.ndarray, labels: list[np.ndarray]) -> np.ndarray:
+    """Which pairs join what is apart under one of ``labels`` (a label for each component), the nearest first; labels are joined.
 
-    def run(batches):
-        for batch in batches:
-            for first, part in blocks(batch.column(1)):
-                hashes, bounds = shingle_sets(part, k)
-                sets = [pack_rising(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(sets, pa.binary())], names=["node", "hashes"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    Each of the ``labels`` grows its own forest of pairs that no earlier one has taken.
+    """
+    left, out = np.arange(len(apart)), []
+    for label in labels:
+        a, b = label[comp_a[left]], label[comp_b[left]]
+        open_ = np.flatnonzero(a != b)
+        low, high = np.minimum(a, b)[open_], np.maximum(a, b)[open_]
+        order = np.lexsort((apart[left[open_]], high, low))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        some = open_[order[fresh]]
+        taken = []
+        for i in some[np.argsort(apart[left[some]], kind="stable")].tolist():
+            x, y = label[comp_a[left[i]]], label[comp_b[left[i]]]
+            if x != y:
+                label[label == y] = x
+                taken.append(i)
+        out.append(left[taken])
+        left = np.delete(left, taken)
+        if not len(left):
+            break
+    return np.concatenate(out) if out else left
 
 
-def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b), confirmed on the full sets, between different components that meet under a key.
+def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of classes (node, n_shingles, sig, odd, component, failed) of different components that meet under a key and may be linked.
 
-    A class can be linked only if ``percent`` of its shingles are held by another class that is looked at; those
-    that are too much their own are left out before any comparison, whatever their number.
+    Only as many forests of them as asked for by each task; all of them with None. ``failed`` lists those refuted before.
     """
     most = limit_of(percent)
-    tables = Tables(docs.sparkSession, "near")
-    active = classes.select("node", "n_shingles", "sig").join(labels, "node")
-    rows = _keyed(active)
-    open_ = tables.write("open", rows.join(_mixed(rows), "key", "left_semi").select("node").distinct().join(classes.select("node", "n_shingles"), "node"))
-    shingles = open_.agg(F.sum("n_shingles")).first()[0]
-    if not shingles:
-        return open_.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    texts = _texts(docs, classes, open_.select("node"), tables)
-    able = shared_shingles(texts, shingles, k)
-    active = tables.write("able", active.join(able, "node").filter(100 * F.col("shared") >= percent * F.col("n_shingles")).drop("shared"))
     rows = _keyed(active)
-    met = tables.write("met", rows.join(_mixed(rows), "key"))
-    fullest = met.groupBy("node").agg(F.max(F.struct("n", "key")).alias("x"))
-    home = F.xxhash64("x.key", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.n") / HOME)))
-    full = met.join(active.select("node", "n_shingles", "sig"), "node").join(fullest.select("node", home.alias("home")), "node")
+    met = rows.join(_mixed(rows), "key")
+    full = met.join(active.select("node", "n_shingles", "sig", "odd", "failed"), "node")
     cells = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), cells).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    full = full.select("key", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "home", "n_shingles", "sig")
-
-    def compare(group: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-        number, i, j, left, ids, comp, home, size, sig = group
+    full = full.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "n_shingles", "sig", "odd", "failed")
+
+    def compare(t: pa.Table) -> Iterator[np.ndarray]:
+        """The chosen pairs of one cell, (2, pairs)."""
+        i, j, left, ids, comp, size = (t.column(c).to_numpy() for c in ("i", "j", "left", "node", "component", "n_shingles"))
+        names, comp = np.unique(comp, return_inverse=True)
+        if len(names) < 2:
+            return
+        sig, odd = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES), t.column("odd").to_pylist()
+        refuted = {(int(n), f) for n, fs in zip(ids, t.column("failed").to_pylist(), strict=True) for f in fs or ()}
+        labels = [np.arange(len(names)) for _ in range(n_forests or 0)]
         inner = i[0] == j[0]
         a, b = (np.arange(len(ids)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
         for s in range(0, len(a), 256):
@@ -407,118 +395,73 @@ def across(classes: DataFrame, labels: DataFrame, docs: DataFrame, k: int, perce
                 apart += sig[x, v][:, None] != sig[b, v][None, :]
             n, m = size[x][:, None], size[b][None, :]
             good = (apart <= most) & (comp[x][:, None] != comp[b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if len(labels) == 1:
+                good &= labels[0][comp[x]][:, None] != labels[0][comp[b]][None, :]
             if inner:
                 good &= x[:, None] < b[None, :]
             r, c = np.nonzero(good)
             p, q = x[r], b[c]
-            same = (sig[p] == sig[q]).reshape(-1, CHUNKS, PER_CHUNK)
-            rest = same.sum(axis=2)[:, :, None] - same
-            first = (rest.reshape(len(p), KEYS) == PER_CHUNK - 1).argmax(axis=1)
-            mine = first == number[0]  # a pair is given under the first key that it shares
-            p, q = p[mine], q[mine]
-            swap = home[p] > home[q]
-            p, q = np.where(swap, q, p), np.where(swap, p, q)
-            yield home[p], home[q], ids[p], ids[q], comp[p], comp[q]
-
-    def packed(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        """One row for each pair of homes."""
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
-        order = np.lexsort((columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        cut = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1 if len(order) else order
-        starts = np.concatenate([[0], cut]) if len(order) else order
-        parts = list(zip(starts.tolist(), np.append(cut, len(order)).tolist(), strict=True)) if len(order) else []
-        homes = [pa.array(c[starts]) for c in columns[:2]]
-        return pa.RecordBatch.from_arrays([*homes, *[pa.array([pack(c[s:e]) for s, e in parts], pa.binary()) for c in columns[2:]]], names=[x.split()[0] for x in PAIRS.split(", ")])
+            differ = odd_distances(odd, p, q)
+            # percent of the union is common: (100 + percent) * difference <= (100 - percent) * (n + m)
+            near = (100 + percent) * differ <= (100 - percent) * (size[p] + size[q])
+            p, q, differ = p[near], q[near], differ[near]
+            if refuted:
+                new = np.array([(u, w) not in refuted for u, w in zip(ids[p].tolist(), ids[q].tolist(), strict=True)], bool)
+                p, q, differ = p[new], q[new], differ[new]
+            if n_forests:
+                chosen = forests(comp[p], comp[q], differ / (size[p] + size[q]), labels)
+                p, q = p[chosen], q[chosen]
+            yield np.sort(np.stack([ids[p], ids[q]]), axis=0)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         now = None
 
         def flush():
-            t = pa.Table.from_batches(held)
-            cols = [t.column(c).to_numpy() for c in ("number", "i", "j", "left", "node", "component", "home", "n_shingles")]
-            if len(cols[0]) > 1 and len(np.unique(cols[5])) > 1:
-                yield from compare([*cols, np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)])
+            pairs = [np.zeros((2, 0), np.int64), *(compare(pa.Table.from_batches(held)) if sum(b.num_rows for b in held) > 1 else ())]
+            low, high = np.concatenate(pairs, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             what = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")], axis=1)
             cuts = np.concatenate([[0], np.flatnonzero((what[1:] != what[:-1]).any(axis=1)) + 1, [len(what)]])
-            found = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and tuple(what[s]) != now:
-                    found += list(flush())
+                    yield flush()
                     held = []
                 now = tuple(what[s])
                 held.append(batch.slice(s, e - s))
-            yield packed(found)
         if held:
-            yield packed(list(flush()))
+            yield flush()
 
-    parts = shuffle_parts(classes.sparkSession)
-    pairs = full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, PAIRS)
-    homes = tables.write("homes", pairs.groupBy("home_a", "home_b").applyInArrow(_gathered, HOMES))
-
-    def asked(batches):
-        for batch in batches:
-            for cell, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes = unpack(nodes, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), cell)), pa.array(nodes)], names=["cell", "node"])
-
-    sets = _set_rows(texts.join(active.select("node"), "node", "left_semi"), k)
-    shipped = homes.select("cell", "nodes").mapInArrow(asked, "cell long, node long").join(sets, "node")
-    out = tables.write("across", shipped.groupBy("cell").cogroup(homes.groupBy("cell")).applyInArrow(lambda a, b: _confirmed(a, b, percent), "a long, b long"))
-    tables.drop("named", "texts", "open", "able", "met", "homes")
-    return out
+    parts = shuffle_parts(active.sparkSession)
+    return full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-PAIRS = "home_a long, home_b long, a binary, b binary, comp_a binary, comp_b binary"
-HOMES = "cell long, nodes binary, components binary, a binary, b binary"
-
-
-def _gathered(table: pa.Table) -> pa.Table:
-    """All pairs of two homes, as places in the list of their classes."""
-    rows = table.to_pylist()
-    a, b, comp_a, comp_b = (np.concatenate([unpack(r[c], "<i8") for r in rows]) for c in ("a", "b", "comp_a", "comp_b"))
-    nodes, first, back = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
-    p, q = (x.astype("<u4") for x in (back[: len(a)], back[len(a) :]))
-    cell = int((mix(np.array([rows[0]["home_a"]], np.int64).view(np.uint64)) + np.array([rows[0]["home_b"]], np.int64).view(np.uint64)).view(np.int64)[0])
-    packed = [pack(nodes.astype("<i8")), pack(np.concatenate([comp_a, comp_b])[first].astype("<i8")), pack(p), pack(q)]
-    return pa.table({"cell": pa.array([cell], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("nodes", "components", "a", "b"), packed, strict=True)}})
-
-
-def _confirmed(sets: pa.Table, homes: pa.Table, percent: int) -> pa.Table:
-    """Links that join components, confirmed on the sets of the classes of two homes."""
-    links: list[tuple[int, int]] = []
-    held = dict(zip(sets.column("node").to_pylist(), sets.column("hashes").to_pylist(), strict=True))
-    for cell in homes.to_pylist():
-        nodes, comps = unpack(cell["nodes"], "<i8"), unpack(cell["components"], "<i8")
-        a, b = unpack(cell["a"], "<u4").astype(np.int64), unpack(cell["b"], "<u4").astype(np.int64)
-        hashes = [unpack_rising(held[n], "<u8") for n in nodes.tolist()]
-        size = np.array([len(h) for h in hashes])
-        begin = np.cumsum(size) - size
-        place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-        mark = np.zeros(int(place.max()) + 1, bool)
-        group = np.unique(comps, return_inverse=True)[1]
-        order = np.argsort(a, kind="stable")
-        for one, s, e in zip(*[x.tolist() for x in slices(a[order])], strict=True):
-            others = np.unique(b[order[s:e]])
-            others = others[group[others] != group[one]]
-            if not len(others):
-                continue
-            mine = place[begin[one] : begin[one] + size[one]]
-            mark[mine] = True
-            at = np.repeat(begin[others] - (np.cumsum(size[others]) - size[others]), size[others]) + np.arange(size[others].sum())
-            same = np.add.reduceat(mark[place[at]], np.cumsum(size[others]) - size[others], dtype=np.int64)
-            mark[mine] = False
-            for other in others[100 * same >= percent * (size[others] + len(mine) - same)].tolist():
-                if group[other] != group[one]:
-                    links.append((int(nodes[one]), int(nodes[other])))
-                    group[group == group[other]] = group[one]
-    both = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
-    return pa.table({"a": both[:, 1], "b": both[:, 0]})
+def across(classes: DataFrame, met: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[int]]:
+    """(labels (node, component) of the nodes ``met``, with every link that ``links`` left out; pairs confirmed in each round)."""
+    tables = Tables(docs.sparkSession, "near")
+    labels, counts = tables.write("labels0", components(met, links)), []
+    none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    failed = none
+    for number in itertools.count():
+        both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lists = both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        active = classes.select("node", "n_shingles", "sig", "odd").join(labels, "node")
+        active = active.join(lists, "node", "left") if number else active.withColumn("failed", F.lit(None).cast("array<long>"))
+        pairs = tables.write(f"pairs{number}", candidates(active, percent, FORESTS[number] if number < len(FORESTS) else None))
+        n = pairs.count()
+        if not n:
+            return labels, counts
+        counts.append(n)
+        found = confirm(pairs, classes, docs, k, percent)
+        refuted = pairs.join(found, ["a", "b"], "left_anti")
+        failed = tables.write(f"failed{number + 1}", failed.unionByName(refuted))
+        links = links.unionByName(found)
+        labels = tables.write(f"labels{number + 1}", components(met, links))
+        tables.drop(f"pairs{number}", f"failed{number}", f"labels{number}")
 
 
 def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -527,19 +470,15 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sketches = tables.write("sketches", sketch(docs, k))
     full = sketches.filter("sig is not null")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
-    sets = full.groupBy("set_a", "set_b").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    sets = sets.select("least.*", "set_a", "set_b", "n_shingles", "sig").orderBy("none", "doc_id", "text_hash", "set_a", "set_b")
+    sets = full.groupBy("set_a", "set_b").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
+    sets = sets.select("least.*", "set_a", "set_b", "n_shingles", "sig", "odd").orderBy("none", "doc_id", "text_hash", "set_a", "set_b")
     classes = tables.write("classes", sets.withColumn("node", F.monotonically_increasing_id()))
     beside = beside_smallest(classes, percent)
     most_keys = beside.filter("keys is not null").groupBy("a").agg(F.max_by("b", F.struct("keys", -F.col("b"))).alias("b"))
     chosen = near_pairs(most_keys, classes, percent).unionByName(beside.filter("keys is null and a <> b").select("a", "b"))
     links = confirm(tables.write("chosen", chosen.distinct()), classes, docs, k, percent)
     met = tables.write("met", beside.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    labels = tables.write("components", components(met, links))
-    more = across(classes, labels, docs, k, percent)
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        labels = tables.write("components", components(met, links))
+    labels, _ = across(classes, met, links, docs, k, percent)
     tables.drop("chosen", "met")
     grouped = classes.select("node", "set_a", "set_b", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = grouped.join(classes.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id")), "component")

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tenderloom.llm import near_dedup
@@ -79,23 +81,60 @@ def test_pigeonhole_covers_the_threshold():
         assert near_dedup.limit_of(percent) <= near_dedup.ERRORS * near_dedup.CHUNKS + near_dedup.CHUNKS - 1
 
 
-@pytest.mark.parametrize(("cell", "home"), [(16, 8), (4096, 1024)])
-def test_group_of_many_components(spark, monkeypatch, cell, home):
-    """A group in which most texts are linked with some others, not with the smallest."""
-    monkeypatch.setattr(near_dedup, "CELL", cell)
-    monkeypatch.setattr(near_dedup, "HOME", home)
+def chained(n):
+    """A group in which each text is a copy of another with one to five changed words."""
     rng, rows = random.Random(4), []
     base = [f"w{i}" for i in range(80)]
-    for i in range(120):
+    for i in range(n):
         text = list(rng.choice(rows)[1].split()) if rows and i % 3 else list(base)
         for _ in range(rng.randint(1, 5)):
             text[rng.randrange(80)] = f"v{rng.randint(0, 10**6)}"
         rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [16, 4096])
+def test_group_of_many_components(spark, monkeypatch, cell):
+    """Most texts are linked with some others, not with the smallest."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    rows = chained(120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, 3, 85).collect())
     assert got == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_confirmed_pairs_are_near_linear(spark, monkeypatch, n):
+    """Beyond the two comparisons of every class, no more than a tenth of n log n pairs are given out and confirmed."""
+    rounds, across = [], near_dedup.across
+    monkeypatch.setattr(near_dedup, "across", lambda *a: rounds.append(across(*a)) or rounds[-1])
+    near_dedup.near_groups(spark.createDataFrame(chained(n), "doc_id long, text string").repartition(8), 3, 85)
+    assert 0 < sum(rounds[0][1]) < 0.1 * n * math.log2(n)
+
+
+def test_odd_sketches_never_say_more_than_the_sets():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 30 if i % 2 else 3000)}" for _ in range(rng.choice([3, 40, 400, 3000]))) for i in range(40)]
+    hashes, bounds = near_dedup.shingle_sets([t.encode() for t in texts], 3)
+    odd = near_dedup.odd_sketches(hashes, bounds)
+    held = [set(hashes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    p, q = np.triu_indices(len(texts))
+    got = near_dedup.odd_distances(odd, p, q)
+    assert all(d <= len(held[a] ^ held[b]) and (a != b or d == 0) for a, b, d in zip(p, q, got.tolist()))
+    assert sum(d > 0.6 * len(held[a] ^ held[b]) for a, b, d in zip(p, q, got.tolist()) if a != b and len(held[a]) < 500 > len(held[b])) > 100
+
+
+@pytest.mark.parametrize("n_forests", [1, 2, None])
+def test_later_rounds_give_what_is_left(spark, monkeypatch, n_forests):
+    """Forests of pairs that fail do not hide the pairs behind them."""
+    monkeypatch.setattr(near_dedup, "FORESTS", (n_forests,) * 2 if n_forests else ())
+    monkeypatch.setattr(near_dedup, "odd_distances", lambda odd, p, q: np.zeros(len(p), np.int64))  # nothing is refuted early
+    rows = chained(90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, 3, 85).collect())
+    assert got == brute(rows, 3, 85)
+
+
 def test_rows_are_told_apart_by_id_and_text(spark, docs):
     rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "another text of words"), (None, "no id has this one"), (None, "a b c d e f"), (9, "no id has this one"), (None, None), (None, "only here it is said")]
     df = spark.createDataFrame([(*r, "s", 3) for r in rows], "doc_id long, text string, spans string, component int")
