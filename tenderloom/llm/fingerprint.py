@@ -138,9 +138,10 @@ def in_order(docs: DataFrame, key: str = "doc_id", parts: int | None = None) ->
     reach the driver.
     """
     parts = parts or shuffle_parts(docs.sparkSession)
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    low, high = (0, 0) if low is None else (low, high)
+    low = docs.agg(F.min(key)).first()[0] or 0
     at = F.coalesce(F.col(key), F.lit(low - 1))  # null ids come last
+    high = docs.agg(F.max(at)).first()[0]
+    high = low if high is None else high
     rows = docs.select(at.alias("at"), F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
     found = rows.agg(F.percentile_approx("at", shares, 20 * parts)).first()[0] if shares is not None else None

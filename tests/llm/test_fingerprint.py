@@ -73,3 +73,10 @@ def test_query_is_brute_force(spark):
     got = op4_fingerprints(spark, DATA).collect()
     want = [(i, n, hashlib.sha256(c.encode()).hexdigest(), a, b) for i, n, c, a, b in brute(rows)]
     assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == sorted(want, key=str)
+
+
+def test_tables_of_one_id_and_of_none(spark):
+    for ids in ([None] * 50, [7] * 20, [None] * 30 + [5], [-3, None]):
+        rows = [(i, f"text {n}. and more") for n, i in enumerate(ids)]
+        got = fingerprint.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted([(r["doc_id"], r["n_chars"], r["edited"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == brute(rows)
