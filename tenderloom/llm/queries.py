@@ -165,7 +165,7 @@ def _op8_sql() -> str:
     """The same spans in SQL: between-lengths and match lengths add up to the positions."""
     parts = []
     for i, r in enumerate(secret_ledger.RULES):
-        p = r.pattern.replace("'", "''")
+        p = r.pattern.replace("'", "''").replace("*+", "*").replace("++", "+")  # possessive for Java's sake only
         parts.append(
             f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS m, "
             f"regexp_extract_all(t, '{p}', {r.group}) AS g, regexp_split_to_array(t, '{p}') AS b FROM d"

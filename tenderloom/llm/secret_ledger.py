@@ -50,15 +50,14 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: A PEM key runs to its END line, if that is the next marker of five dashes. Where it is missing, the key runs over its
-#: header fields and what is base64: up to 500 runs of 16 characters or more and a shorter last one. A newline may be
-#: written as \n. The patterns keep to what Java and RE2 share; groups are repeated a bounded number of times, since
-#: Java takes stack for each.
+#: header fields and what is base64: runs of 16 characters or more and a shorter last one. A newline may be written as \n.
+#: Bodies have any length: repeated groups are possessive, for which Java takes no stack.
 _BREAK = r"\s*(?:\\r)?(?:\\n)?\s*"
-_TO_END = r"(?:[^-]+-{1,4}){0,100}[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-_FIELDS = rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*){{0,2}}"
-_RUNS = rf"(?:{_BREAK}{'[A-Za-z0-9+/]' * 16}[A-Za-z0-9+/=]*){{0,500}}(?:{_BREAK}[A-Za-z0-9+/]+(?:==?|\r?\n|\\n|\z))?"
+_TO_END = r"[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+_FIELDS = rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*+"
+_RUNS = rf"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}[A-Za-z0-9+/=]*)*+(?:{_BREAK}[A-Za-z0-9+/]+(?:==?|\r?\n|\\n|\z))?"
 MORE = (
-    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}{_RUNS})", version=2, hint="PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}{_RUNS})", version=3, hint="PRIVATE KEY-----"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
     # Version 2 is what the tests call a rule of their own.
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]+@", version=3, hint="://"),

@@ -89,6 +89,8 @@ def test_whole_keys_and_long_logins(spark, tmp_path):
         f'"{begin}\\n{line}\\nabc9\\n" rest': '"[SECRET]" rest',
         f"{begin}\n{line}\n{begin}\n{line}\n{end} z": "[SECRET]\n[SECRET] z",
         f"{begin}\n{line}\n-----BEGIN CERTIFICATE-----\nx\n-----END CERTIFICATE-----": "[SECRET]\n-----BEGIN CERTIFICATE-----\nx\n-----END CERTIFICATE-----",
+        f"a\n{begin}\n" + "\n".join([line] * 3000) + "\nshort9\nand prose.": "a\n[SECRET]and prose.",
+        f"a {begin}" + " x - y" * 400 + f" {end} b": "a [SECRET] b",
         f"{begin} is how a key begins": "[SECRET] is how a key begins",
         (begin + " - ") * 3000: "[SECRET] - " * 3000,
         f"x https://user:{'t' * 65}@host/ y": "x [SECRET]host/ y",
