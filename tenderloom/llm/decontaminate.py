@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,10 +154,15 @@ class Index:
         return end - start, int(same[start:end].sum()), int(shift + left + start - low), int(left + start)
 
 
+def tokens_in(text: Column) -> Column:
+    """How many tokens a text has: runs of ASCII letters and digits and of all characters that are not ASCII."""
+    return F.regexp_count(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+
+
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[Index]:
     """The items (item_id, text), repeated rows once, in blocks of about ``BLOCK_TOKENS`` tokens, one at a time."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+    size = items.agg(F.sum(tokens_in(F.col("text"))).alias("n")).first()["n"] or 0
     n = -(-size // BLOCK_TOKENS)
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
@@ -215,8 +220,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, in which no item overlaps."""
+def clean(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 4) -> DataFrame:
+    """The documents, with all their columns, in which no item of ``least_tokens`` tokens or more overlaps.
+
+    Shorter items are common words and phrases, which tell nothing of a text that holds them; ``contaminated`` reports them.
+    """
+    benchmark = benchmark.filter(tokens_in(F.col("text")) >= least_tokens)
     left = [docs]
 
     def work(shared) -> DataFrame:

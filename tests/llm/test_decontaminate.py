@@ -50,7 +50,7 @@ def test_short_items_are_found_whole(spark):
     assert found(spark, texts, items) == {(0, 1): (3, 3), (0, 3): (3, 3), (2, 2): (7, 7), (5, 4): (1, 1)}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 3, 4, 6, 7, 8]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench, least_tokens=1).collect()) == [1, 3, 4, 6, 7, 8]
     assert {r["doc_token"] for r in decontaminate.contaminated(docs, bench).filter("doc_id = 0").collect()} == {1}
 
 
@@ -99,3 +99,15 @@ def test_as_by_brute_force(spark):
         assert found(spark, texts, items) == brute(texts, items)
     finally:
         decontaminate.HITS = hits
+
+
+def test_blocks_are_bound_by_tokens_not_blanks(spark, monkeypatch):
+    """Items whose words are parted by commas alone; and items of a word or two, which take no document away."""
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 1000)
+    items = [(i, ",".join(f"w{i}x{k}" for k in range(500))) for i in range(12)] + [(99, "the"), (98, "of a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [len(index.tokens) for index in decontaminate.benchmark_blocks(bench)]
+    assert sum(sizes) == 6003 and max(sizes) <= 3000
+    docs = spark.createDataFrame([(1, "the end of a tale, it is"), (2, "so " + items[3][1].replace(",", " "))], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [1]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 99), (1, 98), (2, 3)}
