@@ -11,7 +11,7 @@ start marks. The model is an interpolated trigram model with a fixed prior weigh
    what no n-gram of the training texts can change: tokens that are, or follow, a word unseen in training.
 2. N-grams: all others are dealt by the word before the last. So one part holds every count that the score of a token
    needs but c(u v), which stands where u v itself is scored as a pair: its logarithm is added there. N-grams after a
-   word of more than max(1000, N / FREQUENT) occurrences are dealt by their last word too, so that no part holds all of
+   word of more than ``FREQUENT`` occurrences are dealt by their last word too, so that no part holds all of
    a very common word. This decides where n-grams are dealt, not what they score.
 3. A part is a trie: words, below each the words that follow it, below each pair the words before it. A level is one
    Elias-Fano coded sequence of ids, made rising by adding what came before, with Elias-Fano coded pointers into it;
@@ -41,8 +41,8 @@ from tenderloom.llm.packing import items, pack, pack_rising, slices, unpack, unp
 from tenderloom.llm.shared import Tables
 from tenderloom.llm.words import NOT_BLANK, blocks, in_text, mix, tokenise
 
-#: N-grams after one of at most so many words are dealt by their last word too.
-FREQUENT = 50_000
+#: N-grams after a word of more occurrences are dealt by their last word too: a small share of a part's n-grams, whatever the corpus.
+FREQUENT = 2_000
 #: Weights of p(w) among pairs and of p(w | v) among triples, whatever the size of the corpus.
 PRIOR2, PRIOR3 = 400.0, 12.0
 LEVELS = 1 << 16
@@ -328,7 +328,6 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 def _deal(batches, n: int, v: int, starts: int, parts: int):
     """Score what the block can score alone, and deal its other n-grams."""
-    hot = max(1000.0, n / FREQUENT)
     for batch in batches:
         for r in batch.to_pylist():
             names, known = unpack_rising(r["words"], "<u8"), sorted(r["answers"], key=lambda x: x["part"])
@@ -351,7 +350,7 @@ def _deal(batches, n: int, v: int, starts: int, parts: int):
             per_text = lambda x: np.bincount(who, weights=x, minlength=len(sizes))  # noqa: B023, E731
             home = pack(np.concatenate([per_text(own) - np.log10(starts + PRIOR3), per_text(np.log10(p)), per_text(cw > 0), sizes, unpack(r["ids"], "<i8").view(np.float64)]).astype("<f8"))
             w, u, x, cw, cv, who = (a[~alone] for a in (w, two, before, cw, cv, who))
-            part = mix(np.where(cv > hot, x ^ mix(w), x) + np.uint64(1)) % np.uint64(parts)
+            part = mix(np.where(cv > FREQUENT, x ^ mix(w), x) + np.uint64(1)) % np.uint64(parts)
             order = np.lexsort((who, u, w, x, part))
             part, x, w, u, cw, cv, who = (a[order] for a in (part, x, w, u, cw, cv, who))
             fresh = np.ones(len(part), bool)
