@@ -363,10 +363,15 @@ def forests(comp_a: np.ndarray, comp_b: np.ndarray, apart: np.ndarray, labels: l
     return np.concatenate(out) if out else left
 
 
+#: Keys of so many rows or fewer are compared together, a batch at a time.
+FEW_ROWS = 64
+
+
 def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of classes (node, n_shingles, sig, odd, component, failed) of different components that meet under a key and may be linked.
+    """Pairs (a, b) of classes (node, n_shingles, sig, odd, component, failed) of different components that meet under a key and may be linked.
 
-    Only as many forests of them as asked for by each task; all of them with None. ``failed`` lists those refuted before.
+    Only as many forests of them as asked for by each task's batch; all of them with None. ``failed`` lists those refuted
+    before. A row with ``a = b`` names a class that has pairs beyond those given.
     """
     most = limit_of(percent)
     rows = _keyed(active)
@@ -377,17 +382,20 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     full = full.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "n_shingles", "sig", "odd", "failed")
 
-    def compare(t: pa.Table) -> Iterator[np.ndarray]:
-        """The chosen pairs of one cell, (2, pairs)."""
-        i, j, left, ids, comp, size = (t.column(c).to_numpy() for c in ("i", "j", "left", "node", "component", "n_shingles"))
-        names, comp = np.unique(comp, return_inverse=True)
-        if len(names) < 2:
-            return
-        sig, odd = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES), t.column("odd").to_pylist()
-        refuted = {(int(n), f) for n, fs in zip(ids, t.column("failed").to_pylist(), strict=True) for f in fs or ()}
-        labels = [np.arange(len(names)) for _ in range(n_forests or 0)]
-        inner = i[0] == j[0]
-        a, b = (np.arange(len(ids)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
+    def together(group: np.ndarray, size: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows of one group, for groups of few rows."""
+        few = np.flatnonzero(np.bincount(group)[group] <= FEW_ROWS)
+        for step in range(1, FEW_ROWS):
+            p, q = few[:-step], few[step:]
+            same = group[p] == group[q]
+            if not same.any():
+                break
+            good = same & (comp[p] != comp[q]) & (100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q]))
+            yield p[good], q[good]
+
+    def crowded(rows: np.ndarray, left: np.ndarray, inner: bool, size: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of a cell of many rows, a block of rows at a time; their signatures are near."""
+        a, b = (rows, rows) if inner else (rows[left[rows]], rows[~left[rows]])
         for s in range(0, len(a), 256):
             x = a[s : s + 256]
             apart = np.zeros((len(x), len(b)), np.int16)
@@ -395,12 +403,25 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
                 apart += sig[x, v][:, None] != sig[b, v][None, :]
             n, m = size[x][:, None], size[b][None, :]
             good = (apart <= most) & (comp[x][:, None] != comp[b][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if len(labels) == 1:
-                good &= labels[0][comp[x]][:, None] != labels[0][comp[b]][None, :]
             if inner:
                 good &= x[:, None] < b[None, :]
             r, c = np.nonzero(good)
-            p, q = x[r], b[c]
+            yield x[r], b[c]
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """What whole groups of rows give."""
+        what = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+        group = np.cumsum(np.concatenate([[False], (what[1:] != what[:-1]).any(axis=1)]))
+        left, ids, comp, size = (t.column(c).to_numpy() for c in ("left", "node", "component", "n_shingles"))
+        names, comp = np.unique(comp, return_inverse=True)
+        sig, odd = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES), t.column("odd").to_pylist()
+        refuted = {(int(n), f) for n, fs in zip(ids, t.column("failed").to_pylist(), strict=True) for f in fs or ()}
+        labels = [np.arange(len(names)) for _ in range(n_forests or 0)]
+        inner = what[:, 1] == what[:, 2]
+        many = [crowded(np.arange(a, b), left, bool(inner[a]), size, comp, sig) for a, b in _runs(group, FEW_ROWS)]
+        for p, q in itertools.chain(together(np.where(inner, group, -1 - np.arange(len(group))) + len(group), size, comp), itertools.chain(*many)):
+            near = np.concatenate([np.zeros(0, bool), *[(sig[p[i : i + 65536]] != sig[q[i : i + 65536]]).sum(axis=1) <= most for i in range(0, len(p), 65536)]])
+            p, q = p[near], q[near]
             differ = odd_distances(odd, p, q)
             # percent of the union is common: (100 + percent) * difference <= (100 - percent) * (n + m)
             near = (100 + percent) * differ <= (100 - percent) * (size[p] + size[q])
@@ -410,58 +431,70 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
                 p, q, differ = p[new], q[new], differ[new]
             if n_forests:
                 chosen = forests(comp[p], comp[q], differ / (size[p] + size[q]), labels)
+                over = np.ones(len(p), bool)
+                over[chosen] = False
+                more = np.unique(ids[np.concatenate([p[over], q[over]])])
                 p, q = p[chosen], q[chosen]
-            yield np.sort(np.stack([ids[p], ids[q]]), axis=0)
+            else:
+                more = ids[:0]
+            low, high = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([high, more])), pa.array(np.concatenate([low, more]))], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        now = None
-
-        def flush():
-            pairs = [np.zeros((2, 0), np.int64), *(compare(pa.Table.from_batches(held)) if sum(b.num_rows for b in held) > 1 else ())]
-            low, high = np.concatenate(pairs, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             what = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((what[1:] != what[:-1]).any(axis=1)) + 1, [len(what)]])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and tuple(what[s]) != now:
-                    yield flush()
-                    held = []
-                now = tuple(what[s])
-                held.append(batch.slice(s, e - s))
+            cuts = np.flatnonzero((what[1:] != what[:-1]).any(axis=1)) + 1
+            if held and not (what[0] == last).all():
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            last, end = what[-1], int(cuts[-1]) if len(cuts) else 0
+            if end:  # the batch's last group may go on in the next
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                held = []
+            held.append(batch.slice(end))
         if held:
-            yield flush()
+            yield from compare(pa.Table.from_batches(held))
 
     parts = shuffle_parts(active.sparkSession)
     return full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _runs(group: np.ndarray, few: int) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal neighbours that is longer than ``few``."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    return [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > few]
+
+
 def across(classes: DataFrame, met: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[int]]:
     """(labels (node, component) of the nodes ``met``, with every link that ``links`` left out; pairs confirmed in each round)."""
     tables = Tables(docs.sparkSession, "near")
     labels, counts = tables.write("labels0", components(met, links)), []
-    none = classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    failed = none
+    failed = open_ = None
     for number in itertools.count():
-        both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lists = both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
         active = classes.select("node", "n_shingles", "sig", "odd").join(labels, "node")
-        active = active.join(lists, "node", "left") if number else active.withColumn("failed", F.lit(None).cast("array<long>"))
-        pairs = tables.write(f"pairs{number}", candidates(active, percent, FORESTS[number] if number < len(FORESTS) else None))
+        if failed is None:
+            active = active.withColumn("failed", F.lit(None).cast("array<long>"))
+        else:
+            both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            active = active.join(open_, "node", "left_semi").join(both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed")), "node", "left")
+        found = tables.write(f"found{number}", candidates(active, percent, FORESTS[number] if number < len(FORESTS) else None))
+        pairs, more = found.filter("a <> b"), found.filter("a = b").select(F.col("a").alias("node"))
         n = pairs.count()
         if not n:
             return labels, counts
         counts.append(n)
-        found = confirm(pairs, classes, docs, k, percent)
-        refuted = pairs.join(found, ["a", "b"], "left_anti")
-        failed = tables.write(f"failed{number + 1}", failed.unionByName(refuted))
-        links = links.unionByName(found)
+        kept = confirm(pairs, classes, docs, k, percent)
+        refuted = pairs.join(kept, ["a", "b"], "left_anti")
+        failed = tables.write(f"failed{number + 1}", refuted if failed is None else failed.unionByName(refuted))
+        links = links.unionByName(kept)
         labels = tables.write(f"labels{number + 1}", components(met, links))
-        tables.drop(f"pairs{number}", f"failed{number}", f"labels{number}")
+        open_ = tables.write(f"open{number + 1}", more)
+        tables.drop(f"found{number}", f"failed{number}", f"labels{number}", f"open{number}")
+        if not open_.limit(1).count():
+            return labels, counts
 
 
 def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
