@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +19,6 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: Query terms up to this many are broadcast; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
-#: Query vectors that one pass over the stored vectors compares with.
-QUERY_BLOCK = 2_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
@@ -185,45 +182,3 @@ def valid_vectors(df: DataFrame, column: str, size: int) -> DataFrame:
     """Vectors of the right length, finite and not all zero."""
     v = F.col(column)
     return df.filter((F.size(v) == size) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, column: str, most: int = 10, by: str | None = None, digits: int = 9) -> DataFrame:
-    """(query_id, key, similarity): the ``most`` nearest stored vectors of every query (query_id, vector), exactly.
-
-    With ``by``, that many for each of its values, which is a column of the result. Similarities equal to ``digits``
-    places are told apart by key. Queries are taken in blocks of QUERY_BLOCK; each task multiplies its vectors with a
-    block and sends on its best only.
-    """
-    spark, parts = vectors.sparkSession, max(1, -(-queries.count() // QUERY_BLOCK))
-    labels = [by] if by else []
-    kinds, out = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in [key, *labels]), None
-    rows = vectors.select(key, column, *labels)
-    for block in range(parts):
-        taken = queries.select("query_id", "vector").filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == block).toPandas().sort_values("query_id")
-        if not len(taken):
-            continue
-        matrix = np.stack([np.asarray(v, np.float64) for v in taken["vector"]])
-        shared = spark.sparkContext.broadcast((taken["query_id"].to_numpy(np.int64), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                keys = batch.column(0)
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                near = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                names = np.argsort(np.array([str(k) for k in keys.to_pylist()]), kind="stable")
-                groups = batch.column(2).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if by else np.zeros(len(keys), np.int64)
-                for group in np.unique(groups):
-                    mine = names[groups[names] == group]
-                    take = mine[np.argsort(-np.round(near[:, mine], digits), axis=1, kind="stable")[:, :most]]
-                    picked = pa.array(take.ravel())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids, take.shape[1])), keys.take(picked), *[batch.column(2).take(picked) for _ in labels], pa.array(np.take_along_axis(near, take, 1).ravel())],
-                        names=["query_id", key, *labels, "similarity"],
-                    )
-
-        one = rows.mapInArrow(run, f"query_id long, {kinds}, similarity double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], f"query_id long, {kinds}, similarity double")
-    return first_of_each(out, ["query_id", *labels], [F.desc(F.round("similarity", digits)), F.asc(F.col(key).cast("string"))], most)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import identity, numbers
 from tenderloom.functions import text as t
-from tenderloom.operators import classify, evaluate, quality, ranking, retrieval
+from tenderloom.operators import classify, evaluate, quality, ranking, vectors
 from tenderloom.operators.state import first_of_each
 from tenderloom.plans import mapping as m
 from tenderloom.plans.archive import Archive
@@ -184,7 +184,7 @@ def market_role(spark, d):
 def _ranked(spark, d):
     v = m.read(spark, d, "embeddings")
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = retrieval.nearest(v, q, "vec_id", "embedding", 30).join(q.select("query_id"), "query_id").filter("query_id <> vec_id")
+    near = vectors.nearest(v, q, "vec_id", "embedding", 30).join(q.select("query_id"), "query_id").filter("query_id <> vec_id")
     lists = near.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 9)).alias("s"), F.col("vec_id").cast("string").alias("k"), "vec_id"))), lambda x: x["vec_id"]).alias("candidates"))
     gold = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(v.filter("vec_id % 20 <> 0").select("label", "vec_id"), "label").groupBy("query_id", "label").agg(F.sort_array(F.collect_list("vec_id")).alias("participants"))
     return lists.join(gold, "query_id").withColumn("winner", F.element_at("participants", 1 + (F.col("query_id") % F.size("participants")).cast("int")))

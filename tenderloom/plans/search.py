@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import text as t
 from tenderloom.operators import retrieval as r
+from tenderloom.operators import vectors
 from tenderloom.operators.state import spread
 from tenderloom.plans import mapping as m
 from tenderloom.plans import stem_sql
@@ -142,22 +143,22 @@ def cosine_topk(spark, d):
     """The three nearest vectors of each label to every query vector."""
     v = r.valid_vectors(m.read(spark, d, "embeddings"), "embedding", 64)
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = r.nearest(v, q, "vec_id", "embedding", 3, by="label", digits=6)
+    near = vectors.nearest(v, q, "vec_id", "embedding", 3, by="label", digits=6)
     return near.select("query_id", "label", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def knn_batch(spark, d):
     v = r.valid_vectors(m.read(spark, d, "embeddings"), "embedding", 64)
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return r.nearest(v, q, "vec_id", "embedding", 5).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
+    return vectors.nearest(v, q, "vec_id", "embedding", 5).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
 def vector_channel(spark, d):
     """The best positive similarity of each label to every query vector."""
     v = r.valid_vectors(m.read(spark, d, "embeddings"), "embedding", 64)
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = r.nearest(v, q, "vec_id", "embedding", 50).filter("similarity > 0").join(v.select("vec_id", "label"), "vec_id")
-    return near.groupBy("query_id", "label").agg(F.round(F.max("similarity"), 5).alias("similarity"))
+    near = vectors.nearest(v, q, "vec_id", "embedding", 1, by="label").filter("similarity > 0")
+    return near.select("query_id", "label", F.round("similarity", 5).alias("similarity"))
 
 
 def pending_vectors(spark, d):
@@ -234,6 +235,6 @@ SQL = {
     "graded_search": "SELECT value, CAST(grade AS INTEGER) AS grade FROM (SELECT p_partkey AS value, least(" + ", ".join(f"CASE WHEN starts_with({c}, 'red') THEN {a} WHEN contains(' ' || {c}, ' red') THEN {b} WHEN contains({c}, 'red') THEN {e} ELSE 9 END" for c, a, b, e in (("lower(p_name)", 0, 2, 4), ("lower(p_type)", 1, 3, 5), ("lower(p_brand)", 6, 6, 7))) + ") AS grade FROM part) WHERE grade < 9",
     "cosine_topk": f"SELECT query_id, label, vec_id, similarity FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, round({_COS.format('e.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, CAST(vec_id AS VARCHAR)) <= 3",
     "knn_batch": f"SELECT query_id, vec_id, round(s, 5) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, CAST(vec_id AS VARCHAR)) <= 5",
-    "vector_channel": f"WITH n AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS.format('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, CAST(e.vec_id AS VARCHAR)) <= 50) SELECT query_id, label, round(max(s), 5) AS similarity FROM n WHERE s > 0 GROUP BY 1, 2",
+    "vector_channel": f"SELECT q.vec_id AS query_id, e.label, round(max({_COS.format('e.embedding', 'q.embedding')}), 5) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 GROUP BY 1, 2 HAVING max({_COS.format('e.embedding', 'q.embedding')}) > 0",
     "pending_vectors": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
 }

@@ -6,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import classify, evaluate, history, quality, ranking, retrieval, state
+from tenderloom.operators import classify, evaluate, history, quality, ranking, retrieval, state, vectors
 
 
 def test_deleted_version_brings_nothing_back(spark):
@@ -41,7 +41,7 @@ def test_bm25_by_hand(spark):
 
 def test_nearest_is_exact(spark):
     v = spark.createDataFrame([(i, [float(i % 5), float(i % 7), 1.0]) for i in range(60)], "id long, v array<float>")
-    got = retrieval.nearest(v, v.filter("id < 3").select(F.col("id").alias("query_id"), F.col("v").alias("vector")), "id", "v", 4).collect()
+    got = vectors.nearest(v, v.filter("id < 3").select(F.col("id").alias("query_id"), F.col("v").alias("vector")), "id", "v", 4).collect()
     assert len(got) == 12 and all(r["similarity"] <= 1.0000001 for r in got)
     assert {r["query_id"] for r in got if r["id"] == r["query_id"]} == {0, 1, 2}
 

@@ -60,12 +60,12 @@ def test_top_of_each_label(spark):
 
 
 def test_equal_vectors_by_key(spark):
-    from tenderloom.operators import retrieval
+    from tenderloom.operators import vectors
 
     v = spark.createDataFrame([(i, [1.0, 0.0], "a" if i < 30 else None) for i in range(40)], "k long, v array<double>, g string").repartition(3)
     q = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, vector array<double>")
-    assert sorted(r["k"] for r in retrieval.nearest(v, q, "k", "v", 3).collect()) == [0, 1, 10]
-    assert sorted((r["g"] or "", r["k"]) for r in retrieval.nearest(v, q, "k", "v", 2, by="g").collect()) == [("", 30), ("", 31), ("a", 0), ("a", 1)]
+    assert sorted(r["k"] for r in vectors.nearest(v, q, "k", "v", 3).collect()) == [0, 1, 10]
+    assert sorted((r["g"] or "", r["k"]) for r in vectors.nearest(v, q, "k", "v", 2, by="g").collect()) == [("", 30), ("", 31), ("a", 0), ("a", 1)]
 
 
 def test_three_hundred_suppliers(spark, tmp_path, monkeypatch):
