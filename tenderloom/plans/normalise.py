@@ -10,6 +10,7 @@ from tenderloom.operators import queues
 from tenderloom.operators.state import spread
 from tenderloom.plans import mapping as m
 from tenderloom.plans import stem_sql
+from tenderloom.sources import files
 
 KEYS = {"размер": "size", "вес": "weight"}
 
@@ -153,8 +154,29 @@ def upload_counts(spark, d):
     return queues.upload_counts(lots)
 
 
+def _sitemap_files(spark, d):
+    """Sitemap files made of the pages: a root index, three indexes under it, ten lists of pages under them. Two files cannot be read."""
+    page = m.read(spark, d, "pages").select("url", (F.col("page_id") % 10).alias("leaf"))
+    wrap = lambda tag, items: F.concat(F.lit(f"<{tag}index>" if tag == "sitemap" else "<urlset>"), items, F.lit(f"</{tag}index>" if tag == "sitemap" else "</urlset>"))
+    loc = lambda c, tag: F.concat(F.lit(f"<{tag}><loc> "), c, F.lit(f" </loc></{tag}>"))
+    name = lambda kind, n: F.concat(F.lit(f"{kind}-"), n.cast("string"))
+    leaves = page.groupBy("leaf").agg(F.array_join(F.sort_array(F.collect_set(loc(F.col("url"), "url"))), "").alias("x"))
+    leaves = leaves.select(name("leaf", F.col("leaf")).alias("url"), F.when(F.col("leaf") != 7, wrap("url", F.col("x"))).alias("content"))
+    lists = page.select("leaf").distinct().withColumn("mid", F.col("leaf") % 3)
+    mids = lists.groupBy("mid").agg(F.array_join(F.sort_array(F.collect_list(loc(name("leaf", F.col("leaf")), "sitemap"))), "").alias("x"))
+    mids = mids.select(name("mid", F.col("mid")).alias("url"), F.when(F.col("mid") == 2, F.lit("<html>")).otherwise(wrap("sitemap", F.col("x"))).alias("content"))
+    root = lists.select("mid").distinct().agg(F.array_join(F.sort_array(F.collect_list(loc(name("mid", F.col("mid")), "sitemap"))), "").alias("x"))
+    return leaves.unionByName(mids).unionByName(root.select(F.lit("root").alias("url"), wrap("sitemap", F.col("x")).alias("content")))
+
+
+def sitemap_pages(spark, d):
+    """The pages that the root sitemap and one list lead to."""
+    roots = spark.createDataFrame([("root",), ("leaf-2",)], "root string")
+    return files.expand_sitemaps(_sitemap_files(spark, d), roots)
+
+
 QUERIES = {f.__name__: f for f in (
-    stemmed_words, analyzed_terms, query_prefixes, expanded_names, name_parts, merge_keys, attributes_merged, offer_documents, pending_offers, item_suppliers,
+    sitemap_pages, stemmed_words, analyzed_terms, query_prefixes, expanded_names, name_parts, merge_keys, attributes_merged, offer_documents, pending_offers, item_suppliers,
     capped_participations, round_robin, tolerant_dates, web_urls, novelty_sheet, upload_counts,
 )}
 
@@ -180,6 +202,10 @@ dd AS (
   FROM dc)"""
 
 SQL = {
+    "sitemap_pages": """WITH RECURSIVE pg AS (SELECT url, page_id % 10 AS leaf FROM pages),
+e(parent, child) AS (SELECT DISTINCT 'root', 'mid-' || (leaf % 3) FROM pg UNION SELECT 'mid-' || (leaf % 3), 'leaf-' || leaf FROM pg WHERE leaf % 3 <> 2 UNION SELECT 'leaf-' || leaf, url FROM pg WHERE leaf <> 7),
+w(root, node) AS (SELECT 'root', 'root' UNION SELECT 'leaf-2', 'leaf-2' UNION SELECT root, child FROM w JOIN e ON node = parent)
+SELECT root, node AS location FROM w WHERE node IN (SELECT url FROM pg)""",
     "stemmed_words": f"WITH {_WORDS} SELECT word, {_STEM.format('word')} AS stem FROM ws",
     "analyzed_terms": f"WITH {_TEXTS}, tk AS (SELECT w, count(*) AS n FROM tw WHERE length(w) >= 2 AND w NOT IN {_STOP} GROUP BY 1), {stem_sql.stems('tk')} SELECT stem AS term, CAST(sum(n) AS BIGINT) AS n FROM tk JOIN st USING (w) GROUP BY 1",
     "query_prefixes": f"WITH {_TEXTS}, {stem_sql.stems('tw')}, cp AS (SELECT w, coalesce(max(n), 0) AS n FROM st, (SELECT unnest(range(1, 7)) AS n) WHERE left(w, n) = left(stem, n) GROUP BY w) SELECT w AS word, CASE WHEN length(left(w, n)) >= 3 AND w NOT IN {_STOP} THEN left(w, n) ELSE '' END AS prefixes FROM cp",

@@ -214,6 +214,30 @@ def sitemap_entries(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(found).alias("location"), F.col("content").contains("<sitemapindex").alias("nested"))
 
 
+def expand_sitemaps(files: DataFrame, roots: DataFrame, most_depth: int = 2) -> DataFrame:
+    """(root, location): the pages that the sitemaps (root) lead to, through nested ones down to ``most_depth``.
+
+    ``files`` (url, content) holds what could be fetched; a file with null content or without a sitemap's root element
+    could not be read. An unreadable root is an error; a nested one only lacks its part. No file is read twice for a root.
+    """
+    read = files.filter(F.col("content").rlike("<(urlset|sitemapindex)[ >]"))
+    asked = roots.select("root").filter("root is not null").distinct()
+    broken = asked.join(read.select(F.col("url").alias("root")), "root", "left_anti").limit(3).collect()
+    if broken:
+        raise ValueError(f"unreadable sitemaps: {', '.join(r['root'] for r in broken)}")
+    entries = sitemap_entries(read).distinct()
+    frontier = asked.withColumn("url", F.col("root"))
+    seen, out = frontier, None
+    for depth in range(most_depth + 1):
+        found = frontier.join(entries, "url")
+        pages = found.filter("not nested").select("root", "location")
+        out = pages if out is None else out.unionByName(pages)
+        if depth < most_depth:
+            frontier = found.filter("nested").select("root", F.col("location").alias("url")).distinct().join(seen, ["root", "url"], "left_anti")
+            seen = seen.unionByName(frontier)
+    return out.distinct()
+
+
 def balanced_sample(urls: DataFrame, per_category: int) -> DataFrame:
     """URLs (url, root, subcategory, ordinal): a URL belongs to the first root that lists it; a root's quota is filled
     in turns over its subcategories."""
