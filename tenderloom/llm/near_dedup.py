@@ -52,6 +52,8 @@ KEYS = CHUNKS * PER_CHUNK
 CELL = 4096
 #: Spanning forests that a task gives in each round; then all pairs that are left.
 FORESTS = (1, 8, 64)
+#: So many links are joined in one task.
+FEW_LINKS = 15_000
 #: The least bits of an odd sketch.
 ODD_BITS = 256
 #: Up to this many ids are broadcast to fetch their texts; more are joined by shuffle.
@@ -290,13 +292,34 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     return out
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) for nodes (node) under links (a, b): the smallest node reachable.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of all nodes of a few links (a, b)."""
+    held = [np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)]) for b in batches if b.num_rows]
+    if held:
+        names, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        label = np.arange(len(names))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["node", "component"])
+
 
-    Each round takes the least label among the neighbours and then the label's own label, so that chains shorten
-    to half; a round is written before the next reads it. Only a count reaches the driver.
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of links (a, b), a written table: the smallest node reachable.
+
+    Up to ``FEW_LINKS`` links are joined in one task. More are joined in rounds, each of which takes the least label
+    among the neighbours and then the label's own label, so that chains shorten to half; a round is written before the
+    next reads it. Only a count reaches the driver.
     """
-    tables = Tables(nodes.sparkSession, "near")
+    tables = Tables(links.sparkSession, "near")
+    if links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        return tables.write("few", links.select("a", "b").repartition(1).mapInArrow(_joined, "node long, component long"))
     both = tables.write("both", links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = tables.write("step", both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
@@ -311,7 +334,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if not step.filter("moved").limit(1).count():
             break
     tables.drop("both")
-    return nodes.select("node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return labels
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) for nodes (node) under links (a, b), a written table: the smallest node reachable."""
+    return nodes.select("node").join(_labels(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def rejoined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further links (a, b) between nodes: components are joined, not nodes anew."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    moved = _labels(Tables(labels.sparkSession, "near").write("between", between)).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return labels.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
 def _keyed(active: DataFrame) -> DataFrame:
@@ -383,8 +419,9 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
     full = full.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "n_shingles", "sig", "odd", "failed")
 
     def together(group: np.ndarray, size: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of rows of one group, for groups of few rows."""
-        few = np.flatnonzero(np.bincount(group)[group] <= FEW_ROWS)
+        """All pairs of rows of one group, for groups of few rows; rows of group -1 are left out."""
+        count = np.bincount(group[group >= 0], minlength=1)
+        few = np.flatnonzero((group >= 0) & (count[np.maximum(group, 0)] <= FEW_ROWS))
         for step in range(1, FEW_ROWS):
             p, q = few[:-step], few[step:]
             same = group[p] == group[q]
@@ -417,9 +454,10 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
         sig, odd = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES), t.column("odd").to_pylist()
         refuted = {(int(n), f) for n, fs in zip(ids, t.column("failed").to_pylist(), strict=True) for f in fs or ()}
         labels = [np.arange(len(names)) for _ in range(n_forests or 0)]
+        pairs, more = [np.zeros((2, 0), np.int64)], np.zeros(len(ids), bool)
         inner = what[:, 1] == what[:, 2]
-        many = [crowded(np.arange(a, b), left, bool(inner[a]), size, comp, sig) for a, b in _runs(group, FEW_ROWS)]
-        for p, q in itertools.chain(together(np.where(inner, group, -1 - np.arange(len(group))) + len(group), size, comp), itertools.chain(*many)):
+        many = [crowded(np.arange(a, b), left, bool(inner[a]), size, comp, sig) for a, b in _runs(group) if b - a > FEW_ROWS or not inner[a]]
+        for p, q in itertools.chain(together(np.where(inner, group, -1), size, comp), itertools.chain(*many)):
             near = np.concatenate([np.zeros(0, bool), *[(sig[p[i : i + 65536]] != sig[q[i : i + 65536]]).sum(axis=1) <= most for i in range(0, len(p), 65536)]])
             p, q = p[near], q[near]
             differ = odd_distances(odd, p, q)
@@ -433,12 +471,12 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
                 chosen = forests(comp[p], comp[q], differ / (size[p] + size[q]), labels)
                 over = np.ones(len(p), bool)
                 over[chosen] = False
-                more = np.unique(ids[np.concatenate([p[over], q[over]])])
+                more[p[over]] = more[q[over]] = True
                 p, q = p[chosen], q[chosen]
-            else:
-                more = ids[:0]
-            low, high = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([high, more])), pa.array(np.concatenate([low, more]))], names=["a", "b"])
+            pairs.append(np.stack([np.maximum(ids[p], ids[q]), np.minimum(ids[p], ids[q])]))
+        high, low = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        rest = np.unique(ids[more])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([high, rest])), pa.array(np.concatenate([low, rest]))], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -462,10 +500,10 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
     return full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _runs(group: np.ndarray, few: int) -> list[tuple[int, int]]:
-    """(begin, end) of each run of equal neighbours that is longer than ``few``."""
+def _runs(group: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal neighbours."""
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-    return [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > few]
+    return [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def across(classes: DataFrame, met: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[int]]:
@@ -489,8 +527,7 @@ def across(classes: DataFrame, met: DataFrame, links: DataFrame, docs: DataFrame
         kept = confirm(pairs, classes, docs, k, percent)
         refuted = pairs.join(kept, ["a", "b"], "left_anti")
         failed = tables.write(f"failed{number + 1}", refuted if failed is None else failed.unionByName(refuted))
-        links = links.unionByName(kept)
-        labels = tables.write(f"labels{number + 1}", components(met, links))
+        labels = tables.write(f"labels{number + 1}", rejoined(labels, kept))
         open_ = tables.write(f"open{number + 1}", more)
         tables.drop(f"found{number}", f"failed{number}", f"labels{number}", f"open{number}")
         if not open_.limit(1).count():

@@ -93,10 +93,12 @@ def chained(n):
     return rows
 
 
-@pytest.mark.parametrize("cell", [16, 4096])
-def test_group_of_many_components(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "few_rows", "few_links"), [(16, 4, 3), (4096, 64, 15_000)])
+def test_group_of_many_components(spark, monkeypatch, cell, few_rows, few_links):
     """Most texts are linked with some others, not with the smallest."""
     monkeypatch.setattr(near_dedup, "CELL", cell)
+    monkeypatch.setattr(near_dedup, "FEW_ROWS", few_rows)
+    monkeypatch.setattr(near_dedup, "FEW_LINKS", few_links)
     rows = chained(120)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, 3, 85).collect())
