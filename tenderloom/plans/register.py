@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenderloom.plans import archive, catalogue, decide, indexed, normalise, rank, search
+from tenderloom.plans import archive, cards, catalogue, decide, indexed, normalise, rank, search
 
-QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES | decide.QUERIES | normalise.QUERIES | rank.QUERIES | indexed.QUERIES
-SQL = catalogue.SQL | archive.SQL | search.SQL | decide.SQL | normalise.SQL | rank.SQL | indexed.SQL
+QUERIES = catalogue.QUERIES | archive.QUERIES | search.QUERIES | decide.QUERIES | normalise.QUERIES | rank.QUERIES | indexed.QUERIES | cards.QUERIES
+SQL = catalogue.SQL | archive.SQL | search.SQL | decide.SQL | normalise.SQL | rank.SQL | indexed.SQL | cards.SQL
