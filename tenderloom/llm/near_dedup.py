@@ -416,7 +416,7 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
     cells = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), cells).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
-    full = full.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "n_shingles", "sig", "odd", "failed")
+    full = full.select("key", "number", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "component", "n_shingles", "sig", "odd", "failed")
 
     def together(group: np.ndarray, size: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of rows of one group, for groups of few rows; rows of group -1 are left out."""
@@ -449,7 +449,7 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
         """What whole groups of rows give."""
         what = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
         group = np.cumsum(np.concatenate([[False], (what[1:] != what[:-1]).any(axis=1)]))
-        left, ids, comp, size = (t.column(c).to_numpy() for c in ("left", "node", "component", "n_shingles"))
+        number, left, ids, comp, size = (t.column(c).to_numpy() for c in ("number", "left", "node", "component", "n_shingles"))
         names, comp = np.unique(comp, return_inverse=True)
         sig, odd = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, VALUES), t.column("odd").to_pylist()
         refuted = {(int(n), f) for n, fs in zip(ids, t.column("failed").to_pylist(), strict=True) for f in fs or ()}
@@ -460,6 +460,8 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
         for p, q in itertools.chain(together(np.where(inner, group, -1), size, comp), itertools.chain(*many)):
             near = np.concatenate([np.zeros(0, bool), *[(sig[p[i : i + 65536]] != sig[q[i : i + 65536]]).sum(axis=1) <= most for i in range(0, len(p), 65536)]])
             p, q = p[near], q[near]
+            mine = first_key(sig[p], sig[q]) == number[p]  # a pair is looked at under one key only
+            p, q = p[mine], q[mine]
             differ = odd_distances(odd, p, q)
             # percent of the union is common: (100 + percent) * difference <= (100 - percent) * (n + m)
             near = (100 + percent) * differ <= (100 - percent) * (size[p] + size[q])
@@ -500,6 +502,13 @@ def candidates(active: DataFrame, percent: int, n_forests: int | None) -> DataFr
     return full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first key that two signatures share, row by row; they share one."""
+    same = (a == b).reshape(-1, CHUNKS, PER_CHUNK)
+    rest = same.sum(axis=2)[:, :, None] - same
+    return (rest.reshape(len(a), KEYS) == PER_CHUNK - 1).argmax(axis=1) if len(a) else np.zeros(0, np.int64)
+
+
 def _runs(group: np.ndarray) -> list[tuple[int, int]]:
     """(begin, end) of each run of equal neighbours."""
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
