@@ -19,9 +19,9 @@ from tenderloom.operators.quality import validate
 
 # Columns that each archive table must have.
 ARCHIVE = {
-    "notices": "lot_id procedure_id publish_date procedure_name subject start_price customer_inn is_smp is_eshop_or_aisgz".split(),
-    "suppliers": "lot_id supplier_inn supplier_kpp is_winner".split(),
-    "products": "lot_id product_name okpd2_code".split(),
+    "notices": ["lot_id", "procedure_id", "publish_date", "procedure_name", "subject", "start_price", "customer_inn", "is_smp", "is_eshop_or_aisgz"],
+    "suppliers": ["lot_id", "supplier_inn", "supplier_kpp", "is_winner"],
+    "products": ["lot_id", "product_name", "okpd2_code"],
 }
 #: Characters of one line at most.
 LONGEST_LINE = 16 * 1024 * 1024

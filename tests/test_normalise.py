@@ -23,6 +23,13 @@ def test_names_apart(spark):
     assert key == "ромашка 77-а"
 
 
+def test_any_brand_leaves_the_name(spark):
+    brands = ["a\\Eb", "\\E", "x(y", "[z", "c++", "$1", "Q\\"]
+    df = spark.createDataFrame([(b, f"bolt {b} 5") for b in brands], "brand string, name string")
+    got = {r["brand"]: r["p"]["core"] for r in df.select("brand", names.decompose(F.col("name"), F.col("brand"), F.lit("")).alias("p")).collect()}
+    assert got["a\\Eb"] == "bolt 5" and got["x(y"] == "bolt 5" and len(got) == len(brands)
+
+
 def test_attributes(spark):
     df = spark.createDataFrame([({" Вес ": "1", "weight": "2", "": "x", "a": " "},), (None,), ({},)], "m map<string,string>")
     got = [r[0] for r in df.select(names.canonical_attributes(F.col("m"), {"вес": "weight"})).collect()]
