@@ -44,7 +44,7 @@ def test_each_stage_does_its_work(spark, folder):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), c.sql(queries.SQL[name]).df()
     rows = lambda df: sorted(str([None if x is None or x != x else str(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
