@@ -103,3 +103,12 @@ def test_validation_and_digests(spark):
     assert quality.accepted(checked).count() == 1 and quality.rejected(checked).count() == 2
     assert quality.same_pass(df, df.orderBy(F.desc("id")), "id", 3) and not quality.same_pass(df, df, "id", 4)
     assert quality.same_sets(df, df) and not quality.same_sets(df, df.limit(2))
+
+
+def test_all_categories_of_a_level(spark):
+    from tenderloom.operators import analytics
+
+    kept = "'website' AS source_type, timestamp'2001-01-01' AS last_seen_at, 'available' AS availability, 7L AS supplier_id, 'verified' AS seller_status, true AS has_attributes, 'none' AS classification_method, 1.0D AS price"
+    df = spark.range(2500).selectExpr("concat(lpad(id % 50, 2, '0'), '.', lpad(id div 50, 2, '0'), '.1') AS okpd2_code", *kept.split(", "))
+    got = analytics.categories(df, analytics.Measures("2001-06-01")).groupBy("level").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 50), (2, 2500)]
