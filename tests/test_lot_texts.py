@@ -35,3 +35,13 @@ def test_only_the_buckets_of_a_batch_are_read(spark, tmp_path, capsys):
     texts.append("lots", spark.createDataFrame([(i, "a", "b", 1, 0) for i in range(200)], LOGS["lots"][0]))
     texts._current("lots", [3]).explain()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", capsys.readouterr().out)
+
+
+def test_items_of_large_keys_stay_apart(spark, tmp_path):
+    from tenderloom.plans import indexed
+
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "urgent", "O")], "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, 1000005, 3, 1, 9.0), (1, 5, 3, 2, 9.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(5, "bolt"), (1000005, "nut")], "p_partkey long, p_name string").write.parquet(f"{d}/part.parquet")
+    assert [r["text"] for r in indexed.refreshed_lots(spark, d).collect()] == ["urgent o bolt nut"]
