@@ -50,7 +50,7 @@ def expanded_names(spark, d):
 
 
 def _named_parts(spark, d):
-    p = m.read(spark, d, "part")
+    p = spread(m.read(spark, d, "part"))
     name = F.concat(
         F.initcap("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") ГОСТ 12-"), F.col("p_size").cast("string"), F.lit(" 220 В, "), F.col("p_size").cast("string"), F.lit(",5 мм"),
         F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" арт. A-"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(", "), (F.col("p_partkey") + 10000).cast("string"))).otherwise(""),

@@ -23,6 +23,12 @@ def test_names_apart(spark):
     assert key == "ромашка 77-а"
 
 
+def test_a_name_is_read_once(spark, capsys):
+    df = spark.createDataFrame([("Болт М6 ТУ 14-1, 123456", "")], "name string, brand string")
+    df.select(names.decompose(F.col("name"), F.col("brand"), F.lit("")).alias("p")).select("p.core", "p.article", names.merge_key(F.col("p"))).explain()
+    assert len(capsys.readouterr().out) < 60_000  # an extractor that repeats the text before it doubles the plan
+
+
 def test_any_brand_leaves_the_name(spark):
     brands = ["a\\Eb", "\\E", "x(y", "[z", "c++", "$1", "Q\\"]
     df = spark.createDataFrame([(b, f"bolt {b} 5") for b in brands], "brand string, name string")
