@@ -20,6 +20,8 @@ from tenderloom.operators.scratch import Scratch
 from tenderloom.operators.state import first_of_each
 
 PART, QUERY_BLOCK = 65_536, 2_000
+#: Products of a vector and a query that a task holds at once.
+PRODUCTS = 1 << 20
 #: Rows on which the centres of an index are fitted, at most.
 SAMPLE = 20_000
 
@@ -47,8 +49,9 @@ def _best(vectors: pa.Table, queries: pa.Table, key: str, by: str | None, most:
     order = np.argsort(np.array([str(k) for k in keys.to_pylist()], object), kind="stable") if len(keys) else np.zeros(0, np.int64)
     groups = vectors.column(by).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if by else np.zeros(len(keys), np.int64)
     found: list[pa.Table] = []
-    for s in range(0, queries.num_rows if len(keys) else 0, 256):
-        some = queries.slice(s, 256)
+    step = max(1, PRODUCTS // max(1, len(keys)))
+    for s in range(0, queries.num_rows if len(keys) else 0, step):
+        some = queries.slice(s, step)
         near = _matrix(some.column("vector")) @ v.T
         for group in np.unique(groups):
             mine = order[groups[order] == group]

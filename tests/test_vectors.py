@@ -88,3 +88,20 @@ def test_cells_split_and_odd_rows(spark, monkeypatch):
     assert got == {(r["query_id"], r["k"]) for r in vectors.nearest(v, q, "k", "v", 3).collect() if 106 not in (r["query_id"], r["k"])}
     empty = vectors.CellIndex(v.limit(0), "k", "v", cells=3)
     assert empty.nearest(q, 3).count() == 0
+
+
+def test_few_products_are_held_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 1 << 16
+    table = lambda key, v: pa.table({key: np.arange(len(v)), "vector": pa.FixedSizeListArray.from_arrays(v.ravel(), v.shape[1]).cast(pa.list_(pa.float64()))})
+    stored, asked = rng.normal(size=(n, 4)), rng.normal(size=(300, 4))
+    tracemalloc.start()
+    got = vectors._best(table("k", stored), table("query_id", asked), "k", None, 3, 9).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(got) == 900
+    near = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (stored / np.linalg.norm(stored, axis=1, keepdims=True)).T
+    assert (got["k"].to_numpy().reshape(300, 3) == np.argsort(-near, axis=1)[:, :3]).all()
