@@ -112,3 +112,13 @@ def test_all_categories_of_a_level(spark):
     df = spark.range(2500).selectExpr("concat(lpad(id % 50, 2, '0'), '.', lpad(id div 50, 2, '0'), '.1') AS okpd2_code", *kept.split(", "))
     got = analytics.categories(df, analytics.Measures("2001-06-01")).groupBy("level").count().collect()
     assert sorted(map(tuple, got)) == [(1, 50), (2, 2500)]
+
+
+def test_pool_is_picked_before_the_latest_version(spark, monkeypatch):
+    from tenderloom.plans import mapping, search
+
+    seen, latest = [], mapping.current_offers
+    monkeypatch.setattr(mapping, "current_offers", lambda v: seen.append(v.count()) or latest(v))
+    monkeypatch.setattr(search.r, "pool", lambda docs, order, most: docs.filter("hits > 0").orderBy(*order).limit(3))
+    search.lexical_channel(spark, "/root/testdata/sf0.001").count()
+    assert 0 < seen[0] < 0.1 * mapping.offer_versions(spark, "/root/testdata/sf0.001").count()
