@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tenderloom.functions.text import nfkc
 from tenderloom.operators.state import first_of_each
 
 # The phrases of a card.
@@ -28,41 +31,52 @@ def items_of_lots(products: DataFrame, most: int = 5) -> DataFrame:
 def examples(history: DataFrame, categories: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
     """(supplier_inn, category, place, notice, items, lots): the latest different purchases of each supplier and category.
 
-    ``history``: supplier_inn, lot_id, publish_date, query_text.
+    ``history``: supplier_inn, lot_id, publish_date, query_text, one row a supplier and lot; ``categories`` are distinct.
+    All is joined by lot; rows are then dealt once, by supplier and category.
     """
-    items = items_of_lots(products)
-    rows = history.join(categories, "lot_id").join(items, ["lot_id", "category"], "left")
-    notice = F.left(F.coalesce("query_text", F.lit("")), F.lit(400))
+    held = items_of_lots(products).groupBy("lot_id").agg(F.collect_list(F.struct("category", "items")).alias("held"))
+    items = F.get(F.filter("held", lambda x: x["category"] == F.col("category")), F.lit(0))["items"]
+    rows = history.join(categories, "lot_id").join(held, "lot_id", "left")
+    rows = rows.select("supplier_inn", "category", "lot_id", "publish_date", F.left(F.coalesce("query_text", F.lit("")), F.lit(400)).alias("notice"), items.alias("items"))
     named = F.coalesce(F.array_join(F.transform("items", lambda i: i["name"]), "; "), F.lit(""))
-    rows = rows.select("supplier_inn", "category", "lot_id", "publish_date", notice.alias("notice"), named.alias("named"), "items").withColumn("description", F.concat("notice", F.lit(" "), "named"))
-    latest = F.max_by(F.struct("notice", "items"), F.struct("publish_date", -F.col("lot_id")))
-    one = rows.groupBy("supplier_inn", "category", "description").agg(F.max("publish_date").alias("last_date"), F.count_distinct("lot_id").alias("lots"), latest.alias("x"))
-    order = Window.partitionBy("supplier_inn", "category").orderBy(F.desc("last_date"), F.asc("description"))
+    rows = rows.repartition("supplier_inn", "category").withColumn("description", F.concat("notice", F.lit(" "), named))
+    same = Window.partitionBy("supplier_inn", "category", "description")
+    first = F.row_number().over(same.orderBy(F.desc("publish_date"), F.asc("lot_id")))
+    one = rows.withColumns({"first": first, "lots": F.count("*").over(same)}).filter("first = 1")
+    order = Window.partitionBy("supplier_inn", "category").orderBy(F.desc("publish_date"), F.asc("description"))
     placed = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    return placed.select("supplier_inn", "category", "place", F.col("x.notice").alias("notice"), F.col("x.items").alias("items"), "lots")
+    return placed.select("supplier_inn", "category", "place", "notice", "items", "lots")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
 
 
-def _key(name: Column) -> Column:
-    return F.trim(F.lower(nfkc(name)))
+def _keys(names: Column) -> Column:
+    """By what the names of an array are told apart."""
+    return F.transform(_nfkc_each(names), lambda x: F.trim(F.lower(x)))
 
 
 def compact(found: DataFrame, most: int = 15) -> DataFrame:
     """(supplier_inn, category, text, items) of examples: a card names up to ``most`` different products, taken in turns
     from its examples, then the examples' different notices."""
     keys = ["supplier_inn", "category"]
-    flat = found.select(*keys, "place", F.posexplode("items").alias("depth", "item")).withColumn("key", _key(F.col("item.name"))).filter("key <> ''")
-    once = flat.groupBy(*keys, "key").agg(F.min(F.struct("depth", "place", "item")).alias("x"))
-    chosen = first_of_each(once.select(*keys, "x.*"), keys, [F.asc("depth"), F.asc("place")], most)
-    products = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("depth", "place", "item"))).alias("all")).select(*keys, F.transform("all", lambda x: x["item"]).alias("items"))
-    said = found.withColumn("notice", F.trim("notice")).withColumn("key", _key(F.col("notice"))).filter("key <> ''")
-    said = said.groupBy(*keys, "key").agg(F.min(F.struct("place", "notice")).alias("x"))
-    notices = said.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["notice"]).alias("notices"))
-    cards = found.select(*keys).distinct().join(products, keys, "left").join(notices, keys, "left")
+    # A card has few examples of few items: its rows are gathered once, and the rest happens inside the card.
+    cards = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "notice", "items"))).alias("all"))
+    turns = lambda e: F.transform(e["items"], lambda item, depth: F.struct(depth.alias("depth"), e["place"].alias("place"), item.alias("item")))
+    flat = F.transform(F.sort_array(F.flatten(F.transform(F.filter("all", lambda e: e["items"].isNotNull()), turns))), lambda x: x["item"])
+    cards = cards.select(*keys, flat.alias("items"), F.transform("all", lambda e: F.trim(e["notice"])).alias("notices"))
+    cards = cards.select("*", _keys(F.transform("items", lambda i: i["name"])).alias("item_keys"), _keys(F.col("notices")).alias("notice_keys"))
+    first = lambda c, k: F.filter(c, lambda x, i: (F.get(k, i) != "") & (F.array_position(k, F.get(k, i)) == i + 1))
+    cards = cards.select(*keys, F.slice(first("items", F.col("item_keys")), 1, most).alias("items"), first("notices", F.col("notice_keys")).alias("notices"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    cards = cards.select(*keys, some("items"), some("notices"))
     named = F.array_join(F.transform("items", lambda i: F.when(i["code"] != "", F.concat(i["name"], F.lit(CODE), i["code"], F.lit(")"))).otherwise(i["name"])), "; ")
     part = lambda phrase, c: F.when(c.isNotNull(), F.concat(F.lit(phrase), c, F.lit("."))).otherwise("")
     nothing = F.when(F.col("items").isNull() & F.col("notices").isNull(), NO_EXAMPLES).otherwise("")
     text = F.concat(F.lit(CATEGORY), "category", F.lit("."), part(PRODUCTS, named), part(NOTICES, F.array_join("notices", " ; ")), nothing)
-    return cards.select(*keys, text.alias("text"), F.coalesce("items", F.array().cast(products.schema["items"].dataType)).alias("items"))
+    return cards.select(*keys, text.alias("text"), F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"))
 
 
 def mentions(cards: DataFrame, visible: int) -> DataFrame:

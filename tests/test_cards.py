@@ -22,3 +22,11 @@ def test_turns_doubles_and_nothing(spark):
         assert how == ("full" if b <= 50 else "part" if a < 50 else "none")
     assert seen[3, "y"] == (17, 18, "full") and seen[1, "nut"][2] == "none"
     assert cards.compact(spark.createDataFrame([], EX)).count() == 0
+
+
+def test_examples_are_dealt_once(spark, capsys):
+    from tenderloom.plans import cards as queries
+
+    queries.compact_cards(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(supplier_inn") == 1 and plan.count("Exchange hashpartitioning(lot_id") < 12
