@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenderloom.operators import cards
+from tenderloom.operators import cards, history
 from tenderloom.plans import mapping as m
 from tenderloom.plans.archive import Archive
 
@@ -14,7 +14,7 @@ VISIBLE = 120
 def _examples(spark, d):
     a = Archive(spark, d)
     past = a.history.select("supplier_inn", "lot_id", "publish_date", "query_text")
-    return cards.examples(past, a.categories, a.products)
+    return cards.examples(past, a.categories, history.wares(a.dossiers))
 
 
 def card_examples(spark, d):

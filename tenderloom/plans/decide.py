@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import identity, numbers
 from tenderloom.functions import text as t
-from tenderloom.operators import classify, evaluate, quality, ranking, vectors
+from tenderloom.operators import classify, evaluate, history, quality, ranking, vectors
 from tenderloom.operators.state import first_of_each
 from tenderloom.plans import mapping as m
 from tenderloom.plans.archive import Archive
@@ -106,11 +106,12 @@ def position_evidence(spark, d):
 
 def feature_matrix(spark, d):
     a = Archive(spark, d)
-    best = first_of_each(a.cards, ["supplier_inn"], [F.desc("participations"), F.asc("card_id")]).select("supplier_inn", ranking.content_words(F.col("profile_text")).alias("card_words"), "example_count", "profile_last_date")
+    keys = a.scratch.write("best_cards", first_of_each(a.card_keys, ["supplier_inn"], [F.desc("participations"), F.asc("card_id")]))
+    best = history.cards(a.pairs, keys, a.dossiers).select("supplier_inn", ranking.content_words(F.col("profile_text")).alias("card_words"), "example_count", "profile_last_date")
     s = a.suppliers.select("supplier_inn", "mean_log_price", F.col("participations").alias("supplier_participations"), F.col("wins").alias("supplier_wins"))
     c = a.customers.select("supplier_inn", "customer_inn", F.col("participations").alias("customer_participations"), F.col("wins").alias("customer_wins"))
-    n = a.cards.groupBy("supplier_inn").agg(F.count("*").alias("card_count"))
-    rows = a.targets.select(F.col("lot_id").alias("query_id"), ranking.content_words(F.col("query_text")).alias("query_words"), "start_price", "customer_inn").join(a.participations.select(F.col("lot_id").alias("query_id"), "supplier_inn"), "query_id")
+    n = a.card_keys.groupBy("supplier_inn").agg(F.count("*").alias("card_count"))
+    rows = a.targets.select(F.col("lot_id").alias("query_id"), ranking.content_words(F.col("query_text")).alias("query_words"), "start_price", "customer_inn", F.inline("bids")).drop("is_winner", "label_conflict")
     rows = rows.join(s, "supplier_inn", "left").join(c, ["supplier_inn", "customer_inn"], "left").join(best, "supplier_inn", "left").join(n, "supplier_inn", "left")
     none = {x: F.lit(None).cast("double") for x in ("dense_score", "bm25_score", "rrf_score", "dense_rank", "bm25_rank", "category_participations", "category_wins")}
     rows = rows.withColumns({**none, "customer_rank": F.col("supplier_inn") % 40, "card_words": F.coalesce("card_words", F.array().cast("array<string>"))})
