@@ -70,7 +70,7 @@ def merge_keys(spark, d):
 
 
 def attributes_merged(spark, d):
-    p = m.read(spark, d, "part")
+    p = spread(m.read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
     raw = F.create_map(F.lit(" Размер "), F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit("  mm")), F.lit("size"), F.lit("второй"), F.lit("Цвет"), F.split("p_name", " ")[0], F.lit("вес"), F.lit(" "))
     merged = names.merge_attributes(F.create_map(F.lit("size"), F.lit("1"), F.lit("brand"), F.col("p_brand")), names.canonical_attributes(raw, KEYS))
     return p.select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("attributes"))
