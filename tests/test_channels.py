@@ -35,3 +35,9 @@ def test_ranks_of_every_match(spark, many):
     got = register.QUERIES["channel_ranks"](spark, many).toPandas()
     assert sorted(got[["channel", "supplier_id", "rank"]].itertuples(index=False, name=None)) == [("history", 1, 2), ("history", 2, 1), ("lexical", 1, 2), ("lexical", 2, 1)]
     against_sql("channel_ranks", many, got)
+
+
+def test_fusion_of_every_match(spark, many):
+    got = register.QUERIES["rrf_weighted"](spark, many).toPandas()
+    assert dict(zip(got["supplier_id"], got["raw"], strict=True)) == {1: round(2 / 62 + 0.5 / 61, 9), 2: round(2 / 61 + 0.5 / 62, 9)}
+    against_sql("rrf_weighted", many, got)
