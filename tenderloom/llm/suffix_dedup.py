@@ -6,7 +6,7 @@ or a passage's copies in one place:
 
 1. Whole copies: of equal texts all but those with the smallest id go as a whole.
 2. Shared grams: every string of ``LENGTH`` bytes holds a gram of ``GRAM`` bytes that has the least hash of all its
-   grams. Only these are dealt by hash, one for each block of texts, and come back to their documents if another
+   grams. Only these are dealt by hash, one for each task's run of texts, and come back to their documents if another
    document holds them. Strings whose grams are not shared need no further look.
 3. Suffixes: the remaining strings are the suffixes, cut at ``LENGTH`` bytes, that start where their own least gram
    is shared. They are dealt by that gram as short runs of bytes, equal runs of a block of texts once. In a shard every
@@ -17,7 +17,10 @@ or a passage's copies in one place:
 4. Marks go back to the documents, and what they cover is cut out.
 
 Hashes choose which strings are looked at and where; that two strings are equal is always found on their bytes. The
-number of shards follows the bytes of text, so a shard stays as large whatever the table.
+number of shards follows the bytes of text and the strings with shared grams, so a shard stays as large whatever the
+table. What is dealt are packed rows, one for each pair of a sender and a receiver; both are large (tens of megabytes of
+text), so that the pairs, whose number grows with the square of the table, are few. A receiver of suffixes is worked
+through in ``FOLD`` shards, one after the other, so that its memory is that of one.
 
 Defined results: null and empty texts, and texts under ``LENGTH`` bytes, lose nothing; rows with equal ids never
 remove each other's bytes; a null id removes nothing and loses nothing; overlapping strings within one document do
@@ -32,18 +35,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.packing import pack, pack_rising, slices, unpack, unpack_rising
+from tenderloom.llm.packing import items, pack, pack_rising, slices, unpack, unpack_rising
 from tenderloom.llm.shared import Tables
 from tenderloom.llm.words import blocks, mix, powers, prefix_hash
 
 LENGTH, GRAM = 50, 20
 #: Grams in a string: one of any WINDOW neighbouring grams is the least.
 WINDOW = LENGTH - GRAM + 1
-BLOCK = 1_000_000
+BLOCK = 4_000_000
 #: Suffixes that make one batch of a shard's family.
 BATCH = 100_000
-#: Bytes of text for each shard, and the least number of shards.
-SHARD_BYTES, LEAST_SHARDS = 5_000_000, 16
+#: Strings in each shard of suffixes, and the least number of ranges and shards.
+SHARD_BYTES, LEAST_SHARDS = 800_000, 16
+#: Shards of suffixes that one receiver works through, and the least number of receivers.
+FOLD, LEAST_RECEIVERS = 8, 64
+#: Shards' worth of text in each range of rows, and in each shard of grams.
+RANGE, GRAM_SHARD = 12, 24
+#: Grams that a task gathers before it deals them.
+GRAMS = 1_000_000
 #: Up to this many rows are named by broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Lower bits of an order key that hold a gram's place.
@@ -125,50 +134,58 @@ def _by_range(rows: np.ndarray, parts: int, *more: np.ndarray):
 
 
 GRAM_ROWS = "part int, kind string, keys binary, owner binary, rows binary"
-GRAM_FLAGS = "part int, rows binary, spans binary, keys binary"
+GRAM_FLAGS = "part int, rows binary, spans binary, keys binary, n long"
+
+
+def _grams_dealt(docs: DataFrame, shards: int, ranges: int) -> DataFrame:
+    def dealt(found):
+        keys, owner = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[fresh], owner[fresh]
+        _, begin, end = slices(keys)
+        many = np.repeat(end - begin > 1, end - begin)
+        out: list[tuple] = []
+        for r, rows, spans, (k,) in _by_range(owner[many], ranges, keys[many]):
+            out.append((r, "flag", pack(k), pack(spans), pack(rows)))
+        keys, owner = keys[begin], owner[begin]
+        for p, a, b in zip(*slices(_part_of(keys, shards)), strict=True):
+            mine, local = np.unique(owner[a:b], return_inverse=True)
+            out.append((int(p), "gram", pack_rising(keys[a:b]), pack(local.astype("<u4")), pack(mine)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string()), *[pa.array([x[i] for x in out], pa.binary()) for i in (2, 3, 4)]],
+            names=["part", "kind", "keys", "owner", "rows"],
+        )
 
-
-def _grams_dealt(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches):
+        found, size = [], 0
         for batch in batches:
             ids = batch.column("row").to_numpy(zero_copy_only=False)
             for first, texts in blocks(batch.column("text"), BLOCK):
-                found = []
                 for s, some in _steps(texts):
                     g = Grams(some)
-                    found.append((g.key, g.who + s))
-                keys, owner = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                order = np.argsort(keys, kind="stable")
-                keys, owner = keys[order], owner[order]
-                fresh = np.ones(len(keys), bool)
-                fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-                keys, owner = keys[fresh], owner[fresh]
-                _, begin, end = slices(keys)
-                many = np.repeat(end - begin > 1, end - begin)
-                out: list[tuple] = []
-                for r, rows, spans, (k,) in _by_range(ids[first + owner[many]], parts, keys[many]):
-                    out.append((r, "flag", pack(k), pack(spans), pack(rows)))
-                keys, owner = keys[begin], owner[begin]
-                for p, a, b in zip(*slices(_part_of(keys, parts)), strict=True):
-                    mine, local = np.unique(owner[a:b], return_inverse=True)
-                    out.append((int(p), "gram", pack_rising(keys[a:b]), pack(local.astype("<u2")), pack(ids[first + mine])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string()), *[pa.array([x[i] for x in out], pa.binary()) for i in (2, 3, 4)]],
-                    names=["part", "kind", "keys", "owner", "rows"],
-                )
+                    found.append((g.key, ids[first + s + g.who]))
+                    size += len(g.key)
+                    if size >= GRAMS:
+                        yield dealt(found)
+                        found, size = [], 0
+        if found:
+            yield dealt(found)
 
     return docs.select("row", "text").mapInArrow(run, GRAM_ROWS)
 
 
-def _shared_grams(table: pa.Table, parts: int) -> pa.Table:
-    """Grams that two rows or more hold, for each of their rows."""
+def _shared_grams(table: pa.Table, ranges: int) -> pa.Table:
+    """Grams that two rows or more hold, for each of their rows; n is the number of such pairs."""
     keys, rows, out = [], [], []
     for x in table.to_pylist():
         if x["kind"] == "flag":
             out.append((x["part"], x["rows"], x["owner"], x["keys"]))
         else:
             keys.append(unpack_rising(x["keys"], "<u8"))
-            rows.append(unpack(x["rows"], "<i8")[unpack(x["owner"], "<u2").astype(np.int64)])
+            rows.append(unpack(x["rows"], "<i8")[unpack(x["owner"], "<u4")])
     if keys:
         key, row = np.concatenate(keys), np.concatenate(rows)
         order = np.argsort(key, kind="stable")
@@ -176,12 +193,13 @@ def _shared_grams(table: pa.Table, parts: int) -> pa.Table:
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:]
-        for r, names, spans, (k,) in _by_range(row[same], parts, key[same]):
+        for r, names, spans, (k,) in _by_range(row[same], ranges, key[same]):
             out.append((r, pack(names), pack(spans), pack(k)))
-    return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "rows"), (2, "spans"), (3, "keys"))}})
+    columns = {c: pa.array([x[i] for x in out], pa.binary()) for i, c in ((1, "rows"), (2, "spans"), (3, "keys"))}
+    return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), **columns, "n": pa.array([items(x[3]) for x in out], pa.int64())})
 
 
-RUN_ROWS = "part int, kind string, rows binary, docs binary, owner binary, at binary, count binary, bytes binary"
+RUN_ROWS = "part int, kind string, rows binary, docs binary, owner binary, at binary, count binary, cuts binary, bytes binary"
 MARKS = "part int, rows binary, spans binary, at binary, marks binary"
 
 
@@ -197,14 +215,17 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return np.add.reduceat(data[_stretch(a, size)] != data[_stretch(b, size)], np.cumsum(size) - size) == 0
 
 
-def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
-    """The runs of bytes in which a text's strings have shared grams, dealt by gram; equal runs of a block once."""
+def _suffix_runs(texts: pa.Table, flags: pa.Table, ranges: int, receivers: int) -> pa.Table:
+    """The runs of bytes in which a text's strings have shared grams, dealt by gram; equal runs of a block once.
+
+    A receiver's runs stand in the order of its shards; ``cuts`` has the number of each."""
     flagged: dict[int, list[np.ndarray]] = {}
     for x in flags.to_pylist():
         spans = unpack(x["spans"], "<u4")
         for row, keys in zip(unpack(x["rows"], "<i8").tolist(), np.split(unpack(x["keys"], "<u8"), np.cumsum(spans)[:-1]), strict=True):
             flagged.setdefault(row, []).append(keys)
     out: list[tuple] = []
+    dealt: list[tuple] = []
     pick = [i for i, row in enumerate(texts.column("row").to_pylist()) if row in flagged]
     texts = texts.take(pa.array(pick, pa.int64()))
     ids, docs = texts.column("row").to_numpy(), texts.column("doc_id").to_numpy()
@@ -230,16 +251,24 @@ def _suffix_runs(texts: pa.Table, flags: pa.Table, parts: int) -> pa.Table:
         head[~repeat] = np.flatnonzero(~repeat)
         later = repeat & (docs[first + who] > docs[first + who[head]])
         full = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
-        for r, names, spans, (p, m) in _by_range(ids[first + who[later]], parts, at[later], full[later]):
-            out.append((r, "mark", pack(names), b"", pack(spans), pack(p.astype("<u4")), b"", pack(m.astype("<u4"))))
+        for r, names, spans, (p, m) in _by_range(ids[first + who[later]], ranges, at[later], full[later]):
+            out.append((r, "mark", pack(names), b"", pack(spans), pack(p.astype("<u4")), b"", b"", pack(m.astype("<u4"))))
         at, key, who, count, size, place = (v[~later] for v in (at, key, who, count, size, place))
-        for p, a, b in zip(*slices(_part_of(key, parts)), strict=True):
+        dealt.append((_part_of(key, receivers * FOLD), (first + who).astype(np.int32), at.astype("<u4"), count.astype(np.uint8), data[_stretch(place, size)]))
+    if dealt:
+        shard, who, at, count, data = (np.concatenate([d[i] for d in dealt]) for i in range(5))
+        dealt.clear()
+        size = count.astype(np.int64) + LENGTH - 1
+        place = np.cumsum(size) - size
+        order = np.argsort(shard, kind="stable")
+        shard, who, at, count, size, place = (v[order] for v in (shard, who, at, count, size, place))
+        for p, a, b in zip(*slices(shard // FOLD), strict=True):
             mine, local = np.unique(who[a:b], return_inverse=True)
-            index = _stretch(place[a:b], size[a:b])
-            out.append((int(p), "run", pack(ids[first + mine]), pack(docs[first + mine]), pack(local.astype("<u2")), pack(at[a:b].astype("<u4")), pack(count[a:b].astype(np.uint8)), data[index].tobytes()))
+            cuts = np.bincount(shard[a:b] % FOLD, minlength=FOLD).astype("<u4")
+            out.append((int(p), "run", pack(ids[mine]), pack(docs[mine]), pack(local.astype("<u4")), pack(at[a:b]), pack(count[a:b]), pack(cuts), data[_stretch(place[a:b], size[a:b])].tobytes()))
     return pa.table(
         {"part": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.string())}
-        | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("rows", "docs", "owner", "at", "count", "bytes"), 2)}
+        | {c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("rows", "docs", "owner", "at", "count", "cuts", "bytes"), 2)}
     )
 
 
@@ -347,34 +376,49 @@ class SuffixFamily:
             self.repeated = more
 
 
-def _scan(table: pa.Table, parts: int) -> pa.Table:
-    """Marks of the strings of one shard that also start in a document with a smaller id."""
-    batches, out, total = [], [], 0
-    for x in table.to_pylist():
+def _shard_marks(pieces: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, at, marks) of the runs with strings that also start in a document with a smaller id, among a shard's runs."""
+    total = sum(int(p[3].sum()) for p in pieces)
+    family, seen, held, size = SuffixFamily(total), 0, [], 0
+    for i, piece in enumerate(pieces):
+        held.append(piece)
+        size += int(piece[3].sum())
+        if size >= BATCH or i == len(pieces) - 1:
+            docs, count, data = (np.concatenate([h[k] for h in held]) for k in (1, 3, 4))
+            long = count + LENGTH - 1
+            family.add(columns(data, _stretch(np.cumsum(long) - long, count)), np.repeat(docs, count), np.arange(seen, seen + size))
+            seen, held, size = seen + size, [], 0
+    marked = family.marked()
+    rows, at, count = (np.concatenate([p[k] for p in pieces]) for k in (0, 2, 3))
+    begin = np.cumsum(count) - count
+    bit = np.uint64(1) << (np.arange(total) - np.repeat(begin, count)).astype(np.uint64)
+    marks = np.add.reduceat(np.where(marked, bit, np.uint64(0)), begin)
+    hit = marks > 0
+    return rows[hit], at[hit], marks[hit]
+
+
+def _scan(table: pa.Table, ranges: int) -> pa.Table:
+    """Marks of a receiver's strings that also start in a document with a smaller id, one shard after the other."""
+    pieces, out, found = [[] for _ in range(FOLD)], [], []
+    held = table.column("bytes")
+    for i, x in enumerate(table.drop_columns(["bytes"]).to_pylist()):
         if x["kind"] == "mark":
-            out.append((x["part"], x["rows"], x["owner"], x["at"], x["bytes"]))
+            out.append((x["part"], x["rows"], x["owner"], x["at"], held[i].as_py()))
             continue
-        owner = unpack(x["owner"], "<u2").astype(np.int64)
-        batches.append((unpack(x["rows"], "<i8")[owner], unpack(x["docs"], "<i8")[owner], unpack(x["at"], "<u4"), unpack(x["count"], "<u1").astype(np.int64), np.frombuffer(x["bytes"], np.uint8)))
-        total += int(batches[-1][3].sum())
-    family, seen, held = SuffixFamily(total), 0, []
-    for _, docs, _, count, data in batches:
-        size = count + LENGTH - 1
-        at = _stretch(np.cumsum(size) - size, count)
-        held.append((columns(data, at), np.repeat(docs, count), np.arange(seen, seen + len(at))))
-        seen += len(at)
-        if sum(len(x[1]) for x in held) >= BATCH or seen == total:
-            family.add([np.concatenate(x) for x in zip(*[h[0] for h in held], strict=True)], *[np.concatenate([h[i] for h in held]) for i in (1, 2)])
-            held = []
-    marked, seen = family.marked() if batches else np.zeros(0, bool), 0
-    for rows, _, at, count, _ in batches:
-        own = marked[seen : seen + count.sum()]
-        seen += len(own)
-        begin = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-        bit = np.uint64(1) << (np.arange(len(own)) - np.repeat(begin, count)).astype(np.uint64)
-        marks = np.add.reduceat(np.where(own, bit, np.uint64(0)), begin) if len(own) else np.zeros(0, np.uint64)
-        hit = marks > 0
-        for r, names, spans, (p, m) in _by_range(rows[hit], parts, at[hit], marks[hit]):
+        owner, cuts = unpack(x["owner"], "<u4"), np.cumsum(unpack(x["cuts"], "<u4"), dtype=np.int64)
+        rows, docs, at, count = unpack(x["rows"], "<i8")[owner], unpack(x["docs"], "<i8")[owner], unpack(x["at"], "<u4"), unpack(x["count"], "<u1").astype(np.int64)
+        data, edge, a = np.frombuffer(held[i].as_buffer(), np.uint8), np.concatenate([[0], np.cumsum(count + LENGTH - 1)]), 0
+        for shard, b in zip(pieces, cuts.tolist(), strict=True):
+            if a < b:
+                shard.append((rows[a:b], docs[a:b], at[a:b], count[a:b], data[edge[a] : edge[b]]))
+            a = b
+    for shard in pieces:
+        if shard:
+            found.append(_shard_marks(shard))
+        shard.clear()
+    if found:
+        rows, at, marks = (np.concatenate([f[i] for f in found]) for i in range(3))
+        for r, names, spans, (p, m) in _by_range(rows, ranges, at, marks):
             out.append((r, pack(names), pack(spans), pack(p.astype("<u4")), pack(m.astype("<u4"))))
     return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("rows", "spans", "at", "marks"), 1)}})
 
@@ -415,18 +459,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession, "suffix")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
+    ranges, shards = (max(LEAST_SHARDS, -(-total // (n * SHARD_BYTES))) for n in (RANGE, GRAM_SHARD))
     long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digest = F.sha2("text", 256)
     equal = long.select("row", "doc_id", digest.alias("digest"))
     least = equal.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
     copies = tables.write("copies", equal.join(least, "digest").filter("doc_id > least").select("row").distinct())
     single = _named(long, copies, "left_anti")
-    flags = _grams_dealt(single, parts).groupBy("part").applyInArrow(lambda t: _shared_grams(t, parts), GRAM_FLAGS)
+    flags = _grams_dealt(single, shards, ranges).groupBy("part").applyInArrow(lambda t: _shared_grams(t, ranges), GRAM_FLAGS)
     flags = tables.write("grams", flags)
-    ranged = lambda df: df.withColumn("part", F.pmod("row", F.lit(parts)).cast("int"))
-    runs = ranged(single).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(lambda a, b: _suffix_runs(a, b, parts), RUN_ROWS)
-    marks = tables.write("marks", runs.groupBy("part").applyInArrow(lambda t: _scan(t, parts), MARKS))
+    strings = (flags.agg(F.sum("n")).first()[0] or 0) * (WINDOW + 1) // 2  # what a gram is the least of, in the mean
+    receivers = max(LEAST_RECEIVERS, -(-strings // (FOLD * SHARD_BYTES)))
+    ranged = lambda df: df.withColumn("part", F.pmod("row", F.lit(ranges)).cast("int"))
+    runs = ranged(single).groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(lambda a, b: _suffix_runs(a, b, ranges, receivers), RUN_ROWS)
+    marks = tables.write("marks", runs.groupBy("part").applyInArrow(lambda t: _scan(t, ranges), MARKS))
     tables.drop("grams")
 
     def names(batches):

@@ -96,3 +96,31 @@ def test_family_is_a_logarithmic_index_of_sorted_bytes():
     for _, _, number in f.levels:
         level = [strings[n] for n in number]
         assert level == sorted(set(level))
+
+
+def test_few_packed_rows_between_many_shards(spark, monkeypatch):
+    """Senders and receivers stay large, so that their pairs stay few where the shards are many."""
+    from tenderloom.llm.shared import Tables
+
+    rng, written, write = random.Random(5), {}, Tables.write
+
+    def counted(self, name, df, rows=1000):
+        out = write(self, name, df, rows)
+        written[name] = out.count()
+        return out
+
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8)))
+    shared = [" ".join(word() for _ in range(40)) for _ in range(100)]
+    rows = [(i, " ".join(rng.choice(shared) if k % 3 else " ".join(word() for _ in range(30)) for k in range(6))) for i in range(500)]
+    monkeypatch.setattr(Tables, "write", counted)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    check(spark, rows)
+    assert 0 < written["grams"] < 1500 and 0 < written["marks"] < 1500
+
+
+def test_grams_dealt_in_many_turns(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GRAMS", 100)
+    monkeypatch.setattr(suffix_dedup, "STEP", 2000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
+    monkeypatch.setattr(suffix_dedup, "LEAST_SHARDS", 2)
+    test_passages_copies_and_edits(spark)
