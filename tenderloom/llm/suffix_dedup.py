@@ -460,7 +460,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges, shards = (max(LEAST_SHARDS, -(-total // (n * SHARD_BYTES))) for n in (RANGE, GRAM_SHARD))
-    long = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    is_long = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+    long = rows.filter(is_long)
     digest = F.sha2("text", 256)
     equal = long.select("row", "doc_id", digest.alias("digest"))
     least = equal.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
@@ -481,10 +482,11 @@ def dedup(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(unpack(x, "<i8"))], names=["row"])
 
     touched = tables.write("rows", marks.select("rows").mapInArrow(names, "row long").distinct())
-    cut = ranged(_named(single, touched, "left_semi")).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut, RESULT)
+    few = touched.count() <= BROADCAST_ROWS  # else texts are not picked by a join, which would move them all: all are dealt to their marks
+    cut = ranged(_named(single, touched, "left_semi") if few else single).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_cut, RESULT)
     size = F.octet_length("text").cast("long").alias("n_bytes")
     whole = _named(long, copies, "left_semi").select("doc_id", size, size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    same = _named(rows, touched.unionByName(copies), "left_anti")
+    same = _named(rows, touched.unionByName(copies), "left_anti") if few else rows.filter(~is_long)
     same = same.select("doc_id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return cut.unionByName(whole).unionByName(same)
 

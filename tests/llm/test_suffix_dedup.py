@@ -124,3 +124,9 @@ def test_grams_dealt_in_many_turns(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
     monkeypatch.setattr(suffix_dedup, "LEAST_SHARDS", 2)
     test_passages_copies_and_edits(spark)
+
+
+def test_more_rows_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    test_edges_of_fifty_bytes(spark)
+    test_passages_copies_and_edits(spark)
