@@ -13,8 +13,7 @@ VISIBLE = 120
 
 def _examples(spark, d):
     a = Archive(spark, d)
-    past = a.history.select("supplier_inn", "lot_id", "publish_date", "query_text")
-    return cards.examples(past, a.categories, history.wares(a.dossiers))
+    return cards.examples(history.past(a.dossiers.filter("known"), m.CUT))
 
 
 def card_examples(spark, d):
