@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from tenderloom.operators import cards
 
 EX = "supplier_inn long, category string, place int, notice string, items array<struct<name:string,code:string,source_length:int,lot_id:long>>"
@@ -56,10 +58,11 @@ def test_items_of_lots_and_busy_suppliers(spark, monkeypatch):
         assert {(r["supplier_inn"], r["category"]): len(r["items"]) for r in cards.compact(found).collect()} == {(a, c): sum(len(r[4] or []) for r in want if r[:2] == (a, c)) - (1 if (a, c) == (5, "22.40") else 0) for a, c, *_ in want}
 
 
-def test_examples_move_few_bytes(spark, capsys):
+@pytest.mark.parametrize("name", ["card_examples", "card_mentions"])
+def test_examples_move_few_bytes(spark, capsys, name):
     from tenderloom.plans import cards as queries
 
-    queries.card_examples(spark, "/root/testdata/sf0.001").explain()
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
