@@ -58,7 +58,7 @@ def test_items_of_lots_and_busy_suppliers(spark, monkeypatch):
         assert {(r["supplier_inn"], r["category"]): len(r["items"]) for r in cards.compact(found).collect()} == {(a, c): sum(len(r[4] or []) for r in want if r[:2] == (a, c)) - (1 if (a, c) == (5, "22.40") else 0) for a, c, *_ in want}
 
 
-@pytest.mark.parametrize("name", ["card_examples", "card_mentions"])
+@pytest.mark.parametrize("name", ["card_examples", "compact_cards", "card_mentions"])
 def test_examples_move_few_bytes(spark, capsys, name):
     from tenderloom.plans import cards as queries
 
